@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import piece_bpe, quality, secret_scan, simhash, substring_dedup, token_counts
-from .common import read_table
+from . import piece_bpe, quality, secret_scan, simhash, substring_dedup, token_counts, warc
+from .common import new_folder, read_table
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +26,12 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(read_table(spark, sf_dir, "documents"))
 
 
+def op8_warc_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_folder(spark, "warc")
+    warc.write(read_table(spark, sf_dir, "pages"), folder)
+    return warc.read(spark, folder).drop("url")
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_bpe.digests(read_table(spark, sf_dir, "documents"))
 
