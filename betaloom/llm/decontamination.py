@@ -34,19 +34,23 @@ def words(text: Column) -> Column:
 
 
 def shingle_hashes(column: str, size: int = SHINGLE) -> Column:
-    """Hashes of each run of ``size`` words, by place; empty where there are fewer words."""
+    """Hashes of each run of ``size`` words, by place; null where there are fewer words.
+
+    Explode it with the outer forms: from the plain ones Spark infers a filter on the
+    array's size, pushes it below the projection and splits the text anew per element.
+    """
     each = F.transform(F.sequence(F.lit(1), F.size(column) - (size - 1)), lambda i: F.xxhash64(*[F.element_at(column, i + k) for k in range(size)]))
-    return F.when(F.size(column) >= size, each).otherwise(F.array().cast("array<bigint>"))
+    return F.when(F.size(column) >= size, each)
 
 
 def fingerprint(rows: DataFrame, keys: list[str], hashes: str) -> DataFrame:
     """``keys, fp``: the majority bits over the array ``hashes``, counts as weights."""
     bits = rows.select(*keys, F.explode(hashes).alias("h"))
     counts = bits.groupBy(*keys).agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("h", k).bitwiseAND(F.lit(1))).alias(f"b{k}") for k in range(64)])
-    value = F.lit(0).cast("bigint")
-    for k in range(64):
-        value = value.bitwiseOR(F.when(2 * F.col(f"b{k}") > F.col("n"), F.lit(1 << k if k < 63 else -(1 << 63))).otherwise(F.lit(0)).cast("bigint"))
-    return counts.select(*keys, value.alias("fp"))
+    # folded over an array: 64 conditions side by side make a method too long for generated code
+    powers = F.array(*[F.lit(1 << k if k < 63 else -(1 << 63)).cast("bigint") for k in range(64)])
+    bits = F.zip_with(F.array(*[F.col(f"b{k}") for k in range(64)]), powers, lambda b, p: F.when(2 * b > F.col("n"), p).otherwise(F.lit(0).cast("bigint")))
+    return counts.select(*keys, F.aggregate(bits, F.lit(0).cast("bigint"), lambda s, x: s.bitwiseOR(x)).alias("fp"))
 
 
 def _block(fp: str, k: int, width: int) -> Column:
@@ -86,14 +90,14 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     as documents or as items; a null id is an id of its own; rows that repeat give one
     pair; other columns are dropped.
     """
-    wanted = pick(items, (item_col, "item_id"), (item_text, "text")).select("item_id", words(F.col("text")).alias("w")).select("item_id", F.size("w").alias("m"), shingle_hashes("w").alias("item_hashes")).where(F.size("item_hashes") > 0).distinct()
+    wanted = pick(items, (item_col, "item_id"), (item_text, "text")).select("item_id", words(F.col("text")).alias("w")).select("item_id", F.size("w").alias("m"), shingle_hashes("w").alias("item_hashes")).where(F.col("m") >= SHINGLE).distinct()
     wanted = written(wanted.withColumn("item", F.xxhash64("item_id", "item_hashes")), "items")
     n_places = wanted.agg(F.coalesce(F.sum(F.size("item_hashes")), F.lit(0))).first()[0]
     places = wanted.select("item", "m", F.posexplode("item_hashes").alias("item_at", "h"))
 
     keyed = pick(docs, (id_col, "doc_id"), (text_col, "text")).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
     hashed = keyed.select("doc_id", "row_key", words(F.col("text")).alias("w")).select("doc_id", "row_key", shingle_hashes("w").alias("hashes"))
-    every = hashed.select("doc_id", "row_key", F.posexplode("hashes").alias("at", "h"))
+    every = hashed.select("doc_id", "row_key", F.posexplode_outer("hashes").alias("at", "h"))
     hits = every.join(_small(places.withColumnRenamed("h", "ih"), n_places), F.col("h") == F.col("ih"))
     # enough places of one item, then every offset they give; a set, so that repeated rows change nothing
     per_item = hits.groupBy("doc_id", "row_key", "item", "m").agg(F.count_distinct("at").alias("n"), F.collect_set(F.col("at") - F.col("item_at")).alias("offsets"))

@@ -69,7 +69,8 @@ def matches(rows: DataFrame) -> DataFrame:
     """From ``doc_id, row_key, words``: accepted spans ``doc_id, row_key, kind, label, start, end, share``."""
     spark = rows.sparkSession
     grams = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1)))
-    placed = rows.where(F.size("words") > 1).select("doc_id", "row_key", "words", F.posexplode(grams).alias("at", "h"))
+    # outer, or else Spark infers a filter on the array's size and splits the text anew per element
+    placed = rows.select("doc_id", "row_key", "words", F.posexplode_outer(F.when(F.size("words") > 1, grams)).alias("at", "h"))
     known = templates(spark).withColumnRenamed("h", "th")
     hits = placed.join(F.broadcast(known), F.col("h") == F.col("th")).where((F.col("words")[F.col("at")] == F.col("g1")) & (F.col("words")[F.col("at") + 1] == F.col("g2")))
     votes = hits.groupBy("doc_id", "row_key", "t", "kind", "label", "grams", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("at").alias("lo"), (F.max("at") + 2).alias("hi"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 import contextlib
 import gc
 import json
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import numpy as np
@@ -64,14 +64,14 @@ def majority(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
-    """``id, fp`` per row, fp as a signed long; no shuffle."""
+def fingerprints(docs: DataFrame, ids: Sequence[str] = ("doc_id",), text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """``ids, fp`` per row, fp as a signed long; no shuffle."""
 
     def run(texts: list) -> list:
         found = np.array([majority(shingle_hashes(t, size)) for t in texts], np.uint64)
         return [found.view(np.int64).tolist()]
 
-    return map_texts(docs, [id_col], text_col, run, [field("fp", "long")])
+    return map_texts(docs, ids, text_col, run, [field("fp", "long")])
 
 
 def ball(radius: int, bits: int = 64) -> list[int]:
@@ -132,14 +132,15 @@ def ball_links(nodes: DataFrame, radius: int = RADIUS, pass_bits: int = PASS_BIT
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, also: Sequence[str] = ()) -> DataFrame:
     """``id, fingerprint, component_id`` per row: the smallest id reachable over links of ``radius`` bits.
 
     A null text counts as empty: fingerprint zero, linked like any other.  Repeated rows
     stay and share a component; a null id never is a component's smallest unless all are
-    null.  Other columns are dropped.  An empty table gives an empty table.
+    null.  Other columns, but for those in ``also``, are dropped.  An empty table gives an
+    empty table.
     """
-    found = written(fingerprints(docs, id_col, text_col, size), "fingerprints")
+    found = written(fingerprints(docs, [id_col, *also], text_col, size), "fingerprints")
     nodes = written(found.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     roots = components(ball_links(nodes.select("fp"), radius))
     rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
@@ -148,4 +149,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # written, so that the join with all rows has plain exchanges on both sides, which Spark splits at a hot key
     named = written(rooted.join(classes, "root").select(F.col("fp").alias("f"), "component_id"), "classes")
     out = found.join(named, found["fp"] == named["f"], "left")
-    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return out.select(id_col, *also, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
