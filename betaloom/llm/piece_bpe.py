@@ -229,9 +229,11 @@ class PieceBPE:
         return [i for chunk in self.split(text) for i in self.whole[chunk]]
 
     def decode(self, ids: Iterable[int]) -> str:
-        """Text of ids: bytes joined to characters (each faulty byte U+FFFD), blanks back, the dummy blank off."""
+        """Text of ids: bytes joined to characters (each faulty byte U+FFFD), blanks back, the first piece's dummy blank off."""
+        ids = list(ids)
+        first = next((i for i in ids if self.kinds[i] != "control"), None)
         text = self._surface(ids)
-        return text[1:] if text.startswith(" ") else text
+        return text[1:] if first is not None and self.kinds[first] == "normal" and text.startswith(" ") else text
 
     def _surface(self, ids: Iterable[int]) -> str:
         surfaces, byte_of = self.surfaces, self.byte_of
