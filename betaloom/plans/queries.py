@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, convert, evaluate, harmonize, impute, lexical, matrix, models, profile, qc, rules
+from ..operators import catalog, control, convert, evaluate, harmonize, impute, lexical, matrix, models, profile, qc, rules
 from ..sources import files
 from . import pipelines
 from .config import QcConfig
@@ -280,9 +280,9 @@ def detection_mask(spark, d):
     return matrix.detection_mask(_table(spark, d, "lineitem"), ["l_returnflag"], "l_discount", "l_tax").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("value"))
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE 'a%'")
+@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) LIKE 'la%'")
 def probe_prefix(spark, d):
-    return matrix.with_probe_prefix(_table(spark, d, "part"), "A", "p_name").select("p_partkey", "p_name")
+    return matrix.with_probe_prefix(_table(spark, d, "part"), "La", "p_name").select("p_partkey", "p_name")
 
 
 @query("SELECT c AS in_columns, r AS in_rows, c > r AS columns, r > c AS rows FROM (SELECT count(*) FILTER (lower(p_brand) LIKE '%1%') AS c, count(*) FILTER (lower(p_name) LIKE '%1%') AS r FROM part)")
@@ -545,3 +545,176 @@ def table_digest(spark, d):
 @query()
 def deterministic_sample(spark, d):
     return profile.sample_rows(_table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 10)
+
+
+# ---- decisions
+
+
+@query("SELECT DISTINCT upper(o_orderpriority) AS accession FROM orders WHERE o_orderstatus NOT IN ('F', 'failed', 'resolved')")
+def active_accessions(spark, d):
+    return control.active_accessions(_table(spark, d, "orders").where("o_orderstatus <> 'F'").select(F.col("o_orderpriority").alias("accession"), F.col("o_orderstatus").alias("status")))
+
+
+@query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_name, s_suppkey LIMIT 5")
+def work_queue(spark, d):
+    return control.work_queue(_table(spark, d, "supplier").select("s_suppkey", "s_name"), 5, "s_name")
+
+
+@query("SELECT DISTINCT o_orderstatus FROM orders WHERE o_orderstatus <> 'F'")
+def target_groups(spark, d):
+    return control.split_control(_table(spark, d, "orders"), "o_orderstatus", "F")[1]
+
+
+@query("SELECT o_orderpriority, count(*) FILTER (o_orderstatus = 'F') AS n_control, count(*) FILTER (o_orderstatus <> 'F') AS n_other FROM orders GROUP BY 1 HAVING n_control >= 10 AND n_other >= 10")
+def group_size_guard(spark, d):
+    return control.large_enough(_table(spark, d, "orders"), "o_orderpriority", F.col("o_orderstatus") == "F")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_id < 3)")
+def allowed_keys(spark, d):
+    e = _table(spark, d, "events")
+    return control.not_allowed(e.select("event_id", "event_type"), e.where("event_id < 3"), ["event_type"]).select("event_id", "event_type")
+
+
+@query("WITH r AS (SELECT event_id, CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'success' ELSE 'skipped' END AS status, CASE WHEN value > 20 THEN 'e' END AS error, CASE WHEN user_id % 2 = 0 THEN 'a' END AS artifact FROM events) SELECT event_id, status FROM r WHERE (status = 'failed') <> (error IS NOT NULL) OR (status = 'success' AND artifact IS NULL)")
+def inconsistent_results(spark, d):
+    r = _table(spark, d, "events").select("event_id", F.expr("CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'success' ELSE 'skipped' END").alias("status"), F.expr("CASE WHEN value > 20 THEN 'e' END").alias("error"), F.expr("CASE WHEN user_id % 2 = 0 THEN 'a' END").alias("artifact"))
+    return control.inconsistent_results(r).select("event_id", "status")
+
+
+@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE o_orderpriority NOT LIKE '1%'")
+def invalid_accessions(spark, d):
+    return control.invalid_accessions(_table(spark, d, "orders"), "o_orderpriority", "1").select("o_orderkey", "o_orderpriority")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'completed' ELSE o_orderstatus END AS status, CASE WHEN o_totalprice > 200000 THEN o_orderdate END AS finished_at FROM orders")
+def step_update(spark, d):
+    steps = _table(spark, d, "orders").withColumn("status", F.col("o_orderstatus")).withColumn("finished_at", F.lit(None).cast("timestamp_ntz"))
+    return control.set_status(steps, F.col("o_totalprice") > 200000, "completed", F.col("o_orderdate").cast("timestamp_ntz")).select("o_orderkey", "status", "finished_at")
+
+
+@query("SELECT page_id, url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)")
+def new_artifacts(spark, d):
+    p = _table(spark, d, "pages").select("page_id", "url")
+    return control.new_artifacts(p, p.where("page_id % 3 = 0"), "url")
+
+
+@query("SELECT n_name FROM nation WHERE lower(n_name) || '.pt' NOT IN (SELECT lower(n_name) || '.pt' FROM nation WHERE n_nationkey % 2 = 0)")
+def models_to_fetch(spark, d):
+    n = _table(spark, d, "nation")
+    return control.without_file(n.select("n_name"), n.where("n_nationkey % 2 = 0").select(F.concat(F.lit("/m/"), F.lower("n_name"), F.lit(".pt")).alias("path")), "n_name", "path")
+
+
+@query("SELECT s_name FROM supplier WHERE s_name || '_proc' NOT IN (SELECT s_name || '_proc' FROM supplier WHERE s_suppkey % 4 = 0)")
+def unformatted_files(spark, d):
+    s = _table(spark, d, "supplier")
+    return catalog.pending(s.select("s_name"), s.where("s_suppkey % 4 = 0").select(F.concat("s_name", F.lit("_proc")).alias("path")), "s_name", "path")
+
+
+@query("WITH s AS (SELECT DISTINCT user_id, event_type AS step, CASE WHEN user_id % 2 = 0 THEN 'completed' ELSE 'running' END AS status FROM events), p AS (SELECT user_id, list_sort(list(step || '=' || status)) AS p FROM s GROUP BY 1) SELECT user_id, array_to_string(p, ', ') AS steps, CASE WHEN list_contains(p, 'click=completed') THEN 'LEGAL' ELSE 'ILLEGAL' END AS qc FROM p")
+def state_summary(spark, d):
+    steps = _table(spark, d, "events").select("user_id", F.col("event_type").alias("step"), F.when(F.col("user_id") % 2 == 0, "completed").otherwise("running").alias("status")).distinct()
+    return control.state_summary(steps, "user_id", {"qc": "click"})
+
+
+@query("SELECT 'partial' AS batch_status, count(*) AS n, count(*) FILTER (event_type = 'error') AS n_failed FROM events")
+def download_status(spark, d):
+    return control.download_status(_table(spark, d, "events").select(F.when(F.col("event_type") == "error", "failed").otherwise("success").alias("status")))
+
+
+@query("SELECT event_id, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS tokens FROM events")
+def token_usage(spark, d):
+    from ..streaming.events import token_usage as usage
+
+    return _table(spark, d, "events").select("event_id", usage(F.col("props"), "$.usage.total", "$.k").alias("tokens"))
+
+
+@query("SELECT event_id, json_extract_string(props, '$.k') AS k FROM events")
+def json_in_text(spark, d):
+    return _table(spark, d, "events").select("event_id", T.json_object(F.concat(F.lit("answer: "), "props", F.lit(" .")), "$.k").alias("k"))
+
+
+@query("SELECT o_custkey, sha256(string_agg(DISTINCT o_orderpriority, '' ORDER BY o_orderpriority)) AS id FROM orders GROUP BY 1")
+def composite_ids(spark, d):
+    return _table(spark, d, "orders").groupBy("o_custkey").agg(catalog.composite_id(F.collect_set("o_orderpriority")).alias("id"))
+
+
+@query("SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN -1200500.0 WHEN 1 THEN 45.5 WHEN 2 THEN 1234.0 ELSE NULL END::DOUBLE AS number FROM customer")
+def numeric_like(spark, d):
+    shown = F.element_at(F.array(F.lit("($1,200.5K)"), F.lit("45.5%"), F.lit("€ 1,234"), F.lit("n/a")), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return _table(spark, d, "customer").select("c_custkey", T.numeric_like(shown).alias("number"))
+
+
+@query("SELECT user_id, arg_min(event_type, (CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 END, event_id)) AS kind FROM events WHERE event_type IN ('view', 'click') GROUP BY 1")
+def preferred_artifact(spark, d):
+    first = catalog.keep_one(_table(spark, d, "events").where("event_type in ('view', 'click')").select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id", last=False)
+    return catalog.prefer(first, "user_id", "event_type", ["view", "click"]).select("user_id", F.col("event_type").alias("kind"))
+
+
+@query("SELECT p_partkey FROM part WHERE list_contains(list_transform(string_split(p_type, ','), lambda x: contains(lower(x), 'eco')), true) OR p_brand IN ('Brand#13')")
+def platform_predicate(spark, d):
+    p = _table(spark, d, "part").withColumn("title", F.regexp_replace("p_type", "(?i)eco", "methy"))
+    return p.where(catalog.is_methylation(F.col("title"), F.col("p_brand"), ["Brand#13"])).select("p_partkey")
+
+
+@query("SELECT event_id, CASE event_type WHEN 'click' THEN 'http_error' WHEN 'view' THEN CASE WHEN user_id % 2 = 0 THEN 'disk_full' ELSE 'filesystem_error' END WHEN 'error' THEN 'geo_parse_error' ELSE 'unknown_error' END AS category FROM events")
+def error_classes(spark, d):
+    kind = F.expr("CASE event_type WHEN 'click' THEN 'HTTPError' WHEN 'view' THEN 'OSError' WHEN 'error' THEN 'RuntimeError' ELSE 'Other' END")
+    return _table(spark, d, "events").select("event_id", catalog.error_class(kind, F.when(F.col("user_id") % 2 == 0, 28).otherwise(2))["category"].alias("category"))
+
+
+@query("SELECT page_id, regexp_replace(regexp_replace(url, '^http://', 'https://'), '[?#].*$', '') AS link FROM pages")
+def https_links(spark, d):
+    return _table(spark, d, "pages").select("page_id", files.https(F.regexp_replace("url", "^http://", "ftp://")).alias("link"))
+
+
+@query("SELECT l_partkey AS probe FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
+def probe_intersection(spark, d):
+    li = _table(spark, d, "lineitem")
+    return li.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("probe")).intersect(li.where("l_returnflag = 'R'").select("l_partkey"))
+
+
+@query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
+def column_difference(spark, d):
+    o = _table(spark, d, "orders")
+    return o.where("o_orderstatus = 'F'").select("o_custkey").exceptAll(o.where("o_orderstatus = 'O'").select("o_custkey")).distinct().join(o.where("o_orderstatus = 'O'").select("o_custkey"), "o_custkey", "left_anti")
+
+
+@query("SELECT 'gse' || o_custkey::VARCHAR AS accession, min(o_orderkey) AS first FROM orders GROUP BY 1")
+def uploaded_accessions(spark, d):
+    return files.accessions_table(_table(spark, d, "orders").select("o_orderkey", F.concat(F.lit("gse"), "o_custkey").alias("GSE")), "o_orderkey")
+
+
+@query("SELECT DISTINCT o_orderpriority AS key_name, 'x' || o_orderpriority AS pattern FROM orders WHERE o_orderpriority LIKE '%H%'")
+def overfitted_rules(spark, d):
+    r = _table(spark, d, "orders").select(F.col("o_orderpriority").alias("key_name"), F.concat(F.lit("x"), "o_orderpriority").alias("pattern"), F.when(F.col("o_orderpriority").contains("H"), "resolved").otherwise("missing").alias("status")).distinct()
+    return rules.overfitted(r).select("key_name", "pattern")
+
+
+@query("SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)")
+def left_predictions(spark, d):
+    return _table(spark, d, "documents").select("doc_id", "lang").join(_table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+
+
+@query()
+def best_subject_field(spark, d):
+    n = _table(spark, d, "nation")
+    candidates = n.select(F.lit("name").alias("field"), F.col("n_name").alias("v")).unionByName(n.select(F.lit("relation").alias("field"), F.lower("n_name").alias("v"))).unionByName(n.select(F.lit("number").alias("field"), F.col("n_nationkey").cast("string").alias("v")))
+    return lexical.best_field(candidates, n.select(F.lower("n_name").alias("t")), "field", "v", "t")
+
+
+@query()
+def ontology_candidates(spark, d):
+    terms = harmonize.tissue_groups(spark).select(F.col("term_label").alias("term"))
+    labels = spark.createDataFrame([("Skeletal muscle",), ("whole blood",), ("lung tissue",)], "label string")
+    return harmonize.ontology_top(labels, terms, 5).withColumn("score", F.round("score", 6))
+
+
+@query()
+def slugs(spark, d):
+    return _table(spark, d, "part").select("p_partkey", T.slugify(F.col("p_name")).alias("slug"))
+
+
+@query()
+def table_sort(spark, d):
+    return _table(spark, d, "part").select("p_partkey", "p_brand").orderBy(catalog.natural_key(F.col("p_brand")).asc_nulls_last(), "p_partkey")
