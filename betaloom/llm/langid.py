@@ -190,6 +190,8 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     A hash of the id picks about ``texts`` rows of each language (all rows of a smaller
     one), their texts whole.  Languages and their counts, and the four-grams of the
     sample, come to the driver; both are bounded by parameters, and exceeding them raises.
+    A language with fewer than 20 texts holds none back and takes no limit: its texts
+    are never rejected.
     """
     spark = docs.sparkSession
     rows = pick(docs, (id_col, "id"), (text_col, "text"), (lang_col, "language")).where("text is not null and language is not null")
@@ -202,7 +204,9 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     dice = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
     share = F.element_at(shares, F.col("language"))
     sample = rows.withColumn("dice", dice).withColumn("share", share).where("dice < share")
-    fit = sample.where(F.col("dice") >= CALIBRATE * F.col("share")) if min(sizes.values()) >= 50 else sample
+    few = [k for k, n in sizes.items() if n * CALIBRATE < 2]  # too few to hold any back
+    back = (F.col("dice") < CALIBRATE * F.col("share")) & ~F.col("language").isin(few)
+    fit = sample.where(~back)
     counted = fit.select("language", "text").mapInArrow(_counts, "language string, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
     grams, n = counted.column("gram").to_numpy().view(np.uint64), counted.column("n").to_numpy()
     of = counted.column("language").combine_chunks().dictionary_encode()
@@ -225,8 +229,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             if out:
                 yield pa.RecordBatch.from_pylist([{"language": k, "h": h} for k, h in out])
 
-    test = sample.where(F.col("dice") < CALIBRATE * F.col("share")) if min(sizes.values()) >= 50 else sample
-    held = test.select("language", "text").mapInArrow(measure, "language string, h double").groupBy("language").agg(F.avg("h").alias("mean"), F.coalesce(F.stddev("h"), F.lit(0.0)).alias("sd")).collect()
+    held = sample.where(back).select("language", "text").mapInArrow(measure, "language string, h double").groupBy("language").agg(F.avg("h").alias("mean"), F.coalesce(F.stddev("h"), F.lit(0.0)).alias("sd")).collect()
     for r in held:
         model.limits[model.languages.index(r["language"])] = r["mean"] + DEVIATIONS * max(r["sd"], 0.05)
     shipped.unpersist()
