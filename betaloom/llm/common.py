@@ -101,6 +101,25 @@ def steps(batches: Iterable[pa.RecordBatch], size: int = TEXTS_PER_STEP) -> Iter
             yield batch.slice(lo, size)
 
 
+_owner: list[str] = [""]
+_releases: list[tuple[str, Callable[[], None]]] = []
+
+
+def on_leave(owner: str, release: Callable[[], None]) -> None:
+    """Register what frees an operator's memos in a worker process."""
+    _releases.append((owner, release))
+
+
+def enter(owner: str) -> None:
+    """A worker process lives on from task to task; it keeps the memos of one operator at a time."""
+    if _owner[0] != owner:
+        for name, release in _releases:
+            if name != owner:
+                release()
+        _owner[0] = owner
+        gc.collect()
+
+
 def map_texts(df: DataFrame, ids: Sequence[str], text: str, per_step: Callable[[list], list], fields: list[T.StructField]) -> DataFrame:
     """``ids`` and, computed from the texts of each step, ``fields``; no shuffle.
 
@@ -118,6 +137,7 @@ class _Mapped:
     def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark.sql.pandas.types import to_arrow_type
 
+        enter(self.per_step.__module__)
         gc.disable()  # memos of many small tuples make full collections long; nothing here makes cycles
         names = [f.name for f in self.schema.fields]
         kinds = [to_arrow_type(f.dataType) for f in self.schema.fields[self.n_ids :]]

@@ -29,12 +29,12 @@ import ahocorasick
 import public_tokenizers
 from pyspark.sql import DataFrame
 
-from .common import field, map_texts
+from .common import field, map_texts, on_leave
 
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks and token pairs kept in a worker's memos; a memo holds at most twice that (see Memo).
-MEMO_CHUNKS, MEMO_PAIRS, MEMO_LENGTH = 200_000, 1_000_000, 64
+MEMO_CHUNKS, MEMO_PAIRS, MEMO_LENGTH = 120_000, 300_000, 64
 _RUNS = re.compile(r"▁*[^\W\d_]+|▁+|(?:(?!▁)[\W\d_])+")
 _OTHER = 1 << 21  # ids from here on stand for characters outside the vocabulary
 
@@ -88,6 +88,7 @@ class PieceBPE:
                 node = node.setdefault(c, {})
             node[""] = i << 5 | len(p)
         self.prefixes = Memo(self._last, MEMO_CHUNKS)
+        self.shared = list(range(len(pieces)))  # one object per id in all memos
         self.pairs: dict[int, bool] = {}
         self.parts = Memo(self._uncut, MEMO_CHUNKS // 2)
         self.whole = Memo(self.chunk_ids, MEMO_CHUNKS)
@@ -184,7 +185,7 @@ class PieceBPE:
     def _uncut(self, chunk: str) -> tuple[int, ...]:
         tokens = self._table(chunk)
         if max(tokens) < _OTHER:
-            return tuple(tokens)
+            return tuple([self.shared[t] for t in tokens])
         out: list[int] = []
         for token in tokens:
             if token >= _OTHER:
@@ -330,3 +331,6 @@ def _shown(path: str) -> Memo:
         return len(ids), ",".join(map(str, ids)), bpe._surface(ids)
 
     return Memo(show, MEMO_CHUNKS)
+
+
+on_leave(__name__, lambda: (load.cache_clear(), _shown.cache_clear()))

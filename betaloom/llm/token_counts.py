@@ -19,11 +19,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import field, map_texts
+from .common import field, map_texts, on_leave
 from .piece_bpe import Memo
 
 VOCABULARY = "byte_bpe_50k.json"
-MEMO_COUNTS = 300_000
+MEMO_COUNTS = 150_000
 
 # The published split pattern of byte-level BPE, with white space by its
 # Unicode property, as the library has it.
@@ -149,6 +149,9 @@ def load(path: str) -> ByteBPE:
     return ByteBPE(path)
 
 
+on_leave(__name__, load.cache_clear)
+
+
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
     """``id, n_bytes, n_tokens, over_limit`` per row, one pass, no shuffle.
 
