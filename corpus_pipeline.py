@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from betaloom.llm import decontamination, langid, piece_bpe, secret_scan, simhash
-from betaloom.llm.common import pick, read_table, row_key, steps, written
+from betaloom.llm.common import enter, pick, read_table, row_key, steps, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -30,6 +30,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shipped = spark.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(langid.__name__)
         for step in steps(batches):
             wanted = [not shipped.value.predict(t)[3] for t in step.column(1).to_pylist()]
             yield step.filter(pa.array(wanted, pa.bool_()))
@@ -62,6 +63,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = pick(docs, *COLUMNS)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(secret_scan.__name__)
         for step in steps(batches):
             texts = pa.array([secret_scan.redact(t) for t in step.column(1).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([step.column(0), texts, *step.columns[2:]], schema=step.schema)
@@ -78,6 +80,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = piece_bpe.public_tokenizers.path(piece_bpe.MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(piece_bpe.__name__)
         bpe = piece_bpe.load(path)
         for step in steps(batches, 128):
             ids = [bpe.encode(t or "") for t in step.column(4).to_pylist()]
