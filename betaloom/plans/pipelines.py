@@ -31,7 +31,8 @@ def quality_control(long: DataFrame, config: QcConfig | None = None, source: str
     long = convert.convert(long, source, config.target)
     samples, probes = qc.dimensions(long)
     profile = qc.keep_samples(qc.sample_profile(long, samples, probes), config.sample_missing, config.largest)
-    kept = profile.where("kept").select(*qc.SAMPLE)
+    # one row per sample, asked for three times; if an executor goes, its part is computed again
+    kept = profile.where("kept").select(*qc.SAMPLE).persist()
     probe_profile = qc.probe_profile(long, kept, probes, config.probe_missing)
     cells = matrix.align_kept(long, kept, probe_profile.where("kept").select("accession", "probe"))
     filled = impute.simple(cells, config.imputer)
