@@ -27,12 +27,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import pick, written
+from .simhash import shuffles_dropped
 
 #: Parameters: bytes of payload in a shard, compressed bytes that end a file, payloads
-#: from how many bytes on may be revisits, least number of id buckets, the records' date.
-SHARD_BYTES, FILE_BYTES, REVISIT_BYTES, BUCKETS, DATE = 32 << 20, 8 << 20, 0, 1024, "2000-01-01T00:00:00Z"
+#: from how many bytes on may be revisits, least number of id buckets, most shards, the
+#: records' date.
+SHARD_BYTES, FILE_BYTES, REVISIT_BYTES, BUCKETS, MOST_SHARDS, DATE = 32 << 20, 8 << 20, 0, 1024, 1 << 16, "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-_MANIFEST = "shard bigint, seq bigint, temp string, name string, bytes bigint, records bigint, sha256 string"
+_MANIFEST = "shard int, seq bigint, temp string, name string, bytes bigint, records bigint, sha256 string"
+_REPORT = pa.schema([("shard", pa.int32()), ("seq", pa.int64()), ("temp", pa.string()), ("name", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())])
 _SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 
 
@@ -106,7 +109,7 @@ def _writer(folder: str, file_bytes: int, date: str):
         if out:
             done.append(out.close())
         if done:
-            yield pa.RecordBatch.from_pylist(done)
+            yield pa.RecordBatch.from_pylist(done, schema=_REPORT)
 
     return run
 
@@ -133,35 +136,28 @@ def resolved(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return rows.join(equal, (F.col("sha") == F.col("s")) & (F.col("size") == F.col("z")), "left").select("page_id", "url", "html", "size", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
-def _shards(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Adds ``shard``.  The driver gets one row per id bucket, four to a shard."""
-    low, high, total = rows.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
+def _shards(rows: DataFrame, sizes: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """Adds ``shard``.  ``sizes``: page_id and size of the same rows.
+
+    There are at most MOST_SHARDS shards (they get larger instead), and four id buckets
+    to a shard; that many rows reach the driver and are broadcast.
+    """
+    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
     if low is None:
-        return rows.withColumn("shard", F.lit(0).cast("bigint")), 1
+        return rows.withColumn("shard", F.lit(0)), 1
+    shard_bytes = max(shard_bytes, total // MOST_SHARDS + 1)
     buckets = max(BUCKETS, 4 * (total // shard_bytes + 1))
     width = (high - low) // buckets + 1
     bucket = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("bigint")
-    held = sorted(rows.groupBy(bucket.alias("b")).agg(F.sum("size").alias("n")).collect())
-    starts, room = [], 0
+    held = sorted(sizes.groupBy(bucket.alias("b")).agg(F.sum("size").alias("n")).collect())
+    shard, room, places = -1, shard_bytes, []
     for b, n in held:
-        if not starts or room + n > shard_bytes:
-            starts.append(b)
-            room = 0
+        if room + n > shard_bytes:
+            shard, room = shard + 1, 0
         room += n
-    ranges = F.lit(starts)
-    return rows.withColumn("shard", (F.size(F.filter(ranges, lambda s: s <= bucket)) - 1).cast("bigint")) if len(starts) < 64 else rows.withColumn("shard", _by_search(rows.sparkSession, starts, bucket)), len(starts)
-
-
-def _by_search(spark: SparkSession, starts: list[int], bucket):
-    """Number of the last start at or below the bucket, by halving, so that many shards cost few comparisons."""
-
-    def between(lo: int, hi: int):
-        if lo == hi:
-            return F.lit(lo).cast("bigint")
-        mid = (lo + hi + 1) // 2
-        return F.when(bucket >= starts[mid], between(mid, hi)).otherwise(between(lo, mid - 1))
-
-    return between(0, len(starts) - 1)
+        places.append((b, shard))
+    places = rows.sparkSession.createDataFrame(places, "_bucket bigint, shard int")
+    return rows.join(F.broadcast(places), bucket == F.col("_bucket")).drop("_bucket"), shard + 1
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, least: int = REVISIT_BYTES, date: str = DATE) -> DataFrame:
@@ -173,10 +169,12 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     dropped.  An empty table gives an empty manifest.
     """
     spark = pages.sparkSession
-    rows = written(resolved(pages, least), "resolved")
-    dealt, n = _shards(rows, shard_bytes)
-    dealt = dealt.select("shard", "page_id", "url", "html", "refers_to", "revisit").repartition(n, "shard").sortWithinPartitions("shard", "page_id", "url", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
-    manifest = written(dealt.mapInArrow(_writer(folder, file_bytes, date), _MANIFEST), "manifest")
+    sizes = pick(pages, "page_id", "html").select(F.col("page_id").cast("bigint").alias("page_id"), F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("size"))
+    dealt, n = _shards(resolved(pages, least), sizes, shard_bytes)
+    dealt = dealt.select("shard", "page_id", "url", "html", "refers_to", "revisit").repartitionById(n, F.col("shard"))
+    dealt = dealt.sortWithinPartitions("shard", "page_id", "url", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
+    with shuffles_dropped(spark):  # the payloads' shuffle goes when the files are written
+        manifest = written(dealt.mapInArrow(_writer(folder, file_bytes, date), _MANIFEST), "manifest")
     moved = manifest.repartition(F.col("name")).mapInArrow(_mover(folder), _MANIFEST)
     moved.write.parquet(f"{folder}/_manifest")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
