@@ -58,4 +58,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle()}
+    return {"op2_license_scan": licenses.oracle(), "op10_substring_dedup": substring_dedup.oracle()}

@@ -176,3 +176,17 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
         F.when(F.col("is_copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(F.col("is_copy"), nothing).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
     )
+
+
+def oracle(window: int = WINDOW) -> str:
+    """The contract in DuckDB's SQL, by all windows spelled out."""
+    return f"""
+WITH w AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+g AS (SELECT r, doc_id, words, unnest(range(len(words) - {window - 1})) AS p FROM w WHERE len(words) >= {window}),
+k AS (SELECT r, doc_id, p, sha256(array_to_string(words[p + 1 : p + {window}], ' ')) AS h FROM g),
+m AS (SELECT h, min(doc_id) AS first FROM k GROUP BY 1),
+x AS (SELECT k.r, k.p FROM k JOIN m USING (h) WHERE k.doc_id > m.first),
+c AS (SELECT DISTINCT r, p + o AS i FROM x, (SELECT unnest(range({window})) AS o)),
+l AS (SELECT r, unnest(words) AS word, unnest(range(len(words))) AS i FROM w),
+kept AS (SELECT l.r, count(*) AS n, string_agg(word, ' ' ORDER BY i) AS t FROM l ANTI JOIN c USING (r, i) GROUP BY 1)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (r)"""

@@ -125,6 +125,12 @@ def test_substring_dedup_equals_brute_force(spark, documents):
     assert got == sorted(brute_removed(rows, 50), key=str)
 
 
+def test_substring_sql_equals_brute_force(documents):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    assert sorted(con.execute(substring_dedup.oracle()).fetchall()) == sorted(brute_removed(documents, 50))
+
+
 def test_equal_windows_choose_equal_prefixes():
     rng = random.Random(4)
     words = [rng.choice("abcdefgh").encode() for _ in range(400)]
