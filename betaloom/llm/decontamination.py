@@ -9,9 +9,10 @@ block at least.  What meets is held against the radius, then the exact weighted
 similarity (sum of minima over sum of maxima of the counts) decides.
 
 A window that shares under 0.8 of an item's shingles can't reach a similarity of 0.8, so
-windows are taken only where a document holds that many shingle places of one item, at
-the offsets that these places give.  This loses no window at an offset that has a place
-in common with the item and keeps the work in proportion to what is contaminated.
+windows are taken only where that many shared places lie within an item's length, each
+ending at one of them.  No start is lost: slid left until its last shingle is shared, a
+window loses nothing in common with the item, so the first of the best windows ends at a
+shared place or begins the text.  The work is in proportion to what is contaminated.
 """
 
 from __future__ import annotations
@@ -93,24 +94,26 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     wanted = pick(items, (item_col, "item_id"), (item_text, "text")).select("item_id", words(F.col("text")).alias("w")).select("item_id", F.size("w").alias("m"), shingle_hashes("w").alias("item_hashes")).where(F.col("m") >= SHINGLE).distinct()
     wanted = written(wanted.withColumn("item", F.xxhash64("item_id", "item_hashes")), "items")
     n_places = wanted.agg(F.coalesce(F.sum(F.size("item_hashes")), F.lit(0))).first()[0]
-    places = wanted.select("item", "m", F.posexplode("item_hashes").alias("item_at", "h"))
+    places = wanted.select("item", "m", F.explode(F.array_distinct("item_hashes")).alias("ih"))
 
     keyed = pick(docs, (id_col, "doc_id"), (text_col, "text")).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
     hashed = keyed.select("doc_id", "row_key", words(F.col("text")).alias("w")).select("doc_id", "row_key", shingle_hashes("w").alias("hashes"))
     every = hashed.select("doc_id", "row_key", F.posexplode_outer("hashes").alias("at", "h"))
-    hits = every.join(_small(places.withColumnRenamed("h", "ih"), n_places), F.col("h") == F.col("ih"))
-    # enough places of one item, then every offset they give; a set, so that repeated rows change nothing
-    per_item = hits.groupBy("doc_id", "row_key", "item", "m").agg(F.count_distinct("at").alias("n"), F.collect_set(F.col("at") - F.col("item_at")).alias("offsets"))
-    per_item = per_item.where(F.col("n") >= F.ceil(F.lit(SIMILARITY) * (F.col("m") - (SHINGLE - 1)) - 1e-9))
-    sized = per_item.groupBy("doc_id", "row_key", "m").agg(F.array_distinct(F.flatten(F.collect_list("offsets"))).alias("offsets"))
-    hopeful = written(sized.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("m", "offsets")).alias("sizes")), "hopeful").withColumnsRenamed({"doc_id": "d", "row_key": "k"})
+    hits = every.join(_small(places, n_places), F.col("h") == F.col("ih"))
+    # the places shared with one item; a set, so that repeated rows change nothing
+    per_item = hits.groupBy("doc_id", "row_key", "item", "m").agg(F.array_sort(F.collect_set("at")).alias("shared"))
+    length = F.col("m") - (SHINGLE - 1)
+    least = F.ceil(F.lit(SIMILARITY) * length - 1e-9).cast("int")
+    ends = F.filter(F.sequence(least, F.size("shared")), lambda i: F.element_at("shared", i) - F.element_at("shared", i - least + 1) < length)
+    starts = F.transform(ends, lambda i: F.greatest(F.lit(0), F.element_at("shared", i) - length + 1))
+    per_item = per_item.withColumn("starts", F.when(F.size("shared") >= least, F.array_distinct(starts))).where(F.size("starts") > 0)
+    sized = per_item.groupBy("doc_id", "row_key", "m").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
+    hopeful = written(sized.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("m", "starts")).alias("sizes")), "hopeful").withColumnsRenamed({"doc_id": "d", "row_key": "k"})
 
     read = keyed.join(hopeful, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("doc_id", "row_key", "text", "sizes")
     read = read.select("doc_id", "row_key", "sizes", words(F.col("text")).alias("w")).select("doc_id", "row_key", "sizes", shingle_hashes("w").alias("hashes"))
     sizes = read.select("doc_id", "row_key", "hashes", F.inline("sizes"))
-    starts = sizes.select("doc_id", "row_key", "hashes", "m", F.explode("offsets").alias("o"))
-    last = F.size("hashes") + (SHINGLE - 1) - F.col("m")
-    starts = starts.select("doc_id", "row_key", "m", F.greatest(F.lit(0), F.least("o", last)).alias("start"), "hashes")
+    starts = sizes.select("doc_id", "row_key", "hashes", "m", F.explode("starts").alias("start"))
     windows = starts.select("doc_id", "row_key", "m", "start", F.slice("hashes", F.col("start") + 1, F.col("m") - (SHINGLE - 1)).alias("hashes"))
     windows = written(windows.distinct(), "windows")
 

@@ -194,6 +194,27 @@ def test_decontamination_equals_brute_force(spark, documents):
     assert kept.count() == sum(1 for d, t in docs if not any(x == d for x, _ in want) or not t)
 
 
+def test_decontamination_finds_the_best_of_all_windows(spark):
+    item = [f"w{k}" for k in range(67)]
+    edited = ["x1", "x2", *item[2:34], "y1", "y2", "y3", *item[34:66], "x3"]
+    long = [f"v{k}" for k in range(150)]
+    other = [*["z"] * 5, *long[5:75], *[f"y{k}" for k in range(9)], *long[75:145], *["z"] * 5]
+    docs = [(k, " ".join([*["pre"] * n, *w, *["post"] * n])) for k, (w, n) in enumerate([(edited, 0), (edited, 9), (other, 7), (item[20:], 0), (item * 3, 2)])]
+    want = {}
+    for i, w in enumerate((item, long)):
+        c = Counter(zip(*(w[k:] for k in range(5))))
+        for d, t in docs:
+            s = list(zip(*(t.split()[k:] for k in range(5))))
+            for k in range(max(1, len(s) - len(w) + 5)):
+                low = (Counter(s[k : k + len(w) - 4]) & c).total()
+                v = low / (len(s[k : k + len(w) - 4]) + len(w) - 4 - low)
+                if v >= 0.8 and v > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = (v, k)
+    items = spark.createDataFrame([(0, " ".join(item)), (1, " ".join(long))], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontamination.leaks(spark.createDataFrame(docs, DOCS), items).collect()}
+    assert got == {k: (round(v, 6), s) for k, (v, s) in want.items()} and {(0, 0), (1, 0), (2, 1)} <= set(got)
+
+
 # ---- WARC
 
 
