@@ -4,7 +4,8 @@ Every rolling two-word gram of every text is hashed and joined to the positions
 license templates.  A hit votes for its diagonal (place in the text minus place in the
 template); a template that stands in a text gathers votes on one diagonal, or, with words
 put in or left out, on neighbouring ones, which are merged.  A hit counts only if its
-words equal the template's, and a merged span only if enough of the template lies in it.
+words equal the template's.  In each merged run every span of bounded length that begins
+at a hit is verified by the number of different template grams in it.
 
 Phrases are templates that must be complete on one diagonal.
 """
@@ -73,14 +74,21 @@ def matches(rows: DataFrame) -> DataFrame:
     placed = rows.select("doc_id", "row_key", "words", F.posexplode_outer(F.when(F.size("words") > 1, grams)).alias("at", "h"))
     known = templates(spark).withColumnRenamed("h", "th")
     hits = placed.join(F.broadcast(known), F.col("h") == F.col("th")).where((F.col("words")[F.col("at")] == F.col("g1")) & (F.col("words")[F.col("at") + 1] == F.col("g2")))
-    votes = hits.groupBy("doc_id", "row_key", "t", "kind", "label", "grams", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(F.count_distinct("at").alias("votes"), F.min("at").alias("lo"), (F.max("at") + 2).alias("hi"))
+    votes = hits.groupBy("doc_id", "row_key", "t", "kind", "label", "grams", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(F.collect_set("at").alias("places")).withColumn("votes", F.size("places"))
     whole = votes.where("kind <> 'notice' and votes = grams").select("doc_id", "row_key", "kind", "label", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("grams") + 1).alias("end"), F.lit(1.0).alias("share"))
     # a text's diagonals of one template are at most as many as its words
     order = Window.partitionBy("doc_id", "row_key", "t").orderBy("diagonal")
     notices = votes.where("kind = 'notice'").withColumn("new", (F.col("diagonal") - F.coalesce(F.lag("diagonal").over(order), F.lit(-(1 << 30))) > NEAR).cast("int"))
-    merged = notices.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "row_key", "t", "label", "grams", "run").agg(F.sum("votes").alias("votes"), F.min("lo").alias("start"), F.max("hi").alias("end"))
-    share = F.least(F.col("votes") / F.col("grams"), F.lit(1.0))
-    spans = merged.where((share >= COVERED) & (F.col("end") - F.col("start") <= STRETCH * (F.col("grams") + 1))).select("doc_id", "row_key", F.lit("notice").alias("kind"), "label", "start", "end", share.alias("share"))
+    run = ["doc_id", "row_key", "t", "label", "grams", "run"]
+    # the votes of a run are at least its different grams, so nothing is lost here
+    enough = notices.withColumn("run", F.sum("new").over(order)).withColumn("most", F.sum("votes").over(Window.partitionBy(*run))).where(F.col("most") >= COVERED * F.col("grams"))
+    # places scaled, so that one frame fits all notices: a span's hits are under ``reach`` words apart
+    reach = F.floor(STRETCH * (F.col("grams") + 1)) - 1
+    placed_hits = enough.select(*run, "diagonal", F.explode("places").alias("at")).withColumn("scaled", (F.col("at") * 1_000_000 / reach).cast("bigint"))
+    frame = Window.partitionBy(*run).orderBy("scaled").rangeBetween(0, 999_999)
+    tried = placed_hits.select(*run, (-F.col("at")).alias("before"), F.size(F.collect_set(F.col("at") - F.col("diagonal")).over(frame)).alias("covered"), (F.max("at").over(frame) + 2).alias("end"))
+    best = tried.groupBy(*run).agg(F.max(F.struct("covered", "before", "end")).alias("b")).withColumn("share", F.col("b.covered") / F.col("grams"))
+    spans = best.where(F.col("share") >= COVERED).select("doc_id", "row_key", F.lit("notice").alias("kind"), "label", (-F.col("b.before")).alias("start"), F.col("b.end").alias("end"), "share")
     return whole.unionByName(spans)
 
 

@@ -159,6 +159,13 @@ def test_license_cases(spark):
     assert not any(r.labels for k, r in got.items() if k[0] in (5, 7, 8))
 
 
+def test_notices_among_frequent_words(spark):
+    notice = licenses.NOTICES[0][0]
+    rows = [(1, notice + " the software is the software and" * 20), (2, "run the software now " * 15), (3, "the software is the software and " * 20 + notice.replace("free of charge", "free")), (4, "the software " * 400)]
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got[1] == ("mit", 1.0) and got[2] == got[4] == ("", 0.0) and got[3][0] == "mit" and 0.9 < got[3][1] < 1
+
+
 # ---- decontamination
 
 
