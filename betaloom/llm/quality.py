@@ -66,11 +66,13 @@ def repeated_lines(text: str) -> int:
 
 
 def main_script(text: str) -> str:
-    """Script of most letters, from an even sample of 400 characters; OTHER without letters."""
+    """Script of most letters, every one counted; OTHER without letters."""
     if text.isascii():
         return "LATIN" if re.search("[A-Za-z]", text) else "OTHER"
-    step = max(1, len(text) // 400)
-    counts = Counter(_script(c) for c in text[::step] if c.isalpha())
+    counts: Counter[str] = Counter()
+    for c, n in Counter(text).items():
+        if c.isalpha():
+            counts[_script(c)] += n
     return min(counts, key=lambda k: (-counts[k], k)) if counts else "OTHER"
 
 

@@ -109,6 +109,14 @@ def test_quality_verdicts(spark):
     assert got == sorted([(1, 14, False, True), (2, 0, True, False), (3, 0, True, False), (4, 100, True, False), (5, 41, True, False), (5, 1, True, False)])
 
 
+def test_main_script_counts_every_letter():
+    table = list("١٢٣٤ " * 12_000)
+    table[12_345] = table[45_678] = "a"
+    assert quality.main_script("".join(table)) == "LATIN"
+    assert quality.main_script(("a" + "漢" * 96 + " é ") * 400) == "CJK"
+    assert quality.main_script("١٢ ☃") == "OTHER" and quality.main_script("ab漢字文") == "CJK"
+
+
 def test_per_row_operators_keep_rows(spark):
     rows = [(1, None, "n"), (1, "", "n"), (None, "token = abcdef123", "x"), (7, "é" * 100_000, "y"), (7, "é" * 100_000, "y")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, TEXT string")  # a name that differs in case only
