@@ -8,13 +8,16 @@ keyword; of every 24 neighbouring characters of such a run one has a place divis
 by 24, so only those places are looked at and a hit there is widened both ways.
 
 Beyond the base kinds, spans are added whose own structure proves them: tokens that
-embed a CRC-32 in base 62, signed web tokens whose header decodes, and private key blocks.
+embed a CRC-32 in base 62, signed web tokens whose header decodes, and private key blocks
+whose body decodes to a key's outer structure.
+
+Every kind's work is linear in the text: what a failed try has read is not read again by
+the tries that start inside it.
 """
 
 from __future__ import annotations
 
 import base64
-import binascii
 import functools
 import hashlib
 import json
@@ -52,9 +55,23 @@ def decodable_header(token: str) -> bool:
     """Three dotted parts, the first of which is a JSON object with an algorithm."""
     head = token.split(".")[0]
     try:
-        return "alg" in json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
-    except (ValueError, binascii.Error, TypeError):
+        found = json.loads(base64.urlsafe_b64decode(head + "=" * (-len(head) % 4)))
+    except (ValueError, RecursionError):  # brackets nested thousands deep aren't a header either
         return False
+    return isinstance(found, dict) and "alg" in found
+
+
+def key_structure(block: str) -> bool:
+    """The body between the marks is base 64 of a DER sequence or of an OpenSSH key, or is said to be encrypted."""
+    body = block.split("KEY-----", 1)[1].rpartition("-----END")[0].replace("\\n", "\n")
+    lines = body.split("\n")
+    if any(":" in x for x in lines):
+        return any(x.startswith("Proc-Type: 4,ENCRYPTED") for x in lines)
+    try:
+        data = base64.b64decode("".join(body.split()), validate=True)
+    except ValueError:
+        return False
+    return len(data) >= 16 and (data[0] == 0x30 or data.startswith(b"openssh-key-v1\0"))
 
 
 class _Kind:
@@ -67,8 +84,10 @@ _ANCHORED = {
     "access": _Kind(ACCESS, ("akia",), lambda m: len(m[0]) >= ACCESS_LEAST),
     "checked": _Kind(r"(?:gh[pousr]|npm)_[A-Za-z0-9]{36}(?![A-Za-z0-9])", CHECKED_PREFIXES, lambda m: embedded_checksum(m[0])),
     "webtoken": _Kind(r"eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", ("eyj",), lambda m: decodable_header(m[0])),
-    "keyblock": _Kind(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*(?:-----END [A-Z ]*PRIVATE KEY-----)?", ("-----begin ",), lambda m: True),
+    "keyblock": _Kind(r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?!-----)[\x20-\x7E\s])*-----END [A-Z ]*PRIVATE KEY-----", ("-----begin ",), lambda m: key_structure(m[0])),
 }
+#: The first part of a web token: where the try at its start fails, all later starts in it fail.
+_first_part = re.compile(r"[A-Za-z0-9_-]+").match
 _HEX = frozenset("0123456789abcdef")
 
 
@@ -109,12 +128,16 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         hits.setdefault(kind, []).append(end - n + 1)
     out = []
     for kind, starts in hits.items():
-        k, over = _ANCHORED[kind], 0
+        k, over, dead = _ANCHORED[kind], 0, 0
         for start in sorted(set(starts)):
-            if start >= over and (m := k.match(text, start)):
+            if start < over or start < dead:
+                continue
+            if m := k.match(text, start):
                 over = m.end()
                 if k.accept(m):
                     out.append((kind, start, over))
+            elif kind == "webtoken":
+                dead = _first_part(text, start).end()
     out += [("hex", lo, hi) for lo, hi in _hex_runs(text)]
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
@@ -122,7 +145,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row ``id, spans array<struct<kind, start, end>>``; a null text counts as empty.
 
-    Rows stay as they are, repeated ones too; other columns are dropped; no shuffle.
+    Rows stay as they are, repeated ones too; other columns are dropped; an empty table gives
+    an empty table; no shuffle.
     """
 
     def run(texts: list) -> list:
@@ -132,7 +156,12 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts per base kind, a digest of the base spans and all spans as text."""
+    """``id, n_assign, n_access, n_hex, base_sha256, spans`` per row, in the order of :func:`find_spans`.
+
+    A null text counts as empty: counts of 0, the digest of nothing, no spans.  Rows stay
+    as they are, repeated ones too, null ids too; other columns are dropped; an empty
+    table gives an empty table; no shuffle.
+    """
 
     def shown(spans: list) -> str:
         return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
