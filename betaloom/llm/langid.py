@@ -7,8 +7,9 @@ languages share one set of sorted hash arrays: per order the n-grams that any la
 has seen, with a row of log-probabilities, and the contexts, with a row of back-off
 weights.  A position of a text costs one binary search where its four-gram is known.
 
-The language with the lowest cross-entropy per character wins.  Its calibrated limit, the
-mean plus some deviations of held-back training texts, tells texts of no learned language.
+The language with the lowest cross-entropy per character wins.  Its limit is calibrated on
+held-back texts by their median and median absolute deviation, which a few mislabelled or
+tiny texts don't move, and tells texts of no learned language.
 """
 
 from __future__ import annotations
@@ -20,18 +21,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import field, map_texts, pick, steps
+from .common import field, map_texts, pick, steps, written
 
-#: Parameters: about how many texts per language are learned from, the share of them held
-#: back for calibration, deviations above the mean that are still accepted, sharpness of
-#: the score, most languages and most bytes of the tables sent to workers.
-TRAIN_TEXTS, CALIBRATE, DEVIATIONS, SHARPNESS, MOST_LANGUAGES, MOST_BYTES = 2000, 0.1, 12.0, 8.0, 512, 1 << 28
+#: Parameters of the fit, which looks at a bounded sample: most texts per language, most
+#: characters of all languages together, share of the sample held back for calibration,
+#: most languages (those with most rows), most bytes of the tables sent to workers (beyond
+#: it the rarest four-grams go).
+TRAIN_TEXTS, TRAIN_CHARACTERS, CALIBRATE, MOST_LANGUAGES, MOST_BYTES = 2000, 1 << 25, 0.1, 128, 1 << 28
+#: Parameters of the verdict: robust deviations above the median that are still accepted,
+#: least deviation in nats, sharpness of the score.
+DEVIATIONS, LEAST_DEVIATION, SHARPNESS = 8.0, 0.05, 8.0
 ORDER = 4
 #: Parameter: what is added to the limit, over the root of the number of characters, since short texts vary more.
-SHORT = 6.0
+SHORT = 4.0
 UNDETERMINED = "und"
 _BLANK = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -184,31 +189,62 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(3)) == 1, F.lit(False))
 
 
+def sampled(rows: DataFrame, texts: int = TRAIN_TEXTS, characters: int = TRAIN_CHARACTERS) -> DataFrame:
+    """``language, text, place, held`` from ``id, text, language``: at most ``texts`` different rows of each language.
+
+    Rows are drawn by a hash of id and text, so rows with one id, or none, are drawn apart,
+    and rows that repeat count as one.  ``place`` numbers a language's rows in the order
+    they are drawn; the last share of them is held back.  The number of different rows is
+    estimated by a sketch in the counting pass, only to draw few more than are needed.
+    """
+    spark = rows.sparkSession
+    keyed = rows.withColumn("key", F.xxhash64("id", "text"))
+    sizes = keyed.groupBy("language").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("kinds")).orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES).collect()
+    if not sizes:
+        return spark.createDataFrame([], "language string, text string, place int, held boolean")
+    shares = spark.createDataFrame([(r["language"], min(1.0, 2 * texts / r["kinds"])) for r in sizes], "language string, share double")
+    dice = F.pmod(F.xxhash64("key", F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = keyed.withColumn("dice", dice).join(F.broadcast(shares), "language").where("dice < share")
+    different = drawn.groupBy("language", "key").agg(F.min("dice").alias("dice"), F.min(F.length("text")).alias("length"))
+    # at most about twice ``texts`` rows a language are in one window
+    order = Window.partitionBy("language").orderBy("dice", "key")
+    ranked = different.withColumn("place", F.row_number().over(order)).withColumn("upto", F.sum("length").over(order))
+    chosen = ranked.where((F.col("place") <= texts) & ((F.col("upto") <= characters // len(sizes)) | (F.col("place") <= 2)))
+    of = Window.partitionBy("language")
+    size = F.count("*").over(of)
+    chosen = chosen.withColumn("held", (F.col("place") > size - F.floor(size * CALIBRATE)) & (size * CALIBRATE >= 2)).select(F.col("language").alias("l"), F.col("key").alias("k"), "place", "held")
+    chosen = F.broadcast(written(chosen, "sample"))  # at most MOST_LANGUAGES * texts rows
+    return drawn.join(chosen, (F.col("language") == F.col("l")) & (F.col("key") == F.col("k"))).select("language", "key", "text", "place", "held").dropDuplicates(["language", "key"]).drop("key")
+
+
+def _fitting(found: dict[str, tuple[np.ndarray, np.ndarray]], most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """Without the rarest four-grams, as far as the tables would take more than ``most`` bytes."""
+    least = 1
+    while True:
+        union = np.unique(np.concatenate([g for g, _ in found.values()]))
+        # all orders together have under twice as many rows as the highest
+        if len(union) * 2 * (8 + 4 * len(found)) <= most or len(union) <= 1000:
+            return found
+        least *= 2
+        found = {k: (g[n >= least], n[n >= least]) if (n >= least).any() else (g[n == n.max()], n[n == n.max()]) for k, (g, n) in found.items()}
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = TRAIN_TEXTS) -> Model:
     """Learn from rows with text and language.
 
-    A hash of the id picks about ``texts`` rows of each language (all rows of a smaller
-    one), their texts whole.  Languages and their counts, and the four-grams of the
-    sample, come to the driver; both are bounded by parameters, and exceeding them raises.
-    A language with fewer than 20 texts holds none back and takes no limit: its texts
-    are never rejected.
+    Of each language at most ``texts`` different rows are learned from, whole (see
+    :func:`sampled`; null and repeated ids are no matter).  Their four-grams and counts
+    come to the driver, at most TRAIN_CHARACTERS of them.  A language with fewer than 20
+    texts holds none back; its limit is the largest of the others', or none.  Without any
+    labelled row nothing is learned.
     """
     spark = docs.sparkSession
     rows = pick(docs, (id_col, "id"), (text_col, "text"), (lang_col, "language")).where("text is not null and language is not null")
-    sizes = {r["language"]: r["n"] for r in rows.groupBy("language").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
-        return build({})
-    shares = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, texts / n))])
-    dice = F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) / float(1 << 20)
-    share = F.element_at(shares, F.col("language"))
-    sample = rows.withColumn("dice", dice).withColumn("share", share).where("dice < share")
-    few = [k for k, n in sizes.items() if n * CALIBRATE < 2]  # too few to hold any back
-    back = (F.col("dice") < CALIBRATE * F.col("share")) & ~F.col("language").isin(few)
-    fit = sample.where(~back)
-    counted = fit.select("language", "text").mapInArrow(_counts, "language string, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
+    sample = written(sampled(rows, texts), "sampled")
+    counted = sample.where("not held").select("language", "text").mapInArrow(_counts, "language string, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
     grams, n = counted.column("gram").to_numpy().view(np.uint64), counted.column("n").to_numpy()
+    if not len(grams):
+        return build({})
     of = counted.column("language").combine_chunks().dictionary_encode()
     codes, names = of.indices.to_numpy(), of.dictionary.to_pylist()
     found = {}
@@ -216,9 +252,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         mine = codes == j
         by = np.argsort(grams[mine])
         found[name] = (grams[mine][by], n[mine][by])
-    model = build(found)
-    if model.nbytes > MOST_BYTES:
-        raise ValueError(f"the tables take {model.nbytes >> 20} MB; lower the number of texts or languages")
+    model = build(_fitting(found, MOST_BYTES))
     shipped = spark.sparkContext.broadcast(model)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,9 +263,14 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             if out:
                 yield pa.RecordBatch.from_pylist([{"language": k, "h": h} for k, h in out])
 
-    held = sample.where(back).select("language", "text").mapInArrow(measure, "language string, h double").groupBy("language").agg(F.avg("h").alias("mean"), F.coalesce(F.stddev("h"), F.lit(0.0)).alias("sd")).collect()
-    for r in held:
-        model.limits[model.languages.index(r["language"])] = r["mean"] + DEVIATIONS * max(r["sd"], 0.05)
+    held = sample.where("held").select("language", "text").mapInArrow(measure, "language string, h double")
+    middle = held.groupBy("language").agg(F.median("h").alias("middle"))  # at most ``texts`` rows a language
+    spread = held.join(F.broadcast(middle), "language").groupBy("language").agg(F.first("middle").alias("middle"), F.median(F.abs(F.col("h") - F.col("middle"))).alias("mad"))
+    for r in spread.collect():
+        model.limits[model.languages.index(r["language"])] = r["middle"] + DEVIATIONS * max(1.4826 * r["mad"], LEAST_DEVIATION)
+    known = np.isfinite(model.limits)
+    if known.any():
+        model.limits[~known] = model.limits[known].max()
     shipped.unpersist()
     return model
 
@@ -253,7 +292,11 @@ def classify(docs: DataFrame, model: Model, ids: tuple[str, ...] = ("doc_id",),
 
 
 def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = TRAIN_TEXTS) -> DataFrame:
-    """Learn from the labelled rows that aren't held out, then classify every row."""
+    """``id, held_out, lang_pred, score, cross_entropy, rejected`` per row.
+
+    Learns from the labelled rows that aren't held out, then classifies every row (see
+    :func:`train` and :func:`classify`); an empty table gives an empty table.
+    """
     labelled = pick(docs, id_col, text_col, lang_col).where(~held_out(F.col(id_col)))
     model = train(labelled, id_col, text_col, lang_col, texts)
     out = classify(docs, model, (id_col,), text_col)
