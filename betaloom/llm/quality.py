@@ -4,6 +4,10 @@ A public vocabulary that knows a language encodes its words in few tokens, rarel
 back to bytes and uses many different tokens; junk does the opposite.  Per text the
 operator measures characters per token, the share of byte-fallback tokens and the
 entropy of its tokens, and rejects what lies outside the bands of the text's main script.
+The bands are calibrated on the whole table: quartiles of each script's texts, widened by
+a multiple of the distance between them.  Entropy is taken over blocks of as many tokens
+as TOKENS, as a share of what as many different tokens would have, so that it means the
+same for texts of any length.
 Beside these stand plain counts: symbols, repeated lines, repeated word windows.
 """
 
@@ -17,22 +21,17 @@ from collections import Counter
 
 import public_tokenizers
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import field, map_texts, on_leave
+from .common import field, map_texts, on_leave, written
 from .piece_bpe import MEMO_CHUNKS, MODEL, Memo, load
 
-#: Parameters: bands per main script: least and most characters per token, most share of
-#: byte-fallback tokens, least token entropy in bits for texts of ENTROPY_FROM tokens on.
-BANDS = {
-    "LATIN": (1.2, 7.0, 0.10, 3.0),
-    "CYRILLIC": (0.9, 6.0, 0.10, 3.0),
-    "GREEK": (0.6, 5.0, 0.20, 3.0),
-    "CJK": (0.3, 3.0, 0.50, 3.0),
-    "HANGUL": (0.3, 3.0, 0.60, 3.0),
-    "ARABIC": (0.5, 5.0, 0.20, 3.0),
-    "OTHER": (0.2, 8.0, 0.90, 2.0),
-}
-ENTROPY_FROM = 50
+#: Scripts with bands of their own; all others share OTHER.
+SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "ARABIC", "HEBREW", "DEVANAGARI", "BENGALI", "TAMIL", "THAI", "ARMENIAN", "GEORGIAN", "ETHIOPIC")
+#: Parameters: a band reaches this many quartile distances beyond the quartiles; the least
+#: distance of characters per token as a share of the median, of byte share and of entropy
+#: share; tokens of a block.
+FENCE, LEAST_SPREAD, TOKENS = 2.0, (0.05, 0.02, 0.02), 128
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -67,8 +66,6 @@ def repeated_lines(text: str) -> int:
 
 def main_script(text: str) -> str:
     """Script of most letters, every one counted; OTHER without letters."""
-    if text.isascii():
-        return "LATIN" if re.search("[A-Za-z]", text) else "OTHER"
     counts: Counter[str] = Counter()
     for c, n in Counter(text).items():
         if c.isalpha():
@@ -79,7 +76,7 @@ def main_script(text: str) -> str:
 @functools.lru_cache(maxsize=65536)
 def _script(c: str) -> str:
     first = unicodedata.name(c, "").split(" ")[0]
-    return first if first in BANDS else "OTHER"
+    return first if first in SCRIPTS else "OTHER"
 
 
 def _tokens(path: str) -> Memo:
@@ -97,45 +94,86 @@ _tokens = functools.lru_cache(maxsize=2)(_tokens)
 on_leave(__name__, lambda: _tokens.cache_clear())
 
 
-def fertility(text: str, path: str) -> tuple[float, float, float, int]:
-    """Characters per token, byte-fallback share, token entropy in bits, number of tokens."""
+def fertility(text: str, path: str) -> tuple[float, float, float]:
+    """Characters per token, byte-fallback share, entropy of the tokens as a share of the largest possible.
+
+    A text without tokens measures 0 in all three.
+    """
     bpe, memo = load(path), _tokens(path)
     found = [memo[c] for c in bpe.split(text)]
-    counts = Counter([i for ids, _ in found for i in ids])
-    n = counts.total()
+    ids = [i for chunk, _ in found for i in chunk]
+    n = len(ids)
     if not n:
-        return 0.0, 0.0, 0.0, 0
-    entropy = math.log2(n) - sum(v * math.log2(v) for v in counts.values() if v > 1) / n
+        return 0.0, 0.0, 0.0
     # line feeds are bytes in this vocabulary and say nothing about the language
-    fallback = max(0, sum(b for _, b in found) - text.count("\n"))
-    return len(text) / n, fallback / n, max(0.0, entropy), n
+    fallback = max(0, sum([b for _, b in found]) - text.count("\n"))
+    blocks = max(1, round(n / TOKENS))
+    size = -(-n // blocks)
+    share = sum(_evenness(ids[lo : lo + size]) for lo in range(0, n, size)) / -(-n // size)
+    return len(text) / n, fallback / n, share
 
 
-def in_band(text: str, measured: tuple[float, float, float, int], bands: dict = BANDS) -> bool:
-    per_token, fallback, entropy, n = measured
-    least, most, most_bytes, least_entropy = bands[main_script(text)]
-    return n > 0 and least <= per_token <= most and fallback <= most_bytes and (n < ENTROPY_FROM or entropy >= least_entropy)
+def _evenness(ids: list[int]) -> float:
+    n = len(ids)
+    if n < 2:
+        return 1.0
+    top = _LOG[n] if n < len(_LOG) else math.log2(n)
+    repeated = [v for v in Counter(ids).values() if v > 1]
+    return 1.0 - sum([v * math.log2(v) for v in repeated]) / n / top
 
 
-def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, bands: dict | None = None) -> DataFrame:
-    """Counts, fertility and verdict per row, one pass, no shuffle.
+_LOG = [math.log2(max(1, k)) for k in range(2 * TOKENS)]
 
-    ``id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
-    chars_per_token, byte_share, token_entropy``.  A null or empty text has no words and
-    fails; rows stay as they are, repeated ones too; other columns are dropped.
+
+def bands(measured: DataFrame, fence: float = FENCE) -> DataFrame:
+    """``band_script, least_chars, most_chars, most_bytes, least_entropy`` per main script, from all rows that pass the base rule.
+
+    A row per script that occurs, so at most as many as SCRIPTS and one.
     """
-    path, bounds = model or public_tokenizers.path(MODEL), bands or BANDS
+    parts = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(c) for c in _MEASURES]
+    found = measured.where("not base_failed").groupBy(F.col("script").alias("band_script")).agg(*parts)
+    low, middle, high = ({c: F.col(c)[k] for c in _MEASURES} for k in range(3))
+    per_token, bytes_, entropy = _MEASURES
+    width = {c: fence * F.greatest(high[c] - low[c], F.lit(least) * (middle[c] if c == per_token else F.lit(1.0))) for c, least in zip(_MEASURES, LEAST_SPREAD)}
+    return found.select(
+        "band_script", (low[per_token] - width[per_token]).alias("least_chars"), (high[per_token] + width[per_token]).alias("most_chars"),
+        (high[bytes_] + width[bytes_]).alias("most_bytes"), (low[entropy] - width[entropy]).alias("least_entropy"),
+    )
+
+
+_MEASURES = ("chars_per_token", "byte_share", "token_entropy")
+
+
+def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
+    """``id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, script``, and the three measures, per row; one pass, no shuffle."""
+    path = model or public_tokenizers.path(MODEL)
 
     def one(text: str) -> tuple:
         words = _WORDS.findall(text)
         n, repeats = len(words), repeated_words(words)
-        failed = n < 10 or 100 * repeats > 20 * n
-        measured = fertility(text, path)
-        kept = not failed and in_band(text, measured, bounds)
-        return n, sum(map(len, words)), len(_SYMBOLS.findall(text)), repeated_lines(text), repeats, failed, kept, *measured[:3]
+        return n, sum(map(len, words)), len(_SYMBOLS.findall(text)), repeated_lines(text), repeats, n < 10 or 100 * repeats > 20 * n, main_script(text), *fertility(text, path)
+
+    names = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("script", "string"), *((c, "double") for c in _MEASURES)]
 
     def run(texts: list) -> list:
         return list(zip(*(one(t or "") for t in texts))) if texts else [[] for _ in names]
 
-    names = [("n_words", "long"), ("word_chars", "long"), ("n_symbols", "long"), ("n_dup_lines", "long"), ("n_repeat_words", "long"), ("base_failed", "boolean"), ("kept", "boolean"), ("chars_per_token", "double"), ("byte_share", "double"), ("token_entropy", "double")]
     return map_texts(docs, [id_col], text_col, run, [field(*x) for x in names])
+
+
+def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None, fence: float = FENCE) -> DataFrame:
+    """Counts, verdict and measures per row.
+
+    ``id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
+    script, chars_per_token, byte_share, token_entropy``.  ``kept`` is false where the base
+    rule fails (a null or empty text has no words and fails) and where a measure lies
+    outside the band of the text's main script; a script none of whose texts passes the
+    base rule has no band.  Rows stay as they are, repeated ones and null ids too; other
+    columns are dropped; an empty table gives an empty table.
+    """
+    measured = written(measure(docs, id_col, text_col, model), "measures")
+    limits = F.broadcast(written(bands(measured, fence), "bands"))  # a row per script
+    inside = F.col("chars_per_token").between(F.col("least_chars"), F.col("most_chars")) & (F.col("byte_share") <= F.col("most_bytes")) & (F.col("token_entropy") >= F.col("least_entropy"))
+    out = measured.join(limits, F.col("script") == F.col("band_script"), "left")
+    kept = ~F.col("base_failed") & F.coalesce(inside, F.lit(True))
+    return out.select(id_col, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), "script", *_MEASURES)

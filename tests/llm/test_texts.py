@@ -103,10 +103,55 @@ def test_repeated_words_and_lines():
     assert quality.repeated_lines("a\nb\na\n \n \n\na") == 2
 
 
-def test_quality_verdicts(spark):
-    rows = [(1, "The quick brown fox jumps over the lazy dog near the river bank today."), (2, None), (3, ""), (4, "a b c d e " * 20), (5, "þ" * 10 + " ☃" * 40), (5, "x")]
-    got = sorted((r.doc_id, r.n_words, r.base_failed, r.kept) for r in quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string")).collect())
-    assert got == sorted([(1, 14, False, True), (2, 0, True, False), (3, 0, True, False), (4, 100, True, False), (5, 41, True, False), (5, 1, True, False)])
+def plain_quality(rows: list, fence: float) -> list:
+    """The whole query by plain code: counts, measures by the library's ids, exact quartiles, verdicts."""
+    import math
+
+    import sentencepiece
+
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(piece_bpe.MODEL))
+    out = []
+    for d, t in rows:
+        t = t or ""
+        w = re.findall("[^\\x20\\x09-\\x0D]+", t)
+        counts = Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+        again = {k + j for k in range(len(w) - 4) if counts[tuple(w[k : k + 5])] > 1 for j in range(5)}
+        lines = t.split("\n")
+        dup = sum(bool(re.search("[^\\x20\\x09-\\x0D]", x)) and x in lines[:k] for k, x in enumerate(lines))
+        ids = library.encode(t)
+        n = len(ids)
+        size = -(-n // max(1, round(n / quality.TOKENS))) if n else 1
+        blocks = [ids[lo : lo + size] for lo in range(0, n, size)]
+        even = [-sum(v / len(b) * math.log2(v / len(b)) for v in Counter(b).values()) / math.log2(len(b)) if len(b) > 1 else 1.0 for b in blocks]
+        fallback = max(0, sum(library.is_byte(i) for i in ids) - t.count("\n"))
+        m = (len(t) / n, fallback / n, sum(even) / len(even)) if n else (0.0, 0.0, 0.0)
+        out.append([d, len(w), sum(map(len, w)), len(re.findall("[#*$%&|<>]", t)), dup, len(again), len(w) < 10 or 100 * len(again) > 20 * len(w), quality.main_script(t), m])
+    limits = {}
+    for script in {r[7] for r in out}:
+        mine = [r[8] for r in out if r[7] == script and not r[6]]
+        if mine:
+            q = [[sorted(c)[max(1, math.ceil(len(c) * p)) - 1] for p in (0.25, 0.5, 0.75)] for c in zip(*mine)]
+            width = [fence * max(q[k][2] - q[k][0], least * (q[0][1] if k == 0 else 1)) for k, least in enumerate(quality.LEAST_SPREAD)]
+            limits[script] = (q[0][0] - width[0], q[0][2] + width[0], q[1][2] + width[1], q[2][0] - width[2])
+    for r in out:
+        b = limits.get(r[7])
+        r.append(not r[6] and (b is None or (b[0] <= r[8][0] <= b[1] and r[8][1] <= b[2] and r[8][2] >= b[3])))
+    return sorted([(*r[:7], r[9]) for r in out], key=str)
+
+
+def test_quality_equals_the_plain_version(spark):
+    rng = random.Random(6)
+    base = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    junk = [(900 + k, " ".join(rng.choice(["☃☂★☆♜♞♛♚", "¤¬§¶þð", "⎋⎌⏎⏏"]) for _ in range(25)) + " aé b c d e f g h") for k in range(5)]
+    rows = base + junk + [(1000, None), (1000, ""), (None, base[0][1]), (1001, "漢字仮名交じり文の試験です。" * 3 + " " + " ".join("一二三四五六七八九十百千")), (1002, base[1][1]), (1002, base[1][1]), (1003, "x y\n" * 200_000), (1004, "Ж" * 12)]
+    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    got = quality.quality(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).select(*names).collect()
+    want = plain_quality(rows[:-2] + rows[-1:], quality.FENCE)  # its lines are compared pair by pair
+    assert sorted((tuple(r) for r in got if r.doc_id != 1003), key=str) == want
+    assert next(r for r in got if r.doc_id == 1003).base_failed
+    verdict = {r[0]: (r[6], r[7]) for r in want}
+    assert all(verdict[d] == (False, False) for d, _ in junk)
+    assert sum(r[7] for r in want) > 0.8 * sum(not r[6] for r in want)
 
 
 def test_main_script_counts_every_letter():
