@@ -68,13 +68,15 @@ def templates(spark: SparkSession) -> DataFrame:
 
 def matches(rows: DataFrame) -> DataFrame:
     """From ``doc_id, row_key, words``: accepted spans ``doc_id, row_key, kind, label, start, end, share``."""
-    spark = rows.sparkSession
-    grams = F.transform(F.sequence(F.lit(1), F.size("words") - 1), lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1)))
-    # outer, or else Spark infers a filter on the array's size and splits the text anew per element
-    placed = rows.select("doc_id", "row_key", "words", F.posexplode_outer(F.when(F.size("words") > 1, grams)).alias("at", "h"))
-    known = templates(spark).withColumnRenamed("h", "th")
-    hits = placed.join(F.broadcast(known), F.col("h") == F.col("th")).where((F.col("words")[F.col("at")] == F.col("g1")) & (F.col("words")[F.col("at") + 1] == F.col("g2")))
+    known = templates(rows.sparkSession).drop("h")
+    hashes = [r["h"] for r in templates(rows.sparkSession).select("h").distinct().collect()]  # of the fixed lists
+    # hits are found inside the text's array, so that no row of a gram carries the words
+    gram = lambda i: F.xxhash64(F.element_at("words", i), F.element_at("words", i + 1))
+    at = F.filter(F.when(F.size("words") > 1, F.sequence(F.lit(1), F.size("words") - 1)), lambda i: gram(i).isin(hashes))
+    hit = F.transform(at, lambda i: F.struct((i - 1).alias("at"), F.element_at("words", i).alias("g1"), F.element_at("words", i + 1).alias("g2")))
+    hits = rows.select("doc_id", "row_key", F.inline(hit)).join(F.broadcast(known), ["g1", "g2"])  # the words themselves are compared
     votes = hits.groupBy("doc_id", "row_key", "t", "kind", "label", "grams", (F.col("at") - F.col("t_at")).alias("diagonal")).agg(F.collect_set("at").alias("places")).withColumn("votes", F.size("places"))
+    votes = written(votes.where("kind = 'notice' or votes = grams"), "votes")  # read for phrases and for notices
     whole = votes.where("kind <> 'notice' and votes = grams").select("doc_id", "row_key", "kind", "label", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("grams") + 1).alias("end"), F.lit(1.0).alias("share"))
     # a text's diagonals of one template are at most as many as its words
     order = Window.partitionBy("doc_id", "row_key", "t").orderBy("diagonal")
@@ -132,13 +134,17 @@ WITH w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{az}
 tpl(t, kind, label, grams, t_at, g1, g2) AS (VALUES {", ".join(rows)}),
 g AS (SELECT doc_id, unnest(range(len(words) - 1)) AS pos, words FROM w WHERE len(words) > 1),
 gg AS (SELECT doc_id, pos, words[pos + 1] AS g1, words[pos + 2] AS g2 FROM g),
-votes AS (SELECT doc_id, t, kind, label, grams, pos - t_at AS diagonal, count(DISTINCT pos) AS votes, min(pos) AS lo, max(pos) + 2 AS hi FROM gg JOIN tpl USING (g1, g2) GROUP BY ALL),
+hits AS (SELECT DISTINCT doc_id, t, kind, label, grams, pos, t_at, pos - t_at AS diagonal FROM gg JOIN tpl USING (g1, g2)),
+votes AS (SELECT doc_id, t, kind, label, grams, diagonal, count(*) AS votes FROM hits GROUP BY ALL),
 whole AS (SELECT doc_id, kind, label, diagonal AS start, 1.0::DOUBLE AS share FROM votes WHERE kind <> 'notice' AND votes = grams),
 steps AS (SELECT *, (diagonal - coalesce(lag(diagonal) OVER (PARTITION BY doc_id, t ORDER BY diagonal), -{1 << 30}) > {NEAR})::INT AS new FROM votes WHERE kind = 'notice'),
 runs AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diagonal) AS run FROM steps),
-merged AS (SELECT doc_id, label, grams, t, run, sum(votes) AS votes, min(lo) AS start, max(hi) AS stop FROM runs GROUP BY ALL),
-found AS (SELECT * FROM whole UNION ALL
-  SELECT doc_id, 'notice', label, start, least(votes / grams, 1.0)::DOUBLE FROM merged WHERE least(votes / grams, 1.0) >= {COVERED} AND stop - start <= {STRETCH} * (grams + 1)),
+heavy AS (SELECT *, sum(votes) OVER (PARTITION BY doc_id, t, run) AS most FROM runs),
+placed AS (SELECT h.doc_id, h.t, h.label, h.grams, r.run, h.pos, h.t_at FROM hits h JOIN heavy r USING (doc_id, t, diagonal) WHERE r.most >= {COVERED} * h.grams),
+tried AS (SELECT a.doc_id, a.t, a.label, a.grams, a.run, a.pos AS start, count(DISTINCT b.t_at) AS covered
+  FROM (SELECT DISTINCT doc_id, t, label, grams, run, pos FROM placed) a JOIN placed b ON a.doc_id = b.doc_id AND a.t = b.t AND a.run = b.run AND b.pos >= a.pos AND b.pos - a.pos < floor({STRETCH} * (a.grams + 1)) - 1 GROUP BY ALL),
+best AS (SELECT doc_id, t, run, label, grams, max(covered) AS covered, arg_max(start, (covered, -start)) AS start FROM tried GROUP BY ALL),
+found AS (SELECT * FROM whole UNION ALL SELECT doc_id, 'notice', label, start, covered / grams::DOUBLE FROM best WHERE covered >= {COVERED} * grams),
 r AS (SELECT doc_id, count(*) FILTER (kind = 'base') AS n_base, min(start) FILTER (kind = 'base') AS first_word, max(start) FILTER (kind = 'base') AS last_word,
   coalesce(string_agg(DISTINCT label, ',' ORDER BY label) FILTER (kind = 'base'), '') AS base_labels, string_agg(DISTINCT label, ',' ORDER BY label) AS labels, max(share) AS score FROM found GROUP BY doc_id)
 SELECT w.doc_id, len(w.words)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,

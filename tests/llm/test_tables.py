@@ -142,12 +142,28 @@ def test_equal_windows_choose_equal_prefixes():
 
 
 def test_licenses_equal_sql(spark, tmp_path):
+    notice = licenses.NOTICES[0][0]
+    rows = [tuple(r) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect()]
+    rows += [(9001, notice + " the software is the software and" * 20), (9002, "run the software now " * 15), (9003, "the software is the software and " * 20 + notice.replace("free of charge", "free")), (9004, "the software " * 400)]
+    rows += [(9010 + k, " x ".join(" ".join(n.split()[k % 3 : -1 - k]) for n, _ in licenses.NOTICES)) for k in range(6)] + [(9100, None)]
+    spark.createDataFrame(rows, DOCS).write.parquet(str(tmp_path / "d"))
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
-    got = licenses.scan(spark.read.parquet(f"{DATA}/documents.parquet"))
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/d/*.parquet'")
+    got = licenses.scan(spark.read.parquet(str(tmp_path / "d")))
     assert sorted(tuple(r) for r in got.collect()) == sorted(con.execute(licenses.oracle()).fetchall())
 
 
+def test_licenses_of_long_texts_take_linear_time(spark):
+    import time
+
+    took = []
+    for n in (20_000, 20_000, 160_000):  # the first run compiles
+        start = time.time()
+        assert licenses.scan(spark.createDataFrame([(1, "lorem ipsum dolor " * (n // 3))], DOCS)).first().n_words == n // 3 * 3
+        took.append(time.time() - start)
+    assert took[2] < 8 * took[1] + 5
+
+
 def test_license_cases(spark):
     notice = licenses.NOTICES[0][0]
     rows = [(1, "The MIT License, x mit license; GNU general\npublic license"), (2, None), (None, "cc-by"), (3, "apache license"), (3, "apache license"), (4, "per " + notice.replace("free of charge", "free") + " end"), (5, "mİt license K MIT"), (6, "cc by nc"), (7, "apache"), (8, notice[:60])]
