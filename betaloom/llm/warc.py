@@ -1,10 +1,12 @@
 """Deterministic sharded WARC writer and its reader (operator 8).
 
 Rows are dealt to shards by ranges of the page id.  The ranges come from an exact
-histogram of bytes over id buckets, so the same table always gives the same shards, and
-no sampling or attempt number shows in a file.  Within a shard records are sorted by id,
-each is its own gzip member, and a file ends when its compressed size reaches a bound.
-Headers, record ids and digests are regenerated from the rows.
+histogram of bytes over id buckets; buckets that hold more than a shard are split again,
+down to a single id, so that no outlier or cluster of ids swells a shard, and rows of one
+id beyond a shard's bytes are dealt by a hash of their content.  The same table always
+gives the same shards, and no sampling or attempt number shows in a file.  Within a shard
+records are sorted by id, each is its own gzip member, and a file ends when its compressed
+size reaches a bound.  Headers, record ids and digests are regenerated from the rows.
 
 A task writes under a temporary name of its own attempt and reports the file in a
 manifest.  After all tasks have ended, the files named in the manifest move to their
@@ -16,6 +18,7 @@ deleted, and a marker is written last.  Files are opened through Arrow's file sy
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import uuid
 import zlib
@@ -23,16 +26,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import pick, written
 from .simhash import shuffles_dropped
 
-#: Parameters: bytes of payload in a shard, compressed bytes that end a file, payloads
-#: from how many bytes on may be revisits, least number of id buckets, most shards, the
-#: records' date.
-SHARD_BYTES, FILE_BYTES, REVISIT_BYTES, BUCKETS, MOST_SHARDS, DATE = 32 << 20, 8 << 20, 0, 1024, 1 << 16, "2000-01-01T00:00:00Z"
+#: Parameters: bytes of payload in a shard, compressed bytes that end a file, bytes of
+#: files a reading task takes at most (one file at least), payloads from how many bytes on
+#: may be revisits, bits by which an id bucket is split, groups of buckets that are dealt
+#: to shards apart, most rows of the bucket table that are broadcast, the records' date.
+SHARD_BYTES, FILE_BYTES, READ_BYTES, REVISIT_BYTES, SPLIT_BITS, GROUPS, BROADCAST_ROWS, DATE = 32 << 20, 8 << 20, 16 << 20, 0, 8, 256, 1_000_000, "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard int, seq bigint, temp string, name string, bytes bigint, records bigint, sha256 string"
 _REPORT = pa.schema([("shard", pa.int32()), ("seq", pa.int64()), ("temp", pa.string()), ("name", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())])
@@ -72,12 +76,22 @@ def page_record(page_id: int | None, url: str | None, html: str | None, refers_t
     return record("revisit", headers, http)
 
 
+def _opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """Arrow's file system and path for a Hadoop URI."""
+    scheme, found, rest = uri.partition(":")
+    if not found or "/" in scheme:
+        return fs.FileSystem.from_uri("file://" + uri)
+    if scheme == "file":
+        return fs.FileSystem.from_uri("file:///" + rest.lstrip("/"))
+    return fs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3"}.get(scheme, scheme) + ":" + rest)
+
+
 class _File:
     def __init__(self, folder: str, shard: int, seq: int) -> None:
         self.name = f"part-{shard:06d}-{seq:05d}.warc.gz"
         self.temp = f"_temporary/{uuid.uuid4().hex}-{self.name}"
         self.key, self.size, self.records, self.sha = (shard, seq), 0, 0, hashlib.sha256()
-        system, path = fs.FileSystem.from_uri(f"{folder}/{self.temp}")
+        system, path = _opened(f"{folder}/{self.temp}")
         system.create_dir(path.rpartition("/")[0], recursive=True)
         self.stream = system.open_output_stream(path, compression=None)
         self.add(record("warcinfo", {"WARC-Record-ID": f"<urn:uuid:{uuid.uuid5(_SPACE, self.name)}>", "WARC-Date": DATE, "WARC-Filename": self.name, "Content-Type": "application/warc-fields"}, b"format: WARC File Format 1.1\r\n"))
@@ -116,7 +130,7 @@ def _writer(folder: str, file_bytes: int, date: str):
 
 def _mover(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = fs.FileSystem.from_uri(folder)
+        system, path = _opened(folder)
         for batch in batches:
             for x in batch.to_pylist():
                 if system.get_file_info(f"{path}/{x['temp']}").type != fs.FileType.NotFound:
@@ -136,37 +150,82 @@ def resolved(pages: DataFrame, least: int = REVISIT_BYTES) -> DataFrame:
     return rows.join(equal, (F.col("sha") == F.col("s")) & (F.col("size") == F.col("z")), "left").select("page_id", "url", "html", "size", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
 
 
+def _bucket(level: int, bits: int) -> Column:
+    """The id's bucket at a level: its leading bits, of ``bits`` in all; ids are counted from the least one."""
+    return F.shiftrightunsigned("_offset", max(0, bits - level * SPLIT_BITS))
+
+
+def _buckets(sizes: DataFrame, bits: int, first: int, shard_bytes: int) -> DataFrame:
+    """``level, bucket, bytes``: disjoint id buckets of at most a shard's bytes, or of one id."""
+    spark = sizes.sparkSession
+    level, done = first, []
+    rest = sizes
+    while True:
+        counted = written(rest.groupBy(F.lit(level).alias("level"), _bucket(level, bits).alias("bucket")).agg(F.sum("size").alias("bytes")), "buckets")
+        last = level * SPLIT_BITS >= bits
+        done.append(counted if last else counted.where(F.col("bytes") <= shard_bytes))
+        heavy = counted.where(F.col("bytes") > shard_bytes).select(F.col("bucket").alias("_heavy"))
+        n = 0 if last else heavy.count()
+        if not n:
+            break
+        rest = rest.join(F.broadcast(heavy) if n <= BROADCAST_ROWS else heavy, _bucket(level, bits) == F.col("_heavy"), "left_semi")
+        level += 1
+    return written(functools.reduce(DataFrame.unionByName, done), "all-buckets") if len(done) > 1 else done[0]
+
+
 def _shards(rows: DataFrame, sizes: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """Adds ``shard``.  ``sizes``: page_id and size of the same rows.
+    """Adds ``shard``.  ``sizes``: page_id and size of the same rows; a null id counts as the least one.
 
-    There are at most MOST_SHARDS shards (they get larger instead), and four id buckets
-    to a shard; that many rows reach the driver and are broadcast.
+    Buckets are dealt to shards by their running sum of bytes, in GROUPS groups apart;
+    only a number per group and the levels in use reach the driver.
     """
-    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.sum("size")).first()
+    low, high, total = sizes.agg(F.min("page_id"), F.max("page_id"), F.coalesce(F.sum("size"), F.lit(0))).first()
     if low is None:
+        low = high = 0
+    offset = (F.coalesce("page_id", F.lit(low)).cast("decimal(20,0)") - F.lit(low).cast("decimal(20,0)")).cast("decimal(20,0)")
+    bits = max(1, (high - low).bit_length())
+    # unsigned 64 bits in a long: what lies beyond 2^63 is shifted as its two's complement
+    offset = F.when(offset >= F.lit(str(1 << 63)).cast("decimal(20,0)"), offset - F.lit(str(1 << 64)).cast("decimal(20,0)")).otherwise(offset).cast("bigint")
+    first = max(1, min(-(-bits // SPLIT_BITS), -(-(4 * (total // shard_bytes + 1) - 1).bit_length() // SPLIT_BITS)))
+    buckets = _buckets(sizes.withColumn("_offset", offset).select("_offset", "size"), bits, first, shard_bytes)
+    # where a bucket begins, as a number that orders buckets of all levels
+    shift = F.greatest(F.lit(0), F.lit(bits) - F.col("level") * SPLIT_BITS)
+    begins = F.call_function("shiftleft", F.col("bucket"), shift)
+    group = F.shiftrightunsigned(begins, max(0, bits - GROUPS.bit_length() + 1))
+    order = Window.partitionBy("group").orderBy("begins")
+    before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(shard_bytes))).cast("int")
+    # a bucket of one id with more bytes takes as many shards as they fill
+    dealt = buckets.withColumn("begins", begins).withColumn("group", group).withColumn("parts", parts).withColumn("before", before)
+    dealt = written(dealt.select("level", "bucket", "group", "parts", F.floor(F.col("before") / F.lit(shard_bytes)).cast("int").alias("local")), "shards")
+    widths = dealt.groupBy("group").agg(F.max(F.col("local") + F.col("parts")).alias("n")).collect()  # at most GROUPS rows
+    starts, n = {}, 0
+    for r in sorted(widths, key=lambda r: r["group"]):
+        starts[r["group"]] = n
+        n += r["n"]
+    if not starts:
         return rows.withColumn("shard", F.lit(0)), 1
-    shard_bytes = max(shard_bytes, total // MOST_SHARDS + 1)
-    buckets = max(BUCKETS, 4 * (total // shard_bytes + 1))
-    width = (high - low) // buckets + 1
-    bucket = F.coalesce(F.floor((F.col("page_id") - F.lit(low)) / F.lit(width)), F.lit(-1)).cast("bigint")
-    held = sorted(sizes.groupBy(bucket.alias("b")).agg(F.sum("size").alias("n")).collect())
-    shard, room, places = -1, shard_bytes, []
-    for b, n in held:
-        if room + n > shard_bytes:
-            shard, room = shard + 1, 0
-        room += n
-        places.append((b, shard))
-    places = rows.sparkSession.createDataFrame(places, "_bucket bigint, shard int")
-    return rows.join(F.broadcast(places), bucket == F.col("_bucket")).drop("_bucket"), shard + 1
+    table = rows.sparkSession.createDataFrame(list(starts.items()), "group bigint, start int")
+    levels = [r["level"] for r in dealt.select("level").distinct().collect()]  # at most eight
+    dealt = dealt.join(F.broadcast(table), "group").select(F.col("level").alias("_level"), F.col("bucket").alias("_bucket"), (F.col("start") + F.col("local")).alias("_start"), F.col("parts").alias("_parts"))
+    small = dealt.count() <= BROADCAST_ROWS
+    placed = rows.withColumn("_offset", offset)
+    shard = F.lit(None).cast("int")
+    content = F.pmod(F.xxhash64("url", "html"), F.col("_parts")).cast("int")
+    for k in sorted(levels):
+        mine = dealt.where(F.col("_level") == k).drop("_level")
+        placed = placed.join(F.broadcast(mine) if small else mine, _bucket(k, bits) == F.col("_bucket"), "left").withColumn(f"_shard{k}", F.col("_start") + content).drop("_bucket", "_start", "_parts")
+        shard = F.coalesce(shard, F.col(f"_shard{k}"))
+    return placed.withColumn("shard", shard).drop("_offset", *[f"_shard{k}" for k in levels]), n
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, least: int = REVISIT_BYTES, date: str = DATE) -> DataFrame:
     """Write ``pages`` (page_id, url, html) as WARC files under ``folder``; returns the manifest.
 
     A null html is an empty payload, a null url becomes a urn of the id; a row with a null
-    id is written in the first shard and revisits the group's response if there is one.
+    id is dealt like the least id and revisits the group's response if there is one.
     Rows that repeat the largest id of their group are responses all.  Other columns are
-    dropped.  An empty table gives an empty manifest.
+    dropped.  An empty table gives an empty manifest.  ``folder`` must be new.
     """
     spark = pages.sparkSession
     sizes = pick(pages, "page_id", "html").select(F.col("page_id").cast("bigint").alias("page_id"), F.octet_length(F.coalesce("html", F.lit(""))).cast("bigint").alias("size"))
@@ -175,7 +234,8 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     dealt = dealt.sortWithinPartitions("shard", "page_id", "url", F.sha1(F.coalesce("html", F.lit("")).cast("binary")))
     with shuffles_dropped(spark):  # the payloads' shuffle goes when the files are written
         manifest = written(dealt.mapInArrow(_writer(folder, file_bytes, date), _MANIFEST), "manifest")
-    moved = manifest.repartition(F.col("name")).mapInArrow(_mover(folder), _MANIFEST)
+    # a number of partitions is kept as it is; by column, so few bytes would fall into one task
+    moved = manifest.repartition(_tasks(manifest)).mapInArrow(_mover(folder), _MANIFEST)
     moved.write.parquet(f"{folder}/_manifest")
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
     system = path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
@@ -184,6 +244,11 @@ def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_by
     return spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
 
 
+def _tasks(manifest: DataFrame) -> int:
+    files, size = manifest.agg(F.count("*"), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    return max(1, min(files, max(manifest.sparkSession.sparkContext.defaultParallelism, size // READ_BYTES)))
+
+
 def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
     """Records (headers, block) of a file of gzip members, one member in memory at a time."""
     z, held = zlib.decompressobj(31), bytearray()
@@ -209,7 +274,7 @@ def parse(stream) -> Iterator[tuple[dict[str, str], bytes]]:
 
 def _reader(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        system, path = fs.FileSystem.from_uri(folder)
+        system, path = _opened(folder)
         for batch in batches:
             for name in batch.column(0).to_pylist():
                 out = []
@@ -233,6 +298,12 @@ _READ = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_byte
 
 
 def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Records of the files that the manifest names, every digest verified."""
-    names = spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest").select("name")
-    return names.repartition("name").mapInArrow(_reader(folder), "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")
+    """Records of the files that the manifest names, every digest verified.
+
+    Raises for a folder whose writing has not been committed.
+    """
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    if not path(folder).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path(f"{folder}/_COMMITTED")):
+        raise ValueError(f"{folder} holds no committed archive")
+    manifest = spark.read.schema(_MANIFEST).parquet(f"{folder}/_manifest")
+    return manifest.select("name").repartition(_tasks(manifest)).mapInArrow(_reader(folder), "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint")

@@ -264,6 +264,28 @@ def test_warc_round_trip(spark):
     assert warc.write(df.limit(0), empty).count() == 0 and warc.read(spark, empty).count() == 0
 
 
+def test_warc_shards_are_balanced_for_any_ids(spark):
+    rng = random.Random(8)
+    body = lambda k: f"{k} " + "".join(rng.choice("abcdef") for _ in range(1000))
+    cases = {
+        "outlier": [*range(600), 1 << 60], "extremes": [-(1 << 63), *range(600), (1 << 63) - 1], "one id": [7] * 600,
+        "no id": [None] * 600, "two clusters": [*range(300), *range(1 << 40, (1 << 40) + 300)], "one row": [3],
+    }
+    for name, ids in cases.items():
+        rows = [(i, f"u{k}", body(k)) for k, i in enumerate(ids)]
+        folder = new_folder(spark, "warc")
+        with pytest.raises(ValueError):
+            warc.read(spark, folder)
+        made = warc.write(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(3), folder, shard_bytes=100_000, file_bytes=10_000).collect()
+        by_shard = Counter()
+        for r in made:
+            by_shard[r.shard] += r.records
+        assert sum(by_shard.values()) == len(ids) and max(by_shard.values()) <= 250 and (len(ids) == 1 or len(by_shard) >= 4), (name, by_shard)
+        got = warc.read(spark, folder)
+        assert sorted((r.page_id for r in got.collect()), key=str) == sorted(ids, key=str)
+        assert got.rdd.getNumPartitions() == min(len(made), spark.sparkContext.defaultParallelism)
+
+
 def test_warc_reader_finds_damage(spark):
     import io
 
