@@ -42,10 +42,14 @@ def pick(df: DataFrame, *columns: str | tuple[str, str]) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests in one process) a temporary folder takes its place.
+    Only where that is unset and all runs in one process (tests) a temporary folder takes
+    its place; on a cluster executors would write to their own disks, so that raises.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="betaloom-")
         spark.conf.set("spark.checkpoint.dir", base)
     return base.rstrip("/")
@@ -75,7 +79,7 @@ def _drop_all() -> None:
         try:
             drop_folder(spark, path)
         except Exception:  # the session may have ended before
-            return
+            continue
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -86,7 +90,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def done_with(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`written` that nothing reads any more."""
+    for df in tables:
+        drop_folder(df.sparkSession, df._written_to)
 
 
 def row_key(id_column: Column, text: Column) -> Column:

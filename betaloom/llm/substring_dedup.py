@@ -1,28 +1,31 @@
-"""Exact substring dedup over a prefix-partitioned suffix tree (operator 10).
+"""Exact substring dedup over prefix-partitioned suffix trees (operator 10).
 
 The suffixes are those that start at a document's words.  Only internal nodes at depth 50
-or more matter: their leaves are places whose next 50 words are equal.  The tree is never
-held as a whole; two levels of prefixes, of different length, split it.
-
-Level one, short prefixes.  Of every 35 neighbouring suffixes the one whose 16-word
-prefix hashes lowest represents the 50-word window that begins with the first of them;
-equal windows choose alike.  A prefix that lies in one document alone has no internal
-node below it that could remove a word, so its windows are dropped; a false match of
-hashes keeps some windows longer and does no harm.
-
-Level two, long prefixes.  The surviving windows are spelled out to depth 50 and named by
-a 128-bit digest of their words.  Such a name is a deep internal node, whatever lies
-below it.  Per node only the smallest document id is needed, which is aggregated before
-the shuffle; a node with a third of all rows therefore is no group in one task, as a
-subtree built in memory would be.  The node's minimum is then joined back to its leaves,
-a plain join that Spark splits at hot nodes, and leaves in larger documents remove the
-words they cover (overlapping leaves are the maximal repeat).
+or more matter: their leaves are places whose next 50 words are equal.  Prefixes of
+variable length split the suffixes into groups, each small enough for one task.
+
+A suffix goes by a 16-word prefix inside its first 50 words: of the 35 that start there
+the one that hashes lowest.  Equal 50-word suffixes choose alike, and neighbouring
+suffixes mostly share the place they choose, so a run of them travels as one piece of
+text, 50 words and one more for each further suffix, instead of 50 words each.
+
+Prefixes that lie in one document alone can't have a node that removes a word; their
+suffixes are dropped.  The rest is counted by prefix.  A prefix whose group fits into
+memory gets its subtree: the group's suffixes are sorted by their words down to depth 50
+(ranks of three words, of nine, of 27, of 50), neighbours that are equal to that depth
+are the leaves of one deep internal node, and leaves in larger documents than the node's
+smallest remove the words they cover; leaves side by side make the maximal repeat.  A
+prefix whose group does not fit is lengthened to the full 50 words.  Then each prefix is
+a deep node itself and there is no subtree to hold: its smallest document is aggregated
+before the shuffle, and joined back to the leaves by a join that Spark splits where it is
+hot.  So a passage that stands in a third of all rows is no group in one task.
 
 Whole copies of a word sequence are settled first, by digest, without any suffix.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -31,13 +34,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import field, map_texts, pick, row_key, steps, written
+from .common import done_with, field, map_texts, pick, row_key, steps, written
 from .piece_bpe import Memo
 from .simhash import shuffles_dropped
 
-#: Parameters: words of a window (node depth) and of a short prefix.
-WINDOW, PREFIX = 50, 16
+#: Parameters: words of a suffix that matter (node depth), words of a short prefix, most
+#: words of a group that becomes a subtree, words of groups that are sorted at once, most
+#: long prefixes that are broadcast.  A group and what is sorted with it stay below 2^21.
+WINDOW, PREFIX, GROUP_WORDS, SORTED_WORDS, BROADCAST_ROWS = 50, 16, 1 << 20, 1 << 18, 1_000_000
 _BASE = 0x9E3779B97F4A7C15 | 1
 _word = Memo(lambda w: xxhash.xxh3_64_intdigest(w), 200_000)  # type: ignore[arg-type, return-value]
 
@@ -91,88 +97,218 @@ def _scan(docs: DataFrame, window: int, prefix: int) -> DataFrame:
     return map_texts(docs, ["doc_id", "row_key"], "text", run, [field("n_words", "long"), field("all_sha256", "string"), field("prefixes", "array<bigint>")])
 
 
-def _labels(window: int, prefix: int):
+def _pieces(window: int, prefix: int, fields: list[str]):
+    """Runs of suffixes that share a prefix, as ``doc_id, row_key, h, at, size, words``."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row_key", "at", "k1", "k2"]
         for step in steps(batches, 64):
-            ids, keys = step.column(0).to_numpy(zero_copy_only=False), step.column(1).to_numpy(zero_copy_only=False)
-            for doc_id, key, text, repeated in zip(ids, keys, step.column(2).to_pylist(), step.column(3).to_pylist()):
+            docs, hs, ats, sizes, texts = [], [], [], [], []
+            for doc, (text, repeated) in enumerate(zip(step.column(2).to_pylist(), step.column(3).to_pylist())):
                 words = words_of(text)
                 reps = representatives(words, window, prefix).view(np.int64)
                 at = np.flatnonzero(np.isin(reps, np.array(repeated, np.int64)))
-                joined = b" ".join(words)
-                ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-                starts = np.concatenate([[0], ends[:-1] + 1])
-                for lo in range(0, len(at), 1 << 16):
-                    some = at[lo : lo + (1 << 16)]
-                    label = b"".join([xxhash.xxh3_128_digest(joined[a:b]) for a, b in zip(starts[some].tolist(), ends[some + window - 1].tolist())])
-                    k = np.frombuffer(label, "<i8").reshape(-1, 2)
-                    n = len(some)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(n, doc_id, np.int64)), pa.array(np.full(n, key, np.int64)), pa.array(some), pa.array(k[:, 0].copy()), pa.array(k[:, 1].copy())], names=names)
+                if not len(at):
+                    continue
+                new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(reps[at]) != 0)])
+                # a run in repetitive text can be long: it is cut like any other
+                place = np.arange(len(at))
+                new |= (place - np.maximum.accumulate(np.where(new, place, 0))) % (window - prefix + 1) == 0
+                begins = at[new]
+                counts = np.diff(np.concatenate([np.flatnonzero(new), [len(at)]]))
+                docs += [doc] * len(begins)
+                hs += reps[begins].tolist()
+                ats += begins.tolist()
+                sizes += (counts + window - 1).tolist()
+                texts += [b" ".join(words[a : a + n + window - 1]) for a, n in zip(begins.tolist(), counts.tolist())]
+            if docs:
+                of = pa.array(docs, pa.int32())
+                yield pa.RecordBatch.from_arrays([step.column(0).take(of), step.column(1).take(of), pa.array(hs, pa.int64()), pa.array(ats, pa.int64()), pa.array(sizes, pa.int64()), pa.array([t.decode() for t in texts], pa.string())], names=fields)
+
+    return run
+
+
+def deep_ranks(names: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """Ranks of the suffixes at ``starts`` by their first ``window`` words; equal to that depth, equal rank.
+
+    ``names`` numbers the words, below 2^21 like their places.
+    """
+
+    def sorted_by(*parts: np.ndarray) -> np.ndarray:
+        key = parts[0]
+        for p in parts[1:]:
+            key = key << np.int64(21) | p
+        return np.unique(key, return_inverse=True)[1]
+
+    ranks, depth = names, 1
+    while 3 * depth < window:
+        # towards the end suffixes are cut off: those are shorter than any start needs
+        ranks = np.concatenate([ranks, np.zeros(2 * depth, np.int64)])
+        ranks = sorted_by(ranks[: -2 * depth], ranks[depth:-depth], ranks[2 * depth :])
+        depth *= 3
+    offsets = (0, window - depth) if 2 * depth >= window else (0, depth, window - depth)
+    return sorted_by(*(ranks[starts + k] for k in offsets))
+
+
+def subtree_repeats(docs: np.ndarray, sizes: np.ndarray, words: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, first, last) of each run of suffixes that lie below a deep node with a smaller document.
+
+    ``docs`` and ``sizes`` per piece: its document as a number in order, its words, which
+    follow each other in ``words``.  First and last are places in the piece.
+    """
+    numbers: dict[bytes, int] = {}
+    names = np.fromiter([numbers.setdefault(w, len(numbers)) for w in words], np.int64, len(words))
+    offsets = np.concatenate([[0], np.cumsum(sizes)])
+    counts = sizes - window + 1
+    piece = np.repeat(np.arange(len(sizes)), counts)
+    within = np.arange(len(piece)) - np.repeat(np.cumsum(counts) - counts, counts)
+    node = deep_ranks(names, offsets[piece] + within, window)
+    least = np.full(node.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, node, docs[piece])
+    at = np.flatnonzero(docs[piece] > least[node])
+    if not len(at):
+        return at, at, at
+    new = np.concatenate([[True], (np.diff(at) != 1) | (np.diff(piece[at]) != 0)])
+    ends = np.concatenate([np.flatnonzero(new)[1:] - 1, [len(at) - 1]])
+    return piece[at][new], within[at][new], within[at][ends]
+
+
+def _subtrees(window: int, sorted_words: int, fields: list[str]):
+    """Over pieces in the order of their prefix: words that go, as ``doc_id, row_key, begin, end``."""
+
+    def removed(held: pa.Table) -> pa.RecordBatch:
+        sizes = held.column("size").to_numpy()
+        words = b" ".join(held.column("words").cast(pa.binary()).to_pylist()).split()
+        ids = held.column("doc_id").to_numpy()
+        piece, first, last = subtree_repeats(np.unique(ids, return_inverse=True)[1], sizes, words, window)
+        at = held.column("at").to_numpy()[piece]
+        mine = held.select(["doc_id", "row_key"]).take(pa.array(piece)).combine_chunks()
+        columns = [(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c) for c in mine.columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array(at + first), pa.array(at + last + window)], names=fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        n = 0
+        for step in steps(batches, 4096):
+            h = step.column(2).to_numpy()
+            # where a group begins: what is held before it is complete
+            borders = np.flatnonzero(np.concatenate([[not held or h[0] != held[-1].column(2)[-1].as_py()], h[1:] != h[:-1]]))
+            upto = np.concatenate([[0], np.cumsum(step.column(4).to_numpy())])
+            begun = 0
+            for k in borders.tolist():
+                if n + upto[k] - upto[begun] >= sorted_words:
+                    if k > begun:
+                        held.append(step.slice(begun, k - begun))
+                    yield removed(pa.Table.from_batches(held))
+                    held, n, begun = [], 0, k
+            held.append(step.slice(begun))
+            n += int(upto[-1] - upto[begun])
+        if held:
+            yield removed(pa.Table.from_batches(held))
+
+    return run
+
+
+def _spelled(window: int, fields: list[str]):
+    """Each suffix of the pieces by a digest of its ``window`` words: ``doc_id, row_key, at, k1, k2``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for step in steps(batches, 256):
+            of, ats, digests = [], [], []
+            for k, (at, text) in enumerate(zip(step.column(3).to_pylist(), step.column(5).to_pylist())):
+                words = words_of(text)
+                n = len(words) - window + 1
+                of += [k] * n
+                ats += range(at, at + n)
+                digests += [hashlib.blake2b(b" ".join(words[j : j + window]), digest_size=16).digest() for j in range(n)]
+            keys = np.frombuffer(b"".join(digests), "<i8").reshape(-1, 2)
+            mine = pa.array(of, pa.int32())
+            yield pa.RecordBatch.from_arrays([step.column(0).take(mine), step.column(1).take(mine), pa.array(ats, pa.int64()), pa.array(keys[:, 0].copy()), pa.array(keys[:, 1].copy())], names=fields)
 
     return run
 
 
-def remaining(words: list[bytes], starts: list[int], window: int) -> list[bytes]:
-    """Words that no window from ``starts`` covers."""
+def remaining(words: list[bytes], spans: list[tuple[int, int]]) -> list[bytes]:
+    """Words that no span covers."""
     cover = np.zeros(len(words) + 1, np.int64)
-    at = np.unique(np.array(starts, np.int64))
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + window, -1)
-    return [w for w, c in zip(words, np.cumsum(cover[:-1])) if not c]
+    at = np.array(spans, np.int64)
+    np.add.at(cover, at[:, 0], 1)
+    np.add.at(cover, at[:, 1], -1)
+    return [w for w, c in zip(words, np.cumsum(cover[:-1]).tolist()) if not c]
 
 
-def _removed(window: int):
+def _removed(fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "row_key", "n_removed", "kept_sha256", "kept"]
         for step in steps(batches, 64):
             found = []
-            for text, starts in zip(step.column(2).to_pylist(), step.column(3).to_pylist()):
+            for text, spans in zip(step.column(2).to_pylist(), step.column(3).to_pylist()):
                 words = words_of(text)
-                left = remaining(words, starts, window)
+                left = remaining(words, [(x["begin"], x["end"]) for x in spans])
                 found.append((len(words) - len(left), digest_of(left), b" ".join(left).decode()))
             n, sha, kept = zip(*found)
-            yield pa.RecordBatch.from_arrays([step.column(0), step.column(1), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept)], names=names)
+            yield pa.RecordBatch.from_arrays([step.column(0), step.column(1), pa.array(n, pa.int64()), pa.array(sha), pa.array(kept)], names=fields)
 
     return run
 
 
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX) -> tuple[DataFrame, DataFrame]:
+def _mapped(df: DataFrame, make, *fields: T.StructField) -> DataFrame:
+    """``doc_id, row_key`` and ``fields`` made from the batches of ``df``."""
+    schema = T.StructType([df.schema["doc_id"], df.schema["row_key"], *fields])
+    return df.mapInArrow(make([f.name for f in schema.fields]), schema)
+
+
+def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, group_words: int = GROUP_WORDS) -> tuple[DataFrame, DataFrame]:
     """(one row per document with what is known without suffixes, documents that lose some of their words)."""
-    keyed = pick(docs, (id_col, "doc_id"), (text_col, "text")).select(F.col("doc_id").cast("bigint").alias("doc_id"), row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
+    keyed = pick(docs, (id_col, "doc_id"), (text_col, "text")).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
+    same = lambda d, k: (F.col("doc_id") == F.col(d)) & (F.col("row_key") == F.col(k))
     with shuffles_dropped(docs.sparkSession):
         scanned = written(_scan(keyed, window, prefix), "scanned")
         able = scanned.where(F.col("doc_id").isNotNull() & (F.col("n_words") >= window))
         copied = written(able.groupBy("all_sha256").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("all_sha256").alias("copied_sha256"), "first"), "copied")
         marked = scanned.join(copied, F.col("all_sha256") == F.col("copied_sha256"), "left")
         known = written(marked.select("doc_id", "row_key", "n_words", "all_sha256", (F.coalesce(F.col("doc_id") > F.col("first"), F.lit(False)) & (F.col("n_words") >= window)).alias("is_copy"), "prefixes"), "known")
+        done_with(scanned, copied)
         short = known.where(F.col("doc_id").isNotNull() & ~F.col("is_copy")).select("doc_id", "row_key", F.explode("prefixes").alias("h"))
         shared = written(short.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select(F.col("h").alias("shared")), "shared")
         hopeful = written(short.join(shared, F.col("h") == F.col("shared")).groupBy("doc_id", "row_key").agg(F.collect_set("h").alias("hs")), "hopeful")
-        texts = written(keyed.join(hopeful.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "hs"), (F.col("doc_id") == F.col("d")) & (F.col("row_key") == F.col("k"))).select("doc_id", "row_key", "text", "hs"), "texts")
-        leaves = written(texts.mapInArrow(_labels(window, prefix), "doc_id bigint, row_key bigint, at bigint, k1 bigint, k2 bigint"), "leaves")
-        deep = written(leaves.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "first"), "nodes")
-        places = written(leaves.join(deep, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).where("doc_id > first").groupBy("doc_id", "row_key").agg(F.collect_list("at").alias("at")), "places")
-        lost = texts.select("doc_id", "row_key", "text").join(places.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "at"), (F.col("doc_id") == F.col("d")) & (F.col("row_key") == F.col("k"))).select("doc_id", "row_key", "text", "at")
-        lost = written(lost.mapInArrow(_removed(window), "doc_id bigint, row_key bigint, n_removed bigint, kept_sha256 string, kept string").dropDuplicates(["doc_id", "row_key"]), "lost")
+        # rows that repeat are one text from here on
+        texts = written(keyed.join(hopeful.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "hs"), same("d", "k")).select("doc_id", "row_key", "text", "hs").dropDuplicates(["doc_id", "row_key"]), "texts")
+        done_with(shared, hopeful)
+        pieces = written(_mapped(texts, lambda names: _pieces(window, prefix, names), field("h", "long"), field("at", "long"), field("size", "long"), field("words", "string")), "pieces")
+        groups = pieces.groupBy(F.col("h").alias("g")).agg(F.sum("size").alias("group_size"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+        long = written(groups.where(F.col("group_size") > group_words).select("g"), "long-prefixes")
+        beyond = F.broadcast(long) if long.count() <= BROADCAST_ROWS else long
+        small = pieces.join(beyond, F.col("h") == F.col("g"), "left_anti").repartition("h").sortWithinPartitions("h")
+        begin_end = field("begin", "long"), field("end", "long")
+        spans = [_mapped(small, lambda names: _subtrees(window, SORTED_WORDS, names), *begin_end)]
+        made = [texts, pieces, long]
+        if not long.isEmpty():
+            leaves = written(_mapped(pieces.join(beyond, F.col("h") == F.col("g"), "left_semi"), lambda names: _spelled(window, names), field("at", "long"), field("k1", "long"), field("k2", "long")), "leaves")
+            nodes = written(leaves.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select(F.col("k1").alias("n1"), F.col("k2").alias("n2"), "first"), "nodes")
+            below = leaves.join(nodes, (F.col("k1") == F.col("n1")) & (F.col("k2") == F.col("n2"))).where("doc_id > first")
+            spans.append(below.select("doc_id", "row_key", F.col("at").alias("begin"), (F.col("at") + window).alias("end")))
+            made += [leaves, nodes]
+        places = written(functools.reduce(DataFrame.unionByName, spans).groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("begin", "end")).alias("spans")), "places")
+        lost = texts.select("doc_id", "row_key", "text").join(places.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "spans"), same("d", "k")).select("doc_id", "row_key", "text", "spans")
+        lost = written(_mapped(lost, _removed, field("n_removed", "long"), field("kept_sha256", "string"), field("kept", "string")), "lost")
+        done_with(*made, places)
     return known.drop("prefixes"), lost
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX) -> DataFrame:
-    """``doc_id, n_words, n_removed, kept_sha256`` per row.
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, group_words: int = GROUP_WORDS) -> DataFrame:
+    """``id, n_words, n_removed, kept_sha256`` per row.
 
     A word goes if a window of ``window`` words that covers it also starts in a document
-    with a smaller id; windows are judged on the input.  Ids are integers.  A null text
-    has no words; a row with a null id neither removes nor loses words; rows with equal
-    ids don't remove from each other, and repeated rows get equal results.  Other columns
-    are dropped.
+    with a smaller id; windows are judged on the input.  Ids are numbers or strings.  A
+    null text has no words; a row with a null id neither removes nor loses words; rows
+    with equal ids don't remove from each other, and repeated rows get equal results.
+    Other columns are dropped.  An empty table gives an empty table.
     """
-    known, lost = repeats(docs, id_col, text_col, window, prefix)
+    known, lost = repeats(docs, id_col, text_col, window, prefix, group_words)
     few = lost.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), "n_removed", "kept_sha256")
     out = known.join(few, (F.col("doc_id") == F.col("d")) & (F.col("row_key") == F.col("k")), "left")
     nothing = F.lit(hashlib.sha256(b"").hexdigest())
     return out.select(
-        "doc_id", "n_words",
+        F.col("doc_id").alias(id_col), "n_words",
         F.when(F.col("is_copy"), F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("bigint").alias("n_removed"),
         F.when(F.col("is_copy"), nothing).otherwise(F.coalesce("kept_sha256", "all_sha256")).alias("kept_sha256"),
     )

@@ -121,8 +121,32 @@ def test_substring_dedup_equals_brute_force(spark, documents):
         w, at = rng.choice(base).split(), rng.randint(0, 150)
         rows.append((rng.choice([None, 5000 + k, 5000 + k // 2]), " ".join(w[at : at + rng.randint(20, 90)] + ["x"] + rng.choice(base).split()[: rng.randint(0, 80)])))
     rows += [(9000, None), (9001, ""), (9002, base[0]), (9002, base[0]), (9003, " \n" + base[0].replace(" ", "\t ")), (9004, "same " * 500), (9005, "same " * 500 + "end")]
-    got = sorted((tuple(r) for r in substring_dedup.dedup(spark.createDataFrame(rows, DOCS).repartition(3)).collect()), key=str)
-    assert got == sorted(brute_removed(rows, 50), key=str)
+    want = sorted(brute_removed(rows, 50), key=str)
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for group_words in (substring_dedup.GROUP_WORDS, 3000, 0):  # subtrees alone, both, long prefixes alone
+        got = sorted((tuple(r) for r in substring_dedup.dedup(df, group_words=group_words).collect()), key=str)
+        assert got == want, group_words
+
+
+def test_substring_dedup_of_string_ids_and_repeated_rows(spark):
+    rng = random.Random(9)
+    text = " ".join(str(rng.randrange(50)) for _ in range(120))
+    rows = [("b", text)] * 30 + [("a", "x " + text), (None, text), ("c", text + " y"), ("c", None)]
+    got = substring_dedup.dedup(spark.createDataFrame(rows, "key string, text string"), id_col="key").collect()
+    n = Counter((r.key, r.n_words, r.n_removed) for r in got)
+    assert n == {("b", 120, 120): 30, ("a", 121, 0): 1, (None, 120, 0): 1, ("c", 121, 120): 1, ("c", 0, 0): 1}
+
+
+def test_deep_ranks_are_equal_for_equal_words():
+    import numpy as np
+
+    rng = random.Random(10)
+    for window in (3, 4, 5, 9, 10, 27, 50, 54):
+        names = np.array([rng.randrange(2) for _ in range(300)] + [1] * 60 + [0] * 60, np.int64)
+        starts = np.arange(len(names) - window + 1)
+        ranks = substring_dedup.deep_ranks(names, starts, window)
+        keys = [tuple(names[k : k + window]) for k in starts]
+        assert [sorted(set(keys)).index(k) for k in keys] == ranks.tolist()
 
 
 def test_substring_sql_equals_brute_force(documents):
