@@ -1,22 +1,27 @@
 """Benchmark decontamination by SimHash of item-sized windows (operator 6).
 
 DataFrame functions only.  Words are runs of letters and digits, lowered; shingles are
-five words.  For each benchmark item of n words, windows of n words of the documents are
-fingerprinted, 64 bits by majority over their shingle hashes.  Eight blocks of eight bits
-index the items: an item is stored under every value within two bits of each of its
+five words.  For each length n of a benchmark item, the windows of n words of a document
+are fingerprinted, 64 bits by majority over their shingle hashes.  Eight blocks of eight
+bits index the items: an item is stored under every value within two bits of each of its
 blocks, so by the pigeonhole principle a window within 23 bits of an item meets it at one
-block at least.  What meets is held against the radius, then the exact weighted shingle
-similarity (sum of minima over sum of maxima of the counts) decides.
-
-A window that shares under 0.8 of an item's shingles can't reach a similarity of 0.8, so
-windows are taken only where that many shared places lie within an item's length, each
-ending at one of them.  No start is lost: slid left until its last shingle is shared, a
-window loses nothing in common with the item, so the first of the best windows ends at a
-shared place or begins the text.  The work is in proportion to what is contaminated.
+block at least.  Which items a window is held against comes from that index alone.  What
+meets is held against the radius, then the exact weighted shingle similarity (sum of
+minima over sum of maxima of the counts) decides.
+
+Not fingerprinted are windows that can't be similar to any item of their length: those in
+which too few places hold a shingle of any such item.  A similarity of s between A and B
+shingles takes s (A + B) / (1 + s) shingles in common.  All other windows are, at every
+start.  Windows with the same shingles, in one document or in many, are fingerprinted and
+verified once.
+
+Items of fewer than five words are one shingle of as many words, and are found where it
+stands.
 """
 
 from __future__ import annotations
 
+import functools
 import json
 from itertools import combinations
 
@@ -72,66 +77,98 @@ def _blocks(df: DataFrame, near: list[int]) -> DataFrame:
     return values.select("*", F.explode(table).alias("e")).withColumn("value", F.col("value").bitwiseXOR(F.col("e"))).drop("e")
 
 
-def similarity(a: str, b: str) -> Column:
-    """Sum of minima over sum of maxima of how often each hash occurs in two arrays."""
-    count = lambda array, h: F.size(F.filter(array, lambda x: x == h))
-    least = F.aggregate(F.array_intersect(a, b), F.lit(0), lambda s, h: s + F.least(count(F.col(a), h), count(F.col(b), h)))
-    return least / (F.size(a) + F.size(b) - least)
-
-
 def _small(df: DataFrame, rows: int) -> DataFrame:
     """Broadcast behind a check of the size; beyond it Spark's joins shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def _hopeful_starts(places: str, length: str, total: str) -> Column:
+    """Starts, from 0, of the windows of ``length`` shingles that hold enough of the sorted ``places``; ``total`` shingles in all.
+
+    For the i-th place as the first one inside, a start lies after the place before it and
+    late enough for the window to reach the last one needed.
+    """
+    longest = F.least(F.col(length), F.col(total))
+    needed = F.ceil((F.col(length) + longest) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).cast("int")
+    place = lambda i: F.element_at(places, i)
+    first = lambda i: F.greatest(place(i + needed - 1) - longest, F.when(i > 1, place(F.greatest(i - 1, F.lit(1)))).otherwise(F.lit(-1))) + 1
+    last = lambda i: F.least(place(i), F.col(total) - longest)
+    inside = F.filter(F.sequence(F.lit(1), F.size(places) - needed + 1), lambda i: F.greatest(first(i), F.lit(0)) <= last(i))
+    return F.when(F.size(places) >= needed, F.flatten(F.transform(inside, lambda i: F.sequence(F.greatest(first(i), F.lit(0)), last(i)))))
+
+
+def _short_items(keyed: DataFrame, short: DataFrame) -> DataFrame:
+    """``doc_id, row_key, item_id, similarity, start`` for items of fewer than five words: where their words stand."""
+    found = []
+    for m in [r["m"] for r in short.select("m").distinct().collect()]:  # at most four sizes
+        mine = short.where(F.col("m") == m).select("item_id", F.element_at(shingle_hashes("w", m), 1).alias("ih"))
+        every = keyed.select("doc_id", "row_key", words(F.col("text")).alias("w")).select("doc_id", "row_key", F.posexplode_outer(shingle_hashes("w", m)).alias("at", "h"))
+        firsts = every.join(_small(mine.select("ih").distinct(), mine.count()), F.col("h") == F.col("ih")).groupBy("doc_id", "row_key", "h").agg(F.min("at").alias("start"))
+        found.append(firsts.join(mine, F.col("h") == F.col("ih")).select("doc_id", "row_key", "item_id", F.lit(1.0).alias("similarity"), "start"))
+    return functools.reduce(DataFrame.unionByName, found) if found else None
+
+
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``id, row_key, item, similarity, start_word``: per document and item the best window of at least 0.8.
 
-    Ties go to the first window.  Null and short texts (under five words) are in no pair,
-    as documents or as items; a null id is an id of its own; rows that repeat give one
-    pair; other columns are dropped.
+    Ties go to the first window.  Null and empty texts are in no pair, as documents or as
+    items.  A null id is an id of its own; rows that repeat give one pair; other columns
+    are dropped; without documents or items there are no pairs.
     """
-    wanted = pick(items, (item_col, "item_id"), (item_text, "text")).select("item_id", words(F.col("text")).alias("w")).select("item_id", F.size("w").alias("m"), shingle_hashes("w").alias("item_hashes")).where(F.col("m") >= SHINGLE).distinct()
+    wanted = pick(items, (item_col, "item_id"), (item_text, "text")).select("item_id", words(F.col("text")).alias("w")).select("item_id", "w", F.size("w").alias("m")).where("m > 0").distinct()
+    wanted = written(wanted, "all-items")
+    short = wanted.where(F.col("m") < SHINGLE)
+    wanted = wanted.where(F.col("m") >= SHINGLE).select("item_id", (F.col("m") - (SHINGLE - 1)).alias("length"), shingle_hashes("w").alias("item_hashes"))
     wanted = written(wanted.withColumn("item", F.xxhash64("item_id", "item_hashes")), "items")
-    n_places = wanted.agg(F.coalesce(F.sum(F.size("item_hashes")), F.lit(0))).first()[0]
-    places = wanted.select("item", "m", F.explode(F.array_distinct("item_hashes")).alias("ih"))
+    n_places = wanted.agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+    places = wanted.select("length", F.explode("item_hashes").alias("ih")).distinct()
 
     keyed = pick(docs, (id_col, "doc_id"), (text_col, "text")).select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("row_key"), "text")
     hashed = keyed.select("doc_id", "row_key", words(F.col("text")).alias("w")).select("doc_id", "row_key", shingle_hashes("w").alias("hashes"))
-    every = hashed.select("doc_id", "row_key", F.posexplode_outer("hashes").alias("at", "h"))
+    every = hashed.select("doc_id", "row_key", F.size("hashes").alias("total"), F.posexplode_outer("hashes").alias("at", "h"))
     hits = every.join(_small(places, n_places), F.col("h") == F.col("ih"))
-    # the places shared with one item; a set, so that repeated rows change nothing
-    per_item = hits.groupBy("doc_id", "row_key", "item", "m").agg(F.array_sort(F.collect_set("at")).alias("shared"))
-    length = F.col("m") - (SHINGLE - 1)
-    least = F.ceil(F.lit(SIMILARITY) * length - 1e-9).cast("int")
-    ends = F.filter(F.sequence(least, F.size("shared")), lambda i: F.element_at("shared", i) - F.element_at("shared", i - least + 1) < length)
-    starts = F.transform(ends, lambda i: F.greatest(F.lit(0), F.element_at("shared", i) - length + 1))
-    per_item = per_item.withColumn("starts", F.when(F.size("shared") >= least, F.array_distinct(starts))).where(F.size("starts") > 0)
-    sized = per_item.groupBy("doc_id", "row_key", "m").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
-    hopeful = written(sized.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("m", "starts")).alias("sizes")), "hopeful").withColumnsRenamed({"doc_id": "d", "row_key": "k"})
-
-    read = keyed.join(hopeful, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("doc_id", "row_key", "text", "sizes")
-    read = read.select("doc_id", "row_key", "sizes", words(F.col("text")).alias("w")).select("doc_id", "row_key", "sizes", shingle_hashes("w").alias("hashes"))
-    sizes = read.select("doc_id", "row_key", "hashes", F.inline("sizes"))
-    starts = sizes.select("doc_id", "row_key", "hashes", "m", F.explode("starts").alias("start"))
-    windows = starts.select("doc_id", "row_key", "m", "start", F.slice("hashes", F.col("start") + 1, F.col("m") - (SHINGLE - 1)).alias("hashes"))
-    windows = written(windows.distinct(), "windows")
-
-    prints = fingerprint(windows, ["doc_id", "row_key", "m", "start"], "hashes")
-    item_prints = written(fingerprint(wanted, ["item", "m"], "item_hashes"), "item-prints")
-    index = _blocks(item_prints, _near(RADIUS // BLOCKS, 64 // BLOCKS)).select("item", F.col("m").alias("im"), F.col("fp").alias("item_fp"), F.col("block").alias("ib"), F.col("value").alias("iv")).distinct()
-    n_index = item_prints.count() * BLOCKS * len(_near(RADIUS // BLOCKS, 64 // BLOCKS))
-    met = _blocks(prints, [0]).join(_small(index, n_index), (F.col("m") == F.col("im")) & (F.col("block") == F.col("ib")) & (F.col("value") == F.col("iv")))
-    pairs = met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("doc_id", "row_key", "m", "start", "item").distinct()
-
-    full = pairs.join(windows.select(F.col("doc_id").alias("d"), F.col("row_key").alias("k"), F.col("m").alias("wm"), F.col("start").alias("ws"), "hashes"), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k")) & (F.col("m") == F.col("wm")) & (F.col("start") == F.col("ws")))
-    full = full.join(_small(wanted.select(F.col("item").alias("i"), "item_id", "item_hashes"), n_places), F.col("item") == F.col("i"))
-    sure = full.withColumn("similarity", similarity("hashes", "item_hashes")).where(F.col("similarity") >= SIMILARITY)
-    best = sure.groupBy("doc_id", "row_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
+    # the places that hold a shingle of any item of a length; a set, so that repeated rows change nothing
+    shared = hits.groupBy("doc_id", "row_key", "length", "total").agg(F.array_sort(F.collect_set("at")).alias("places"))
+    starts = shared.withColumn("starts", _hopeful_starts("places", "length", "total")).where(F.size("starts") > 0)
+    hopeful = written(starts.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("length", "starts")).alias("lengths")), "hopeful").withColumnsRenamed({"doc_id": "d", "row_key": "k"})
+
+    read = keyed.join(hopeful, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("doc_id", "row_key", "text", "lengths")
+    read = read.select("doc_id", "row_key", "lengths", words(F.col("text")).alias("w")).select("doc_id", "row_key", "lengths", shingle_hashes("w").alias("hashes"))
+    # slices are cut inside the row, so that no row of a window carries all of its text
+    cut = F.flatten(F.transform("lengths", lambda x: F.transform(x["starts"], lambda s: F.struct(x["length"].alias("length"), s.alias("start"), F.slice("hashes", s + 1, x["length"]).alias("window_hashes")))))
+    windows = read.select("doc_id", "row_key", F.inline(cut)).withColumn("window", F.xxhash64("length", "window_hashes"))
+    firsts = windows.groupBy("doc_id", "row_key", "window").agg(F.min("start").alias("start"), F.first("window_hashes").alias("window_hashes"), F.first("length").alias("length"))
+    firsts = written(firsts, "windows")
+    different = written(firsts.dropDuplicates(["window"]).select("window", "length", "window_hashes"), "different-windows")
+
+    prints = fingerprint(different, ["window", "length"], "window_hashes")
+    item_prints = written(fingerprint(wanted, ["item", "length"], "item_hashes"), "item-prints")
+    near = _near(RADIUS // BLOCKS, 64 // BLOCKS)
+    index = _blocks(item_prints, near).select("item", F.col("length").alias("il"), F.col("fp").alias("item_fp"), F.col("block").alias("ib"), F.col("value").alias("iv")).distinct()
+    met = _blocks(prints, [0]).join(_small(index, item_prints.count() * BLOCKS * len(near)), (F.col("length") == F.col("il")) & (F.col("block") == F.col("ib")) & (F.col("value") == F.col("iv")))
+    pairs = written(met.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS).select("window", "item").distinct(), "pairs")
+
+    of_windows = different.select("window", F.size("window_hashes").alias("window_size"), F.explode("window_hashes").alias("h")).groupBy("window", "window_size", "h").agg(F.count("*").alias("n"))
+    of_items = wanted.select("item", "item_id", F.col("length").alias("item_size"), F.explode("item_hashes").alias("ih")).groupBy("item", "item_id", "item_size", "ih").agg(F.count("*").alias("item_n")).withColumnRenamed("item", "i")
+    both = pairs.join(of_windows, "window").join(_small(of_items, n_places), (F.col("item") == F.col("i")) & (F.col("h") == F.col("ih")))
+    least = both.groupBy("window", "item", "item_id", "window_size", "item_size").agg(F.sum(F.least("n", "item_n")).alias("least"))
+    sure = written(least.withColumn("similarity", F.col("least") / (F.col("window_size") + F.col("item_size") - F.col("least"))).where(F.col("similarity") >= SIMILARITY).select(F.col("window").alias("sure_window"), "item_id", "similarity"), "sure")
+
+    found = firsts.select("doc_id", "row_key", "window", "start").join(sure, F.col("window") == F.col("sure_window")).select("doc_id", "row_key", "item_id", "similarity", "start")
+    brief = _short_items(keyed, short)
+    found = found.unionByName(brief) if brief is not None else found
+    best = found.groupBy("doc_id", "row_key", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("s"))).alias("b"))
     return best.select(F.col("doc_id").alias(id_col), "row_key", F.col("item_id").alias(item_col), F.round("b.similarity", 6).alias("similarity"), (-F.col("b.s")).cast("bigint").alias("start_word"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, that hold no item."""
+    """The rows of ``docs``, all columns, that hold no item.
+
+    Rows that repeat go or stay together, columns may clash in name, and a table without
+    rows stays one.
+    """
     found = written(leaks(docs, items, id_col, text_col).select(F.col(id_col).alias("_leak_id"), F.col("row_key").alias("_leak_key")).distinct(), "leaks")
-    return docs.join(found, docs[id_col].eqNullSafe(found["_leak_id"]) & (row_key(docs[id_col], docs[text_col]) == found["_leak_key"]), "left_anti")
+    names = docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(names))])
+    own, text = F.col(f"_{names.index(id_col)}"), F.col(f"_{names.index(text_col)}")
+    return plain.join(found, own.eqNullSafe(F.col("_leak_id")) & (row_key(own, text) == F.col("_leak_key")), "left_anti").toDF(*names)

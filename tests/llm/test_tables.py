@@ -209,34 +209,57 @@ def test_notices_among_frequent_words(spark):
 # ---- decontamination
 
 
-def test_decontamination_equals_brute_force(spark, documents):
-    rng = random.Random(5)
-    items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()] + [(900, None), (901, "too short"), (902, TEN)]
-    docs = list(documents[:100])
-    for k in range(40):
-        w = rng.choice(items[:40])[1].split()
-        for _ in range(rng.randint(0, 3)):
-            j, what = rng.randrange(len(w)), rng.random()
-            w[j : j + 1] = ["zz"] if what < 0.4 else [w[j], "yy"] if what < 0.7 else []
-        docs.append((1000 + k, " ".join(["alpha beta gamma"] * rng.randint(0, 4) + w + ["the tail"] * rng.randint(0, 4)).upper()))
-    docs += [(None, items[0][1]), (1700, None), (1700, ""), (1800, items[1][1]), (1800, items[1][1]), (1900, TEN.replace(" ", ", "))]
+def brute_leaks(docs: list, items: list) -> dict:
     words = lambda t: [x for x in re.split(r"[^\w]|_", (t or "").lower()) if x]
-    shingles = lambda w: [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
     want: dict = {}
     for i, t in items:
-        m, c = len(words(t)), Counter(shingles(words(t)))
+        m = len(words(t))
+        size = min(5, m)
+        shingles = lambda w: [tuple(w[k : k + size]) for k in range(len(w) - size + 1)]  # noqa: B023, E731
+        c = Counter(shingles(words(t))) if m else Counter()
         for d, x in docs:
             s = shingles(words(x))
             if not c or not set(s) & set(c):
                 continue
-            for k in range(max(1, len(s) + 4 - m + 1)):
-                a = Counter(s[k : k + m - 4])
+            for k in range(max(1, len(s) + size - m)):
+                a = Counter(s[k : k + m - size + 1])
                 low = sum((a & c).values())
                 v = low / (sum(a.values()) + sum(c.values()) - low)
                 if v >= 0.8 and v > want.get((d, i), (0, 0))[0]:
                     want[d, i] = (v, k)
+    return want
+
+
+def test_decontamination_finds_moved_padded_and_repeated_items(spark):
+    rng = random.Random(12)
+    item = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    items = [(k, " ".join(item(rng.choice((5, 8, 12, 40, 100, 300))))) for k in range(40)]
+    docs = []
+    for k, t in items:
+        w = t.split()
+        half = len(w) // 2
+        noise = [f"n{rng.randrange(5000)}" for _ in range(400)]
+        docs += [(10 * k, " ".join(noise[:200] + w[half:] + w[:half] + noise[200:])), (10 * k + 1, " ".join(noise[:9] + w[:half] + noise[20:21] + w[half:] + noise[9:20]))]
+        docs += [(10 * k + 2, " ".join(w[: -len(w) // 10 or None])), (10 * k + 3, " ".join((w + noise[:3]) * 30)), (10 * k + 4, " ".join(noise))]
+    want = brute_leaks(docs, items)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontamination.leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {k: (round(v, 6), s) for k, (v, s) in want.items()} and len(want) > 60
+
+
+def test_decontamination_equals_brute_force(spark, documents):
+    rng = random.Random(5)
+    items = [tuple(r) for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id", "text").collect()] + [(900, None), (901, "too short"), (902, TEN), (903, "nine"), (904, " ,"), (905, "not anywhere here")]
+    docs = list(documents[:100])
+    for k in range(40):
+        w = rng.choice(items[:40])[1].split()
+        for _ in range(rng.randint(0, 3)):
+            j, what = rng.randrange(len(w)), rng.random()
+            w[j : j + 1] = ["zz"] if what < 0.4 else [w[j], "yy"] if what < 0.7 else []
+        docs.append((1000 + k, " ".join(["alpha beta gamma"] * rng.randint(0, 4) + w + ["the tail"] * rng.randint(0, 4)).upper()))
+    docs += [(None, items[0][1]), (1700, None), (1700, ""), (1800, items[1][1]), (1800, items[1][1]), (1900, TEN.replace(" ", ", ")), (1950, "it is Too, short and too short")]
+    want = brute_leaks(docs, items)
     got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontamination.leaks(spark.createDataFrame(docs, DOCS).repartition(3), spark.createDataFrame(items, "item_id bigint, text string")).collect()}
-    assert got == {k: (round(v, 6), s) for k, (v, s) in want.items()} and len(want) > 10
+    assert got == {k: (round(v, 6), s) for k, (v, s) in want.items()} and len(want) > 10 and (1950, 901) in want and (1900, 903) in want
     kept = decontamination.decontaminate(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, "item_id bigint, text string"))
     assert kept.count() == sum(1 for d, t in docs if not any(x == d for x, _ in want) or not t)
 
