@@ -75,18 +75,19 @@ class PieceBPE:
         self.byte_of = {i: b for b, i in enumerate(self.bytes)}
         self.joined = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.surfaces = [p.replace(SPACE, " ") if kinds[i] == "normal" else " ⁇ " if kinds[i] == "unknown" else "" for i, p in enumerate(pieces)]
-        if max(map(len, self.ids)) > 31:
-            raise ValueError("a vocabulary string has more than 31 characters")
+        # an entry of a prefix table is a token and its length, in as many bits as the longest string needs
+        self.shift = max(5, max(map(len, self.ids)).bit_length())
+        self.mask = (1 << self.shift) - 1
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
-            self.automaton.add_word(p, i << 5 | len(p))
+            self.automaton.add_word(p, i << self.shift | len(p))
         self.automaton.make_automaton()
         self.backwards: dict = {}  # the same strings as a trie read from their ends
         for p, i in self.ids.items():
             node = self.backwards
             for c in reversed(p):
                 node = node.setdefault(c, {})
-            node[""] = i << 5 | len(p)
+            node[""] = i << self.shift | len(p)
         self.prefixes = Memo(self._last, MEMO_CHUNKS)
         self.shared = list(range(len(pieces)))  # one object per id in all memos
         self.pairs: dict[int, bool] = {}
@@ -117,7 +118,7 @@ class PieceBPE:
         return parts
 
     def _string(self, entry: int) -> str:
-        token = entry >> 5
+        token = entry >> self.shift
         return chr(token - _OTHER) if token >= _OTHER else self.pieces[token]
 
     def _compatible(self, left: int, right: int) -> bool:
@@ -126,7 +127,7 @@ class PieceBPE:
         known = self.merge("".join(want)) == want
         if len(self.pairs) >= MEMO_PAIRS:
             self.pairs.clear()
-        self.pairs[left << 28 | right] = known
+        self.pairs[left << 40 | right] = known
         return known
 
     def _last(self, prefix: str) -> int:
@@ -138,47 +139,47 @@ class PieceBPE:
                 break
             if "" in node:
                 ends.append(node[""])
-        pairs, kept = self.pairs, self.prefixes
+        pairs, kept, mask = self.pairs, self.prefixes, self.mask
         for entry in reversed(ends):
-            shorter = prefix[: -(entry & 31)]
+            shorter = prefix[: -(entry & mask)]
             left = kept[shorter] if shorter else 0
-            fits = pairs.get(left << 28 | entry)
+            fits = pairs.get(left << 40 | entry)
             if fits or fits is None and self._compatible(left, entry):
                 return entry
-        return _OTHER + ord(prefix[-1]) << 5 | 1
+        return _OTHER + ord(prefix[-1]) << self.shift | 1
 
     def _table(self, chunk: str) -> list[int]:
         """The tokens of a chunk: its prefix table, read backwards.
 
-        An entry holds the last token of a prefix and, in its lowest five bits, that
+        An entry holds the last token of a prefix and, in its lowest bits, that
         token's length.  Long chunks fill the table forwards in one pass over the
         automaton's matches; short ones ask for the prefixes they need.
         """
-        out, k = [], len(chunk)
+        out, k, shift, mask = [], len(chunk), self.shift, self.mask
         if k <= MEMO_LENGTH:
             while k:
                 entry = self.prefixes[chunk[:k]]
-                out.append(entry >> 5)
-                k -= entry & 31
+                out.append(entry >> shift)
+                k -= entry & mask
             out.reverse()
             return out
         pairs, last = self.pairs, [0] * (k + 1)
         done = 0
         for end, entry in self.automaton.iter(chunk):
             for j in range(done + 1, end + 1):  # prefixes that end in a character outside the vocabulary
-                last[j] = last[j] or _OTHER + ord(chunk[j - 1]) << 5 | 1
+                last[j] = last[j] or _OTHER + ord(chunk[j - 1]) << shift | 1
             done = end
             if not last[end + 1]:
-                left = last[end + 1 - (entry & 31)]
-                fits = pairs.get(left << 28 | entry)
+                left = last[end + 1 - (entry & mask)]
+                fits = pairs.get(left << 40 | entry)
                 if fits or fits is None and self._compatible(left, entry):
                     last[end + 1] = entry
         for j in range(done + 1, k + 1):
-            last[j] = last[j] or _OTHER + ord(chunk[j - 1]) << 5 | 1
+            last[j] = last[j] or _OTHER + ord(chunk[j - 1]) << shift | 1
         while k:
             entry = last[k]
-            out.append(entry >> 5)
-            k -= entry & 31
+            out.append(entry >> shift)
+            k -= entry & mask
         out.reverse()
         return out
 
@@ -285,8 +286,9 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """Per row its ids and the text decoded from them: ``id, ids array<int>, decoded string``.
 
     A null text counts as empty: no ids, empty text.  Rows stay as they are, repeated
-    ones too; other columns are dropped.  ``model`` is a path that every executor can
-    open (the tokenizer package is installed on each).
+    ones and null ids too; other columns are dropped; an empty table gives an empty
+    table.  ``model`` is a path that every executor can open (the tokenizer package is
+    installed on each).
     """
     path = model or public_tokenizers.path(MODEL)
 
@@ -299,7 +301,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str | None = None) -> DataFrame:
-    """The same as digests: ``n_tokens, ids_sha256, decoded_sha256``; the ids are never shipped."""
+    """``id, n_tokens, ids_sha256, decoded_sha256`` per row: :func:`encode_decode` as digests; the ids are never shipped.
+
+    Nulls, repeats, other columns and empty tables are handled alike.
+    """
     path = model or public_tokenizers.path(MODEL)
 
     def run(texts: list) -> list:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import field, map_texts, new_folder, written
+from .common import done_with, field, map_texts, new_folder, written
 from .components import components
 
 #: Parameters: words in a shingle, bits within which fingerprints link, passes as bits of the variant.
@@ -132,14 +132,8 @@ def ball_links(nodes: DataFrame, radius: int = RADIUS, pass_bits: int = PASS_BIT
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, also: Sequence[str] = ()) -> DataFrame:
-    """``id, fingerprint, component_id`` per row: the smallest id reachable over links of ``radius`` bits.
-
-    A null text counts as empty: fingerprint zero, linked like any other.  Repeated rows
-    stay and share a component; a null id never is a component's smallest unless all are
-    null.  Other columns, but for those in ``also``, are dropped.  An empty table gives an
-    empty table.
-    """
+def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS, also: Sequence[str] = ()) -> DataFrame:
+    """``id, also, fp, root, component_id`` per row; ``root`` tells components apart, also where ids repeat."""
     found = written(fingerprints(docs, [id_col, *also], text_col, size), "fingerprints")
     nodes = written(found.groupBy("fp").agg(F.min(id_col).alias("least")), "nodes")
     roots = components(ball_links(nodes.select("fp"), radius))
@@ -147,6 +141,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = written(rooted, "rooted")
     classes = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     # written, so that the join with all rows has plain exchanges on both sides, which Spark splits at a hot key
-    named = written(rooted.join(classes, "root").select(F.col("fp").alias("f"), "component_id"), "classes")
-    out = found.join(named, found["fp"] == named["f"], "left")
-    return out.select(id_col, *also, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(rooted.join(classes, "root").select(F.col("fp").alias("f"), "root", "component_id"), "classes")
+    done_with(nodes, rooted)
+    return found.join(named, found["fp"] == named["f"], "left").select(id_col, *also, "fp", "root", "component_id")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
+    """``id, fingerprint, component_id`` per row: the smallest id reachable over links of ``radius`` bits.
+
+    A null text counts as empty: fingerprint zero, linked like any other.  Repeated rows
+    stay and share a component; a null id never is a component's smallest unless all are
+    null.  Other columns are dropped.  An empty table gives an empty table.
+    """
+    out = clusters(docs, id_col, text_col, size, radius)
+    return out.select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -1,9 +1,10 @@
 """Token counts by the whole-token shortcut (operator 3).
 
 Byte-level BPE cuts a text into pre-tokens by a pattern and merges each alone.  Offline,
-once per vocabulary, merging every vocabulary string proves which of them encode alone
-as exactly one token.  A pre-token found in that set counts one and is never merged;
-only the rest is, and a bounded memo keeps the counts of the rest.
+once per vocabulary and before any task, merging every vocabulary string proves which of
+them encode alone as exactly one token; the set is shipped to the workers.  A pre-token
+found in it counts one and is never merged; only the rest is, and a bounded memo keeps the
+counts of the rest.
 """
 
 from __future__ import annotations
@@ -59,7 +60,8 @@ def _byte_characters() -> dict[int, str]:
 class ByteBPE:
     """Counts tokens of a byte-level BPE file of the ``tokenizers`` library."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, whole: frozenset[str] | None = None) -> None:
+        """``whole``: the proven set where it is known already."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         if spec["normalizer"] or spec["model"]["type"] != "BPE" or spec["pre_tokenizer"]["type"] != "ByteLevel" or spec["pre_tokenizer"]["add_prefix_space"]:
@@ -72,7 +74,7 @@ class ByteBPE:
         self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.ignore = spec["model"].get("ignore_merges", False)
         self.vocabulary = spec["model"]["vocab"]
-        self.whole = self._prove()
+        self.whole = self._prove() if whole is None else whole
         self.counts = Memo(self._count, MEMO_COUNTS)
         self.wide, self.narrow, self.beyond = regex.compile(PATTERN), _narrow(), re.compile("[^\\u0000-\\u024f]")
 
@@ -122,8 +124,6 @@ class ByteBPE:
         return [p for p, x in zip(parts, alive) if x]
 
     def _count(self, piece: str) -> int:
-        if piece in self.whole:
-            return 1
         return len(self.merge(piece.encode().decode("latin-1").translate(self.table)))
 
     def pre_tokens(self, text: str) -> list[str]:
@@ -136,8 +136,8 @@ class ByteBPE:
         return self._plain(text)
 
     def _plain(self, text: str) -> int:
-        counts = self.counts
-        return sum([counts[p] for p in self.pre_tokens(text)])
+        whole, counts = self.whole, self.counts
+        return sum([1 if p in whole else counts[p] for p in self.pre_tokens(text)])
 
 
 _NONE = 1 << 60
@@ -145,11 +145,12 @@ _NONE = 1 << 60
 
 @functools.lru_cache(maxsize=2)
 def load(path: str) -> ByteBPE:
-    """One per worker process and file; workers keep it from task to task."""
+    """One per process and file."""
     return ByteBPE(path)
 
 
-on_leave(__name__, load.cache_clear)
+_loaded: dict[str, ByteBPE] = {}
+on_leave(__name__, _loaded.clear)
 
 
 def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str | None = None, limit: int = 1024) -> DataFrame:
@@ -157,13 +158,17 @@ def count_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Counts equal the library's for the file, without begin or end tokens; an added
     special string inside a text is one token, as by the library's default.  A null text
-    counts as empty (0, 0, false); rows stay as they are, repeated ones too; other
-    columns are dropped.  ``vocabulary`` is a path that every executor can open.
+    counts as empty (0, 0, false); rows stay as they are, repeated ones and null ids too;
+    other columns are dropped; an empty table gives an empty table.  ``vocabulary`` is a
+    path that driver and executors can open.
     """
     path = vocabulary or public_tokenizers.path(VOCABULARY)
+    proven = docs.sparkSession.sparkContext.broadcast(load(path).whole)  # part of the vocabulary, a fixed file
 
     def run(texts: Iterable) -> list:
-        bpe = load(path)
+        if path not in _loaded:  # workers keep it from task to task
+            _loaded[path] = ByteBPE(path, proven.value)
+        bpe = _loaded[path]
         whole = [t or "" for t in texts]
         return [[len(t.encode()) for t in whole], [bpe.count(t) for t in whole]]
 

@@ -23,10 +23,13 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a learned language stay; rejected ones, and those without letters, go.
 
     The models learn from the labelled documents of this stage's input by the rule of
-    operator 1.
+    operator 1.  Where no document has a label nothing is known of any language, and all
+    stay.  Rows that repeat stay or go together.
     """
     docs = pick(docs, *COLUMNS)
     model = langid.train(docs.where(~langid.held_out(F.col("doc_id"))))
+    if not model.languages:
+        return docs
     shipped = spark.sparkContext.broadcast(model)
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -39,27 +42,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each SimHash component the document with the smallest id stays, once if its row repeats.
+    """Of each SimHash component one document stays: that with the smallest id (one with an id before one without).
 
-    Of rows that share that id the one whose text hashes lowest stays.
+    Among rows with that id the text that hashes lowest stays, and among rows with that
+    text the smallest lang, source and n_chars.  Null and empty texts are one component.
     """
     docs = pick(docs, *COLUMNS)
     keyed = docs.select("doc_id", "text", row_key(F.col("doc_id"), F.col("text")).alias("row_key"))
-    found = simhash.near_duplicates(keyed, also=["row_key"]).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    # a group without any id has no component id: one row of each fingerprint stays
-    first = found.groupBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("fingerprint")).alias("f")).agg(F.min("row_key").alias("k"))
-    first = written(first.select(F.col("doc_id").alias("d"), "k"), "kept")
+    found = simhash.clusters(keyed, also=["row_key"])
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"))).alias("first"))
+    first = written(first.select("first.d", "first.k").distinct(), "kept")
     joined = docs.withColumn("row_key", row_key(F.col("doc_id"), F.col("text"))).join(first, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "row_key"]).select(*COLUMNS)
+    one = joined.groupBy("doc_id", "row_key").agg(F.first("text").alias("text"), F.min(F.struct("lang", "source", "n_chars")).alias("rest"))
+    return one.select("doc_id", "text", "rest.*")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
+    """Documents that hold a benchmark item go; rows that repeat go together, and null texts stay."""
     return decontamination.decontaminate(pick(docs, *COLUMNS), read_table(spark, sf_dir, "benchmark"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; every secret is replaced by a mark, and n_chars follows the text."""
+    """All documents stay; every secret is replaced by a mark, and n_chars follows the text (a null text keeps its n_chars)."""
     docs = pick(docs, *COLUMNS)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,7 +77,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Per document its columns but the text, its ids and the digest of the text decoded from them."""
+    """Per document its columns but the text, its ids and the digest of the text decoded from them; a null text counts as empty."""
     docs = pick(docs, *COLUMNS)
     coded = docs.select("doc_id", "lang", "source", "n_chars", "text")
     schema = T.StructType([*coded.schema.fields[:-1], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])

@@ -13,6 +13,7 @@ import public_tokenizers
 import corpus_pipeline as pipeline
 from betaloom.llm import secret_scan
 
+DOCUMENTS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ROOT = Path(__file__).resolve().parents[2]
 
 
@@ -50,6 +51,24 @@ def test_stages(spark, tmp_path):
 
 
 def test_the_rest_works_without_this_subpackage(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", "spark-warehouse"))
-    code = "import __spark_entry__ as e; n = e.queries(); assert 'qc_pipeline' in n and not any(k.startswith('op1') or k == 'pipeline' for k in n), n"
-    subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "r", check=True, timeout=120)
+    def run(gone: tuple[str, ...], code: str, name: str) -> None:
+        folder = tmp_path / name
+        shutil.copytree(ROOT, folder, ignore=shutil.ignore_patterns(".git", "__pycache__", "spark-warehouse", *gone))
+        subprocess.run([sys.executable, "-B", "-c", code], cwd=folder, check=True, timeout=120)
+
+    core = "n = e.queries(); assert 'qc_pipeline' in n and 'qc_pipeline' in e.oracle_sql() and not any(k.startswith('op1') or k == 'pipeline' for k in n), n"
+    run(("llm", "corpus_pipeline.py"), "import __spark_entry__ as e; " + core, "both")
+    run(("llm",), "import __spark_entry__ as e; " + core, "folders")
+    run((), "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; " + core, "library")
+
+
+def test_two_texts_of_one_id_in_two_components_both_stay(spark):
+    a, b = "first words of a text that is not like the other one", "something else altogether stands here with no word in common"
+    rows = [(5, a, "en", "s", 1), (5, b, "en", "s", 1), (7, a, "en", "s", 1), (5, a, "de", "r", 1), (None, b, "en", "s", 1), (None, "lonely " * 9, None, None, None)]
+    out = pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCUMENTS), "").collect()
+    assert sorted(map(tuple, out), key=str) == sorted([(5, a, "de", "r", 1), (5, b, "en", "s", 1), (None, "lonely " * 9, None, None, None)], key=str)
+
+
+def test_without_labels_all_documents_stay(spark):
+    rows = [(1, "a text", None, "s", 1), (2, None, None, None, None)]
+    assert pipeline.language_id(spark, spark.createDataFrame(rows, DOCUMENTS), "").count() == 2
