@@ -78,9 +78,16 @@ SENSITIVE = (
 
 
 def redact(text: Column) -> Column:
-    """Sensitive text replaced by marks."""
-    for pattern, mark in SENSITIVE:
-        text = F.regexp_replace(text, pattern, mark)
+    """Sensitive text replaced by marks.
+
+    A pattern is tried only where its fixed part occurs.  An address is tried once a run
+    of its characters, at the run's start or after the match before: elsewhere in the run
+    it can't begin, and trying it would be quadratic.
+    """
+    runs = r"(?:\G|(?<![\p{L}\p{N}_.-]))"
+    for (pattern, mark), part in zip(SENSITIVE, ("sk-ant-", "sk-", "@")):
+        anchored = runs + pattern.replace(r"_.-]+@", r"_.-]++@") if part == "@" else pattern
+        text = F.when(text.contains(part), F.regexp_replace(text, anchored, mark)).otherwise(text)
     return text
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DONE = ("completed", "failed", "canceled")
@@ -80,25 +80,25 @@ def is_methylation(title: Column, platform: Column, known: Sequence[str] = ()) -
     return F.coalesce(named, F.lit(False)) | F.coalesce(platform.isin(*known) if known else F.lit(False), F.lit(False))
 
 
-# Categories of errors by the exception's type, and the messages for users.
+# Categories of errors by the exception's type, subclasses before their bases; the messages are our own.
 ERRORS = (
-    ("http_error", ("HTTPError",), "The GEO server returned an error. Please try again later."),
-    ("network_error", ("URLError", "timeout", "gaierror", "ConnectionResetError", "TimeoutError", "SSLError"), "Network connection failed. Please check your internet or firewall."),
-    ("ftp_error", ("error_reply", "error_temp", "error_perm", "error_proto"), "Unable to reach GEO via FTP. Check your network or try again later."),
-    ("filesystem_error", ("PermissionError", "FileNotFoundError", "OSError"), "There was a problem writing files to disk. Check permissions and space."),
-    ("corrupt_geo_record", ("BadGzipFile", "EOFError", "ValueError", "KeyError"), "This GEO dataset appears to be corrupted or non-standard."),
-    ("geo_parse_error", ("RuntimeError",), "This GEO record could not be parsed correctly."),
+    ("http_error", ("HTTPError",), "The server answered with an error; a later attempt may succeed."),
+    ("network_error", ("URLError", "timeout", "gaierror", "ConnectionResetError", "TimeoutError", "SSLError"), "No connection could be made; look at the network and its filters."),
+    ("ftp_error", ("error_reply", "error_temp", "error_perm", "error_proto"), "The file server refused the transfer; try another time or network."),
+    ("filesystem_error", ("PermissionError", "FileNotFoundError", "OSError"), "Files could not be written; look at rights and free space."),
+    ("corrupt_geo_record", ("BadGzipFile", "EOFError", "ValueError", "KeyError"), "The record is damaged or has an unknown layout."),
+    ("geo_parse_error", ("RuntimeError",), "The record could not be read."),
 )
 NO_SPACE = 28
 
 
 def error_class(kind: Column, errno: Column) -> Column:
     """``struct<category, user_message>`` of an error's type name and number."""
-    full = F.struct(F.lit("disk_full").alias("category"), F.lit("There is not enough disk space to download this dataset.").alias("user_message"))
+    full = F.struct(F.lit("disk_full").alias("category"), F.lit("The disk is too full for this download.").alias("user_message"))
     out = F.when(kind.isin("PermissionError", "FileNotFoundError", "OSError") & (errno == NO_SPACE), full)
     for category, kinds, message in ERRORS:
         out = out.when(kind.isin(*kinds), F.struct(F.lit(category).alias("category"), F.lit(message).alias("user_message")))
-    return out.otherwise(F.struct(F.lit("unknown_error").alias("category"), F.lit("An unexpected error occurred while downloading the dataset.").alias("user_message")))
+    return out.otherwise(F.struct(F.lit("unknown_error").alias("category"), F.lit("The download failed for an unknown reason.").alias("user_message")))
 
 
 def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
@@ -107,6 +107,23 @@ def violations(df: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return df.withColumn("violation", F.explode(broken))
 
 
+def developer_message(kind: Column, message: Column, step: Column) -> Column:
+    """What a log should say of an error: its step, type and text."""
+    return F.concat_ws(" ", F.concat(F.lit("["), step, F.lit("]")), F.concat(kind, F.lit(":")), F.coalesce(message, F.lit("no text")))
+
+
+def register_files(spark: SparkSession, pattern: str, recorded: Column | None = None) -> DataFrame:
+    """``path, bytes, sha256, recorded_at`` of each file that matches, by Spark's own reader; UTC time."""
+    files = spark.read.format("binaryFile").load(pattern)
+    when = recorded if recorded is not None else F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"), when.alias("recorded_at"))
+
+
+def run_id(started: Column, key: Column) -> Column:
+    """Time to the second and eight hexadecimal digits, which follow from the key."""
+    return F.concat(F.date_format(started, "yyyyMMdd'T'HHmmss"), F.lit("-"), F.substring(F.sha2(key.cast("string"), 256), 1, 8))
+
+
 def natural_key(value: Column) -> Column:
     """Sort key of shown text: numbers in it compare as numbers, case doesn't count, nulls last by ``asc_nulls_last``."""
     parts = F.regexp_extract_all(F.lower(value), F.lit(r"([0-9]+|[^0-9]+)"), 1)

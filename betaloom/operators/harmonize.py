@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UNKNOWN = "Unknown/Other"
@@ -92,9 +92,9 @@ def unmapped(labels: DataFrame, mapping: DataFrame, label: str = "label") -> Dat
 
 
 def ontology_top(labels: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
-    """The k best terms per label, by lexical score; the terms of one ontology are a checked small set."""
+    """The k best terms per label, by lexical score; the first in order among equals."""
     from .lexical import scores
 
     scored = scores(labels, terms, "label", "term")
-    best = scored.groupBy("a").agg(F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("score", (-F.col("pos")).alias("p"), "b")))), 1, k).alias("top"))
-    return best.select("a", F.posexplode("top").alias("rank", "t")).select(F.col("a").alias("label"), (F.col("rank") + 1).alias("rank"), F.col("t.b").alias("term"), F.col("t.score").alias("score"))
+    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= k)
+    return ranked.select(F.col("a").alias("label"), "rank", F.col("b").alias("term"), "score")

@@ -1,4 +1,4 @@
-"""Lexical matching of identifiers: all pairs of two *small* label sets and the best of each.
+"""Lexical matching of identifiers: the best of one label set for each of another.
 
 The score is defined on pairs, so distinct labels are scored once and joined back.
 """
@@ -12,6 +12,8 @@ from ..functions import text as T
 
 #: Parameters of the score: weights of token similarity, words and numbers.
 TOKENS, WORDS, NUMBERS = 0.45, 0.10, 0.45
+#: Parameters: right labels that meet all left ones in one cell, tasks a cell's left labels are spread over.
+CELL, SPREAD = 20_000, 64
 
 
 def score(a: Column, b: Column, penalty: bool = True, gamma: float = 1.0) -> Column:
@@ -20,40 +22,65 @@ def score(a: Column, b: Column, penalty: bool = True, gamma: float = 1.0) -> Col
     return out * T.count_penalty(F.size(a["tokens"]), F.size(b["tokens"]), gamma) if penalty else out
 
 
-def scores(left: DataFrame, right: DataFrame, a: str, b: str, penalty: bool = True, most: int = 100_000) -> DataFrame:
-    """``a, b, pos, score`` for every pair of distinct labels; ``pos`` is the right label's first place.
+def _labels(df: DataFrame, column: str, name: str) -> DataFrame:
+    known = df.select(F.col(column).alias(name)).where(F.col(name).isNotNull()).distinct()
+    return known.select(name, T.features(F.col(name)).alias(f"f{name}"))
 
-    The right side is a header or a subject list: its size is checked before every left
-    label meets it.
+
+def pairs(left: DataFrame, right: DataFrame, a: str, b: str, cell: int = CELL) -> DataFrame:
+    """``a, fa, b, fb``: every pair of distinct labels.
+
+    A right side of at most ``cell`` labels is broadcast.  A larger one is dealt to cells
+    of about that many and meets the left side cell by cell, spread over tasks.
     """
-    x = left.select(F.col(a).alias("a")).where(F.col(a).isNotNull()).distinct().select("a", T.features(F.col("a")).alias("fa"))
-    labels = right.where(F.col(b).isNotNull()).select(F.col(b).alias("b")).distinct()
-    n = labels.limit(most + 1).count()
-    if n > most:
-        raise ValueError(f"more than {most} candidate labels")
-    # places by label: the set is small and checked, so its order is one sorted array
-    ordered = labels.agg(F.sort_array(F.collect_set("b")).alias("all")).select(F.posexplode("all").alias("pos", "b")).select("pos", "b", T.features(F.col("b")).alias("fb"))
-    pairs = x.withColumn("one", F.lit(1)).join(F.broadcast(ordered.withColumn("one", F.lit(1))), "one")
-    return pairs.select("a", "b", "pos", score(F.col("fa"), F.col("fb"), penalty).alias("score"))
+    x, y = _labels(left, a, "a"), _labels(right, b, "b")
+    n = y.count()
+    cells = -(-n // cell) or 1
+    if cells == 1:
+        return x.withColumn("_cell", F.lit(0)).join(F.broadcast(y.withColumn("_cell", F.lit(0))), "_cell").drop("_cell")
+    x = x.withColumn("_cell", F.explode(F.sequence(F.lit(0), F.lit(cells - 1)))).withColumn("_part", F.pmod(F.xxhash64("a"), F.lit(SPREAD)))
+    y = y.withColumn("_cell", F.pmod(F.xxhash64("b"), F.lit(cells)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SPREAD - 1).cast("bigint"))))
+    return x.join(y, ["_cell", "_part"]).drop("_cell", "_part")
+
 
+def scores(left: DataFrame, right: DataFrame, a: str, b: str, penalty: bool = True) -> DataFrame:
+    """``a, b, score`` for every pair of distinct labels."""
+    return pairs(left, right, a, b).select("a", "b", score(F.col("fa"), F.col("fb"), penalty).alias("score"))
 
-def best(scored: DataFrame) -> DataFrame:
-    """Per left label its best right label, the first of equals."""
-    return scored.groupBy("a").agg(F.max_by(F.struct("b", "score"), F.struct("score", -F.col("pos"))).alias("m")).select("a", "m.b", "m.score")
+
+def best(left: DataFrame, right: DataFrame, a: str, b: str, penalty: bool = True, gamma: float = 1.0) -> DataFrame:
+    """``a, b, score``: per left label its best right label, the first in order among equals.
+
+    Words, numbers and counts are compared by built-in functions, and the similarity of
+    the tokens is bounded by their lengths.  It is computed only for pairs whose bound
+    reaches what the left label surely gets.
+    """
+    both = pairs(left, right, a, b)
+    fa, fb = F.col("fa"), F.col("fb")
+    rest = WORDS * T.jaccard(fa["words"], fb["words"]) + NUMBERS * T.number_match(fa["nums"], fb["nums"])
+    factor = T.count_penalty(F.size(fa["tokens"]), F.size(fb["tokens"]), gamma) if penalty else F.lit(1.0)
+    sizes = [F.length(F.array_join(f["tokens"], " ")) for f in (fa, fb)]
+    ceiling = F.coalesce(F.try_divide(2 * F.least(*sizes), sizes[0] + sizes[1]), F.lit(1.0))
+    bounded = both.select("a", "b", "fa", "fb", (rest * factor).alias("sure"), ((rest + TOKENS * ceiling) * factor).alias("most"))
+    floor = bounded.groupBy("a").agg(F.max("sure").alias("floor"))
+    hopeful = bounded.join(floor, "a").where(F.col("most") >= F.col("floor") - 1e-9)
+    scored = hopeful.select("a", "b", score(fa, fb, penalty, gamma).alias("score"))
+    top = scored.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m"))
+    return top.select("a", "m.b", (-F.col("m.s")).alias("score"))
 
 
 def best_field(candidates: DataFrame, targets: DataFrame, field: str, value: str, target: str, excluded: tuple[str, ...] = ("artifact", "relation", "platform_id")) -> DataFrame:
     """The field whose values come closest to a target, the first in order of name among equals. One row."""
     wanted = candidates.where(~F.col(field).isin(*excluded))
-    top = best(scores(wanted, targets, value, target))
+    top = best(wanted, targets, value, target)
     by = wanted.select(F.col(field).alias("field"), F.col(value).alias("a")).distinct().join(top, "a").groupBy("field").agg(F.max("score").alias("score"))
     return by.orderBy(F.desc("score"), "field").limit(1)
 
 
 def subject_map(samples: DataFrame, subjects: DataFrame, sample: str, candidate: str, subject: str) -> DataFrame:
     """``sample, subject, matched, score``: each sample's best candidate and the subject nearest to it."""
-    top = best(scores(samples, subjects, candidate, subject, penalty=False))
+    top = best(samples, subjects, candidate, subject, penalty=False)
     joined = samples.select(F.col(sample).alias("sample"), F.col(candidate).alias("a")).distinct().join(top, "a")
     chosen = joined.groupBy("sample").agg(F.max_by(F.struct(F.col("a").alias("subject"), F.col("b").alias("matched"), "score"), F.struct("score", F.col("a"))).alias("m")).select("sample", "m.*")
-    again = best(scores(chosen, subjects, "subject", subject)).select(F.col("a").alias("subject"), F.col("b").alias("nearest"))
+    again = best(chosen, subjects, "subject", subject).select(F.col("a").alias("subject"), F.col("b").alias("nearest"))
     return chosen.join(again, "subject").select("sample", "subject", F.col("nearest").alias("matched"), "score")

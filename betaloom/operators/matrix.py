@@ -74,9 +74,11 @@ def common_probes(batches: DataFrame, platform: str, probe: str) -> DataFrame:
 def align(long: DataFrame, samples: DataFrame, wanted: DataFrame) -> DataFrame:
     """Cells of the wanted probes for every sample, null where there is none; other probes drop out.
 
-    ``wanted`` is a model's probe list, so samples times probes is the size of the result.
+    ``wanted`` is a model's probe list: one row's array, exploded beside each sample, so
+    samples times probes is the size of the result.
     """
-    grid = samples.select("accession", "sample_id").distinct().withColumn("one", F.lit(1)).join(wanted.select("probe").distinct().withColumn("one", F.lit(1)), "one").drop("one")
+    listed = wanted.agg(F.collect_set("probe").alias("_probes"))
+    grid = samples.select("accession", "sample_id").distinct().join(F.broadcast(listed)).select("accession", "sample_id", F.explode("_probes").alias("probe"))
     return grid.join(long, ["accession", "sample_id", "probe"], "left")
 
 

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 def coverage(df: DataFrame, fields: Sequence[str], order: str, examples: int = 10) -> DataFrame:
     """Per field: present, missing, parse_rate (0 if empty), unique_values and the first examples by ``order``.
 
-    One aggregation for all fields; the first values are kept in a bounded list while
-    rows stream by, so no list of all values is made.
+    One aggregation counts all fields; the examples are a bounded sort per field, so no
+    list of all values is made.
     """
     stacked = df.select(order, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])).alias("s")).select(order, "s.field", "s.v")
     counts = stacked.groupBy("field").agg(F.count("v").alias("present"), F.count_if(F.col("v").isNull()).alias("missing"), F.count_distinct("v").alias("unique_values"))
@@ -25,6 +25,25 @@ def coverage(df: DataFrame, fields: Sequence[str], order: str, examples: int = 1
     return out.join(lists, "field", "left").select("field", "present", "missing", "parse_rate", "unique_values", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
 
+# The fields of a sample that a summary covers.
+SUMMARY_FIELDS = ("Disease_Status", "Condition", "Tissue", "Cell_Type", "Sex", "Platform", "age")
+
+
+def metadata_summary(df: DataFrame, order: str, fields: Sequence[str] = SUMMARY_FIELDS, examples: int = 10) -> DataFrame:
+    """:func:`coverage` of the fields beside ``n_samples``; all zero for an empty table."""
+    n = df.agg(F.count("*").alias("n_samples"))
+    named = df.sparkSession.createDataFrame([(f,) for f in fields], "field string").join(F.broadcast(n))  # n is one row
+    found = coverage(df, fields, order, examples)
+    zero = lambda c, kind: F.coalesce(c, F.lit(0)).cast(kind).alias(c)
+    return named.join(found, "field", "left").select("field", "n_samples", zero("present", "bigint"), zero("missing", "bigint"), zero("parse_rate", "double"), zero("unique_values", "bigint"), F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
+
+
+def parse_rates(summary: DataFrame, wanted: Sequence[str]) -> DataFrame:
+    """``field, parse_rate`` of the wanted fields, 0 where one is unknown."""
+    named = summary.sparkSession.createDataFrame([(f,) for f in wanted], "field string")
+    return named.join(summary.select("field", "parse_rate"), "field", "left").select("field", F.coalesce("parse_rate", F.lit(0.0)).alias("parse_rate"))
+
+
 def value_shares(df: DataFrame, column: str) -> DataFrame:
     """Share of each known value."""
     counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("string").alias("value")).agg(F.count("*").alias("n"))
@@ -59,5 +78,5 @@ def labels(df: DataFrame, column: str, control: str | None = None) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
-    """``n`` rows by a hash of the key: the same rows each time."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), key).limit(n)
+    """``n`` rows by a digest of seed and key: the same rows each time."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)

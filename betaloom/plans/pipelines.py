@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import convert, evaluate, impute, matrix, models, qc
+from ..sources.shared import written
 from .config import QcConfig
 
 
@@ -31,11 +32,10 @@ def quality_control(long: DataFrame, config: QcConfig | None = None, source: str
     long = convert.convert(long, source, config.target)
     samples, probes = qc.dimensions(long)
     profile = qc.keep_samples(qc.sample_profile(long, samples, probes), config.sample_missing, config.largest)
-    # one row per sample, asked for three times; if an executor goes, its part is computed again
-    kept = profile.where("kept").select(*qc.SAMPLE).persist()
+    kept = written(profile.where("kept").select(*qc.SAMPLE), "kept-samples")  # one row per sample, read three times
     probe_profile = qc.probe_profile(long, kept, probes, config.probe_missing)
     cells = matrix.align_kept(long, kept, probe_profile.where("kept").select("accession", "probe"))
-    filled = impute.simple(cells, config.imputer)
+    filled = written(impute.simple(cells, config.imputer), "filled")  # read for statistics, sums, products and the result
     correlations = qc.keep_correlated(qc.mean_correlations(filled), config.correlation)
     clean = filled.join(correlations.where("kept").select(*qc.SAMPLE), qc.SAMPLE, "left_semi")
     return QcResult(clean, profile, probe_profile, correlations)

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, control, convert, evaluate, harmonize, impute, lexical, matrix, models, profile, qc, rules
-from ..sources import files
+from ..operators import catalog, control, convert, evaluate, harmonize, impute, joins, lexical, matrix, models, profile, qc, rules, threads
+from ..sources import delimited, files, shared, soft
 from . import pipelines
 from .config import QcConfig
 
@@ -314,17 +314,17 @@ def common_probes(spark, d):
 
 @query("SELECT o_orderkey, o_totalprice, c_name, c_acctbal FROM orders JOIN customer ON o_custkey = c_custkey")
 def inner_align(spark, d):
-    return _table(spark, d, "orders").join(_table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("o_orderkey", "o_totalprice", "c_name", "c_acctbal")
+    return joins.with_metadata(_table(spark, d, "orders"), _table(spark, d, "customer"), "o_custkey", "c_custkey").select("o_orderkey", "o_totalprice", "c_name", "c_acctbal")
 
 
 @query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def anti_pending(spark, d):
-    return _table(spark, d, "documents").select("doc_id").join(_table(spark, d, "labels"), "doc_id", "left_anti")
+    return joins.pending(_table(spark, d, "documents").select("doc_id"), _table(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT doc_id, lang FROM documents SEMI JOIN labels USING (doc_id)")
 def semi_done(spark, d):
-    return _table(spark, d, "documents").select("doc_id", "lang").join(_table(spark, d, "labels"), "doc_id", "left_semi")
+    return joins.done(_table(spark, d, "documents").select("doc_id", "lang"), _table(spark, d, "labels"), "doc_id")
 
 
 _LABELS = [("BUILDING", "construction", 1), ("BUILDING", "building", 2), ("MACHINERY", "machines", 3), ("none", "nothing", 4)]
@@ -408,9 +408,9 @@ def dataset_summary(spark, d):
     return out.withColumn("sexes", F.regexp_replace("sexes", r" \([0-9.]+%\)", ""))
 
 
-@query("SELECT accession, bool_and(status IN ('resolved', 'missing') AND confidence > 0.6) AS accepted FROM (SELECT user_id AS accession, CASE WHEN event_type = 'error' THEN 'error' ELSE 'resolved' END AS status, (event_id % 100) / 100 + 0.59 AS confidence FROM events WHERE event_id % 40 > 1) GROUP BY 1")
+@query("SELECT accession, bool_and(status IN ('resolved', 'missing') AND confidence > 0.6) AS accepted FROM (SELECT user_id AS accession, CASE WHEN event_type = 'error' THEN 'error' ELSE 'resolved' END AS status, CASE WHEN value < 3 THEN 0.5 ELSE 0.9 END AS confidence FROM events) GROUP BY 1")
 def protocol_accepted(spark, d):
-    e = _table(spark, d, "events").where("event_id % 40 > 1").select(F.col("user_id").alias("accession"), F.when(F.col("event_type") == "error", "error").otherwise("resolved").alias("status"), ((F.col("event_id") % 100) / 100 + 0.59).alias("confidence"))
+    e = _table(spark, d, "events").select(F.col("user_id").alias("accession"), F.when(F.col("event_type") == "error", "error").otherwise("resolved").alias("status"), F.when(F.col("value") < 3, 0.5).otherwise(0.9).alias("confidence"))
     return rules.accepted(e)
 
 
@@ -434,7 +434,7 @@ def lexical_parts(spark, d):
 
 @query()
 def best_match(spark, d):
-    return lexical.best(lexical.scores(_table(spark, d, "supplier").select("s_name"), _table(spark, d, "nation").select("n_name"), "s_name", "n_name")).withColumn("score", F.round("score", 6))
+    return lexical.best(_table(spark, d, "supplier"), _table(spark, d, "nation"), "s_name", "n_name").withColumn("score", F.round("score", 6))
 
 
 @query()
@@ -456,7 +456,7 @@ def truncate(spark, d):
 
 @query("SELECT page_id, array_to_string(regexp_extract_all(url, '(?i)(com/[0-9]+|en/[0-9]+)'), ',') AS found FROM pages")
 def accessions_in_text(spark, d):
-    return _table(spark, d, "pages").select("page_id", F.array_join(F.regexp_extract_all("url", F.lit("(?i)(com/[0-9]+|en/[0-9]+)"), 1), ",").alias("found"))
+    return _table(spark, d, "pages").select("page_id", F.array_join(T.accessions(F.col("url"), "(?:com/|en/)"), ",").alias("found"))
 
 
 @query("SELECT DISTINCT url FROM pages WHERE url LIKE '%5'")
@@ -503,19 +503,17 @@ def missing_prerequisites(spark, d):
 
 @query("SELECT conv_id, sha256(string_agg(text, '' ORDER BY turn)) AS digest, string_agg(text, '' ORDER BY turn)[1:200] AS preview FROM conversations GROUP BY 1")
 def message_hash(spark, d):
-    turns = F.array_sort(F.collect_list(F.struct("turn", "text")))
-    whole = _table(spark, d, "conversations").groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["text"]), "").alias("t"))
-    return whole.select("conv_id", F.sha2("t", 256).alias("digest"), F.substring("t", 1, 200).alias("preview"))
+    return threads.digests(_table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
 @query("SELECT conv_id, arg_max(text, turn) AS latest FROM conversations WHERE role = 'user' GROUP BY 1")
 def latest_user_text(spark, d):
-    return _table(spark, d, "conversations").where("role = 'user'").groupBy("conv_id").agg(F.max_by("text", "turn").alias("latest"))
+    return threads.latest_text(_table(spark, d, "conversations"), "conv_id", "turn", "text", "role")
 
 
 @query("SELECT conv_id, arg_max(text, turn) AS last_message, (conv_id::VARCHAR)[1:8] || '...' AS title, count(*) FILTER (role <> 'system') AS n_messages FROM conversations GROUP BY 1")
 def thread_titles(spark, d):
-    return _table(spark, d, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("last_message"), F.concat(F.substring(F.col("conv_id").cast("string"), 1, 8), F.lit("...")).alias("title"), F.count_if(F.col("role") != "system").alias("n_messages"))
+    return threads.titles(_table(spark, d, "conversations"), "conv_id", "turn", "text", "role")
 
 
 @query("SELECT user_id, event_type, count(*) AS n, min(ts) AS first_at, max(ts) AS last_at FROM events GROUP BY 1, 2")
@@ -537,12 +535,12 @@ def failure_propagation(spark, d):
     return catalog.propagate_failures(steps, failed, "1-URGENT", ["2-HIGH", "3-MEDIUM"]).select("o_orderkey", "status")
 
 
-@query()
+@query("WITH r AS (SELECT sha256(to_json({'n_name': n_name, 'n_nationkey': n_nationkey, 'n_regionkey': n_regionkey})) AS h FROM nation) SELECT count(*) AS n_rows, sum(('0x' || h[1:8])::BIGINT)::BIGINT AS d1, sum(('0x' || h[9:16])::BIGINT)::BIGINT AS d2 FROM r")
 def table_digest(spark, d):
     return catalog.content_digest(_table(spark, d, "nation"))
 
 
-@query()
+@query("SELECT c_custkey, c_name FROM customer ORDER BY md5('0:' || c_custkey::VARCHAR), c_custkey LIMIT 10")
 def deterministic_sample(spark, d):
     return profile.sample_rows(_table(spark, d, "customer").select("c_custkey", "c_name"), "c_custkey", 10)
 
@@ -671,13 +669,14 @@ def https_links(spark, d):
 @query("SELECT l_partkey AS probe FROM lineitem WHERE l_returnflag = 'A' INTERSECT SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R'")
 def probe_intersection(spark, d):
     li = _table(spark, d, "lineitem")
-    return li.where("l_returnflag = 'A'").select(F.col("l_partkey").alias("probe")).intersect(li.where("l_returnflag = 'R'").select("l_partkey"))
+    li = li.withColumnRenamed("l_partkey", "probe")
+    return joins.in_both(li.where("l_returnflag = 'A'"), li.where("l_returnflag = 'R'"), "probe")
 
 
 @query("SELECT o_custkey FROM orders WHERE o_orderstatus = 'F' EXCEPT SELECT o_custkey FROM orders WHERE o_orderstatus = 'O'")
 def column_difference(spark, d):
     o = _table(spark, d, "orders")
-    return o.where("o_orderstatus = 'F'").select("o_custkey").exceptAll(o.where("o_orderstatus = 'O'").select("o_custkey")).distinct().join(o.where("o_orderstatus = 'O'").select("o_custkey"), "o_custkey", "left_anti")
+    return joins.in_first_only(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus = 'O'"), "o_custkey")
 
 
 @query("SELECT 'gse' || o_custkey::VARCHAR AS accession, min(o_orderkey) AS first FROM orders GROUP BY 1")
@@ -693,7 +692,7 @@ def overfitted_rules(spark, d):
 
 @query("SELECT doc_id, lang, quality FROM documents LEFT JOIN labels USING (doc_id)")
 def left_predictions(spark, d):
-    return _table(spark, d, "documents").select("doc_id", "lang").join(_table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return joins.with_predictions(_table(spark, d, "documents").select("doc_id", "lang"), _table(spark, d, "labels").select("doc_id", "quality"), ["doc_id"])
 
 
 @query()
@@ -710,11 +709,113 @@ def ontology_candidates(spark, d):
     return harmonize.ontology_top(labels, terms, 5).withColumn("score", F.round("score", 6))
 
 
-@query()
+@query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^\w\s-]', '', 'g'), '[-\s]+', '-', 'g'), '-_') AS slug FROM part")
 def slugs(spark, d):
     return _table(spark, d, "part").select("p_partkey", T.slugify(F.col("p_name")).alias("slug"))
 
 
-@query()
+@query("SELECT p_partkey, p_brand, lower(regexp_extract(p_brand, '^[^0-9]*')) || lpad(regexp_extract(p_brand, '[0-9]+$'), 20, '0') AS sort_key FROM part")
 def table_sort(spark, d):
-    return _table(spark, d, "part").select("p_partkey", "p_brand").orderBy(catalog.natural_key(F.col("p_brand")).asc_nulls_last(), "p_partkey")
+    keyed = _table(spark, d, "part").select("p_partkey", "p_brand", catalog.natural_key(F.col("p_brand")).alias("sort_key"))
+    return keyed.orderBy(F.col("sort_key").asc_nulls_last(), "p_partkey")
+
+
+# ---- joins of results, ingest of files
+
+
+@query("SELECT o_orderkey, c_acctbal AS value FROM customer JOIN orders ON c_custkey = o_custkey")
+def rekeyed_by_subject(spark, d):
+    values = _table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").alias("value"))
+    return joins.by_sample(values, _table(spark, d, "orders"), "c_custkey", "o_custkey", "o_orderkey").select("o_orderkey", "value")
+
+
+@query("WITH p AS (SELECT l_orderkey, sum(l_quantity) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), q AS (SELECT l_orderkey, sum(l_quantity) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT l_orderkey, a, b FROM p JOIN q USING (l_orderkey)")
+def merged_predictions(spark, d):
+    li = _table(spark, d, "lineitem")
+    parts = [li.where(F.col("l_returnflag") == flag).groupBy("l_orderkey").agg(F.sum("l_quantity").alias(name)) for flag, name in (("A", "a"), ("R", "b"))]
+    return joins.merged(parts, ["l_orderkey"])
+
+
+@query("SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer")
+def key_union(spark, d):
+    return joins.in_either(_table(spark, d, "orders").select(F.col("o_custkey").alias("k")), _table(spark, d, "customer").select(F.col("c_custkey").alias("k")), "k")
+
+
+@query("SELECT l_returnflag AS dataset, count(*) AS n, round(avg(pow(l_quantity - l_discount * 100, 2)), 6) AS mse, round(1 - avg(pow(l_quantity - l_discount * 100, 2)) / var_pop(l_discount * 100), 6) AS r2 FROM lineitem GROUP BY 1")
+def squared_errors(spark, d):
+    rows = _table(spark, d, "lineitem").select(F.col("l_returnflag").alias("dataset"), F.col("l_quantity").alias("predicted"), (F.col("l_discount") * 100).alias("age"))
+    return evaluate.squared_errors(rows, ["dataset"]).select("dataset", "n", F.round("mse", 6).alias("mse"), F.round("r2", 6).alias("r2"))
+
+
+@query("SELECT f AS field, count(*) AS n_samples, count(v) AS present, count(*) - count(v) AS missing, count(v) / count(*) AS parse_rate, count(DISTINCT v) AS unique_values FROM (SELECT unnest(['quality', 'toxic']) AS f, unnest([quality, toxic]) AS v FROM documents LEFT JOIN labels USING (doc_id)) GROUP BY 1")
+def metadata_summary(spark, d):
+    rows = joins.with_predictions(_table(spark, d, "documents").select("doc_id"), _table(spark, d, "labels"), ["doc_id"])
+    return profile.metadata_summary(rows, "doc_id", ["quality", "toxic"]).drop("examples")
+
+
+@query("SELECT event_id, strftime(ts, '%Y%m%dT%H%M%S') || '-' || sha256(event_id::VARCHAR)[1:8] AS run FROM events")
+def run_ids(spark, d):
+    return _table(spark, d, "events").select("event_id", catalog.run_id(F.col("ts"), F.col("event_id")).alias("run"))
+
+
+@query("SELECT event_id, '[' || event_type || '] OSError: ' || props AS message FROM events")
+def developer_messages(spark, d):
+    return _table(spark, d, "events").select("event_id", catalog.developer_message(F.lit("OSError"), F.col("props"), F.col("event_type")).alias("message"))
+
+
+@query(f"SELECT 'study' AS accession, 's' || lpad(sample_id::VARCHAR, 8, '0') || '_beta' AS sample_id, 'cg' || lpad(probe::VARCHAR, 4, '0') AS probe, value FROM ({_CELLS})")
+def delimited_ingest(spark, d):
+    """The matrix written as a delimited file with a comment and a header, found out and read back."""
+    cells = _cells(spark, d)
+    names = cells.select(F.format_string("s%08d_Beta", "sample_id").alias("n")).distinct()
+    head = names.agg(F.concat(F.lit("ID_REF\t"), F.array_join(F.array_sort(F.collect_list("n")), "\t")).alias("value"), F.lit(-1).alias("o"))
+    row = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sample_id", "value"))), lambda x: x["value"].cast("string")), "\t")
+    rows = cells.groupBy("probe").agg(row.alias("r")).select(F.concat(F.format_string("cg%04d", "probe"), F.lit("\t"), "r").alias("value"), F.col("probe").alias("o"))
+    comment = spark.createDataFrame([("# processed values", -2)], "value string, o int")
+    path = shared.folder(spark, "delimited")
+    comment.unionByName(head).unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    return delimited.format_matrix(spark, path, accession="study", detection_pattern=None)
+
+
+def _soft_file(spark, d):
+    n = _table(spark, d, "customer")
+    lines = [
+        F.concat(F.lit("^SAMPLE = GSM"), "c_custkey"), F.concat(F.lit("!Sample_title = "), "c_name"), F.concat(F.lit("!Sample_characteristics_ch1 = age: "), "c_nationkey"), F.concat(F.lit("!Sample_characteristics_ch1 = segment: "), "c_mktsegment"),
+        F.lit("!sample_table_begin"), F.lit("ID_REF\tVALUE\tDetection Pval"), F.concat(F.lit("cg1\t"), (F.col("c_nationkey") / 100).cast("string"), F.lit("\t0.01")), F.concat(F.lit("cg2\t"), (F.col("c_custkey") / 10).cast("string"), F.lit("\t"), F.when(F.col("c_nationkey") > 12, "0.2").otherwise("0.05")), F.lit("!sample_table_end"),
+    ]
+    path = shared.folder(spark, "soft")
+    n.coalesce(1).sortWithinPartitions("c_custkey").select(F.explode(F.array(*lines)).alias("value")).write.text(path)
+    return soft.lines(spark, path)
+
+
+@query("SELECT 'GSM' || c_custkey::VARCHAR AS sample_id, 'cg1' AS probe, c_nationkey / 100 AS value FROM customer UNION ALL SELECT 'GSM' || c_custkey::VARCHAR, 'cg2', c_custkey / 10 FROM customer WHERE c_nationkey <= 12")
+def soft_probe_tables(spark, d):
+    return soft.probe_tables(_soft_file(spark, d)).select("sample_id", "probe", "value")
+
+
+@query("SELECT 'GSM' || c_custkey::VARCHAR AS name, c_name AS title, 'age: ' || c_nationkey::VARCHAR || '|segment: ' || c_mktsegment AS characteristics FROM customer")
+def soft_metadata(spark, d):
+    fields = soft.sample_metadata(_soft_file(spark, d))
+    return fields.select("name", F.col("fields")["title"][0].alias("title"), F.array_join(F.col("fields")["characteristics_ch1"], "|").alias("characteristics"))
+
+
+@query("SELECT c_custkey, c_name, c_acctbal FROM customer")
+def csv_round_trip(spark, d):
+    path = shared.folder(spark, "csv")
+    files.write_csv(_table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal"), path)
+    return files.read_csv(spark, path, "c_custkey bigint, c_name string, c_acctbal double")
+
+
+@query("SELECT p_partkey, p_name, p_size FROM part")
+def json_round_trip(spark, d):
+    path = shared.folder(spark, "json")
+    files.write_json(_table(spark, d, "part").select("p_partkey", "p_name", "p_size"), path)
+    return spark.read.schema("p_partkey bigint, p_name string, p_size int").json(path)
+
+
+@query(_CELLS)
+def matrix_round_trip(spark, d):
+    path = shared.folder(spark, "matrix")
+    files.write_matrix(_cells(spark, d), path)
+    read = files.read_first(spark, [path + "-after-control", path])
+    return read.select(F.col("accession").cast("string").alias("accession"), "sample_id", "probe", "value")

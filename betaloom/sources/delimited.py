@@ -40,9 +40,9 @@ def light(df: DataFrame) -> DataFrame:
 
 
 def probe_column(df: DataFrame, share: float = 0.9, first: int = 5, prefix: str = "cg") -> str:
-    """The first of the leading columns whose known values carry the prefix for the most part; one aggregation."""
+    """The first of the leading columns whose known values carry the prefix, as written, for the most part; one aggregation."""
     names = df.columns[:first]
-    shares = df.agg(*[F.avg(F.lower(F.col(f"`{c}`")).startswith(prefix).cast("int")).alias(f"s{k}") for k, c in enumerate(names)]).first()
+    shares = df.agg(*[F.avg(F.col(f"`{c}`").startswith(prefix).cast("int")).alias(f"s{k}") for k, c in enumerate(names)]).first()
     for k, c in enumerate(names):
         if shares[k] is not None and shares[k] > share:
             return c
@@ -67,10 +67,10 @@ def has_detection(n_columns: int, n_rows: int) -> bool:
 
 def pair_columns(spark: SparkSession, values: list[str], detections: list[str]) -> dict[str, str]:
     """Each value column's best detection column by lexical score; both lists are one header."""
-    from ..operators.lexical import best, scores
+    from ..operators.lexical import best
 
     a, b = (spark.createDataFrame([(c,) for c in names], "c string") for names in (values, detections))
-    return {r["a"]: r["b"] for r in best(scores(a, b, "c", "c")).collect()}
+    return {r["a"]: r["b"] for r in best(a, b, "c", "c").collect()}
 
 
 def to_long(df: DataFrame, probe: str, values: list[str], detections: dict[str, str] | None = None, accession: str = "all", cutoff: float = 0.05) -> DataFrame:
@@ -84,9 +84,9 @@ def to_long(df: DataFrame, probe: str, values: list[str], detections: dict[str,
 
 
 def format_matrix(spark: SparkSession, path: str, value_pattern: str = "beta", detection_pattern: str | None = "detection|pval", accession: str = "all") -> DataFrame:
-    """The whole way from a file to the long matrix."""
+    """The whole way from a file to the long matrix; the probe column is judged by all rows."""
     df = read(spark, path)
-    probe = probe_column(light(df))
+    probe = probe_column(df)
     others = [c for c in df.columns if c != probe]
     values, _ = columns_like(others, value_pattern)
     detections = columns_like(others, detection_pattern)[0] if detection_pattern else []

@@ -69,6 +69,21 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def write_json(df: DataFrame, path: str, overwrite: bool = False) -> None:
+    """A JSON object a line; kept if it exists, unless overwriting is asked for."""
+    df.write.mode("overwrite" if overwrite else "ignore").json(path)
+
+
+def read_first(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
+    """The first table that exists, such as the matrix after quality control, else the one before it; raises without any."""
+    tried = list(paths)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in tried:
+        if hadoop(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop(path)):
+            return spark.read.parquet(path)
+    raise FileNotFoundError(f"none of {tried} exists")
+
+
 def write_matrix(long: DataFrame, path: str) -> None:
     """Parquet with zstd, dealt by accession so that one study is read alone."""
     long.write.mode("overwrite").option("compression", "zstd").partitionBy("accession").parquet(path)
