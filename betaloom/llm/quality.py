@@ -19,12 +19,13 @@ import re
 import unicodedata
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import field, map_texts, on_leave, written
-from .piece_bpe import MEMO_CHUNKS, MODEL, Memo, load
+from .piece_bpe import MODEL, Memo, load
 
 #: Scripts with bands of their own; all others share OTHER.
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "ARABIC", "HEBREW", "DEVANAGARI", "BENGALI", "TAMIL", "THAI", "ARMENIAN", "GEORGIAN", "ETHIOPIC")
@@ -32,6 +33,8 @@ SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "CJK", "HIRAGANA", "KATAKANA", "HANGUL"
 #: distance of characters per token as a share of the median, of byte share and of entropy
 #: share; tokens of a block.
 FENCE, LEAST_SPREAD, TOKENS = 2.0, (0.05, 0.02, 0.02), 128
+#: Chunks kept in a worker's memo; it holds at most twice that, about 270 MB.
+MEMO_CHUNKS = 400_000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -64,19 +67,18 @@ def repeated_lines(text: str) -> int:
     return out
 
 
+@functools.cache
+def _scripts() -> np.ndarray:
+    """Per code point: its letter's place in SCRIPTS, that of OTHER after them, or one more for what is no letter."""
+    place = {k: i for i, k in enumerate(SCRIPTS)}
+    names = ((c.isalpha(), unicodedata.name(c, "").split(" ")[0]) for c in map(chr, range(0x110000)))
+    return np.fromiter((place.get(name, len(SCRIPTS)) if letter else len(SCRIPTS) + 1 for letter, name in names), np.uint8, 0x110000)
+
+
 def main_script(text: str) -> str:
-    """Script of most letters, every one counted; OTHER without letters."""
-    counts: Counter[str] = Counter()
-    for c, n in Counter(text).items():
-        if c.isalpha():
-            counts[_script(c)] += n
-    return min(counts, key=lambda k: (-counts[k], k)) if counts else "OTHER"
-
-
-@functools.lru_cache(maxsize=65536)
-def _script(c: str) -> str:
-    first = unicodedata.name(c, "").split(" ")[0]
-    return first if first in SCRIPTS else "OTHER"
+    """Script of most letters, every one counted; the first in name among equals; OTHER without letters."""
+    counts = np.bincount(_scripts()[np.frombuffer(text.encode("utf-32-le"), "<u4")], minlength=len(SCRIPTS) + 2)[:-1]
+    return min((-n, k) for n, k in zip(counts.tolist(), (*SCRIPTS, "OTHER")))[1] if counts.any() else "OTHER"
 
 
 def _tokens(path: str) -> Memo:
