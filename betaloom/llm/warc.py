@@ -34,8 +34,8 @@ from .simhash import shuffles_dropped
 
 #: Parameters: bytes of payload in a shard, compressed bytes that end a file, bytes of
 #: files a reading task takes at most (one file at least), payloads from how many bytes on
-#: may be revisits, bits by which an id bucket is split, groups of buckets that are dealt
-#: to shards apart, most rows of the bucket table that are broadcast, the records' date.
+#: may be revisits, bits by which an id bucket is split, most groups of buckets that are
+#: dealt to shards apart, most rows of the bucket table that are broadcast, the records' date.
 SHARD_BYTES, FILE_BYTES, READ_BYTES, REVISIT_BYTES, SPLIT_BITS, GROUPS, BROADCAST_ROWS, DATE = 32 << 20, 8 << 20, 16 << 20, 0, 8, 256, 1_000_000, "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard int, seq bigint, temp string, name string, bytes bigint, records bigint, sha256 string"
@@ -191,7 +191,9 @@ def _shards(rows: DataFrame, sizes: DataFrame, shard_bytes: int) -> tuple[DataFr
     # where a bucket begins, as a number that orders buckets of all levels
     shift = F.greatest(F.lit(0), F.lit(bits) - F.col("level") * SPLIT_BITS)
     begins = F.call_function("shiftleft", F.col("bucket"), shift)
-    group = F.shiftrightunsigned(begins, max(0, bits - GROUPS.bit_length() + 1))
+    # about eight shards to a group, so that few shards are left half full
+    groups = min(GROUPS, max(1, total // (8 * shard_bytes)))
+    group = F.shiftrightunsigned(begins, max(0, bits - groups.bit_length() + 1)) if groups > 1 else F.lit(0).cast("bigint")
     order = Window.partitionBy("group").orderBy("begins")
     before = F.coalesce(F.sum("bytes").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     parts = F.greatest(F.lit(1), F.ceil(F.col("bytes") / F.lit(shard_bytes))).cast("int")
