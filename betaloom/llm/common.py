@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -130,6 +132,8 @@ def enter(owner: str) -> None:
                 release()
         _owner[0] = owner
         gc.collect()
+        with contextlib.suppress(OSError, AttributeError):  # not every C library can
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 def map_texts(df: DataFrame, ids: Sequence[str], text: str, per_step: Callable[[list], list], fields: list[T.StructField]) -> DataFrame:

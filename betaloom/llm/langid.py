@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import field, map_texts, pick, steps, written
+from .common import enter, field, map_texts, pick, steps, written
 
 #: Parameters of the fit, which looks at a bounded sample: most texts per language, most
 #: characters of all languages together, share of the sample held back for calibration,
@@ -175,6 +175,7 @@ def build(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    enter(__name__)
     for step in steps(batches):
         texts: dict[str, list[np.ndarray]] = {}
         for language, text in zip(step.column(0).to_pylist(), step.column(1).to_pylist()):
@@ -253,9 +254,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         by = np.argsort(grams[mine])
         found[name] = (grams[mine][by], n[mine][by])
     model = build(_fitting(found, MOST_BYTES))
-    shipped = spark.sparkContext.broadcast(model)
+    shipped, langid_name = spark.sparkContext.broadcast(model), __name__
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        enter(langid_name)
         m = shipped.value
         place = {k: j for j, k in enumerate(m.languages)}
         for step in steps(batches):

@@ -34,7 +34,7 @@ from .common import field, map_texts, on_leave
 MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks and token pairs kept in a worker's memos; a memo holds at most twice that (see Memo).
-MEMO_CHUNKS, MEMO_PAIRS, MEMO_LENGTH = 120_000, 300_000, 64
+MEMO_CHUNKS, MEMO_PAIRS, MEMO_LENGTH = 60_000, 200_000, 64
 _RUNS = re.compile(r"▁*[^\W\d_]+|▁+|(?:(?!▁)[\W\d_])+")
 _OTHER = 1 << 21  # ids from here on stand for characters outside the vocabulary
 
@@ -77,7 +77,7 @@ class PieceBPE:
         self.surfaces = [p.replace(SPACE, " ") if kinds[i] == "normal" else " ⁇ " if kinds[i] == "unknown" else "" for i, p in enumerate(pieces)]
         # an entry of a prefix table is a token and its length, in as many bits as the longest string needs
         self.shift = max(5, max(map(len, self.ids)).bit_length())
-        self.mask = (1 << self.shift) - 1
+        self.mask, self.wide = (1 << self.shift) - 1, 22 + self.shift  # tokens take 22 bits at most
         self.automaton = ahocorasick.Automaton()
         for p, i in self.ids.items():
             self.automaton.add_word(p, i << self.shift | len(p))
@@ -127,7 +127,7 @@ class PieceBPE:
         known = self.merge("".join(want)) == want
         if len(self.pairs) >= MEMO_PAIRS:
             self.pairs.clear()
-        self.pairs[left << 40 | right] = known
+        self.pairs[left << self.wide | right] = known
         return known
 
     def _last(self, prefix: str) -> int:
@@ -143,7 +143,7 @@ class PieceBPE:
         for entry in reversed(ends):
             shorter = prefix[: -(entry & mask)]
             left = kept[shorter] if shorter else 0
-            fits = pairs.get(left << 40 | entry)
+            fits = pairs.get(left << self.wide | entry)
             if fits or fits is None and self._compatible(left, entry):
                 return entry
         return _OTHER + ord(prefix[-1]) << self.shift | 1
@@ -171,7 +171,7 @@ class PieceBPE:
             done = end
             if not last[end + 1]:
                 left = last[end + 1 - (entry & mask)]
-                fits = pairs.get(left << 40 | entry)
+                fits = pairs.get(left << self.wide | entry)
                 if fits or fits is None and self._compatible(left, entry):
                     last[end + 1] = entry
         for j in range(done + 1, k + 1):
