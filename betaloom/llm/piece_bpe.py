@@ -35,6 +35,8 @@ MODEL = "piece_bpe_32k.model"
 SPACE = "▁"
 #: Chunks and token pairs kept in a worker's memos; a memo holds at most twice that (see Memo).
 MEMO_CHUNKS, MEMO_PAIRS, MEMO_LENGTH = 60_000, 200_000, 64
+#: Chunks kept by the digests, whose worker holds nothing beside them; a pipeline does not use this memo.
+SHOWN_CHUNKS = 240_000
 _RUNS = re.compile(r"▁*[^\W\d_]+|▁+|(?:(?!▁)[\W\d_])+")
 _OTHER = 1 << 21  # ids from here on stand for characters outside the vocabulary
 
@@ -335,7 +337,7 @@ def _shown(path: str) -> Memo:
         ids = bpe.chunk_ids(chunk)
         return len(ids), ",".join(map(str, ids)), bpe._surface(ids)
 
-    return Memo(show, MEMO_CHUNKS)
+    return Memo(show, SHOWN_CHUNKS)
 
 
 on_leave(__name__, lambda: (load.cache_clear(), _shown.cache_clear()))
