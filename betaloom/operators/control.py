@@ -56,6 +56,12 @@ def set_status(steps: DataFrame, when: Column, status: str, at: Column) -> DataF
     return out.withColumn("finished_at", F.when(when & ended, at).otherwise(F.col("finished_at")))
 
 
+def reviewed(requests: DataFrame, decisions: DataFrame, key: str, order: str, decision: str = "decision") -> DataFrame:
+    """Every request with its last decision, the largest among equals of ``order``; ``pending`` without one."""
+    last = decisions.groupBy(F.col(key).alias("_k")).agg(F.max(F.struct(order, decision))[decision].alias("_d"))
+    return requests.join(last, F.col(key) == F.col("_k"), "left").withColumn(decision, F.coalesce("_d", F.lit("pending"))).drop("_k", "_d")
+
+
 def new_artifacts(now: DataFrame, before: DataFrame, path: str = "path") -> DataFrame:
     return now.join(before.select(path).distinct(), path, "left_anti")
 

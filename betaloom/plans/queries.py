@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import catalog, control, convert, evaluate, harmonize, impute, joins, lexical, matrix, models, profile, qc, rules, threads
 from ..sources import delimited, files, shared, soft
+from ..streaming import events as event_log
 from . import pipelines
 from .config import QcConfig
 
@@ -819,3 +820,55 @@ def matrix_round_trip(spark, d):
     files.write_matrix(_cells(spark, d), path)
     read = files.read_first(spark, [path + "-after-control", path])
     return read.select(F.col("accession").cast("string").alias("accession"), "sample_id", "probe", "value")
+
+
+@query("SELECT 'all' AS accession, 'A Value' AS sample_id, c_custkey::VARCHAR AS probe, c_nationkey::DOUBLE AS value FROM customer WHERE c_nationkey % 10 < 5 UNION ALL SELECT 'all', 'B Value', c_custkey::VARCHAR, c_custkey::DOUBLE FROM customer WHERE c_custkey % 10 < 5")
+def positional_pairs(spark, d):
+    shown = lambda k, name: [F.col(k).cast("string").alias(f"{name} Value"), (F.col(k) % 10 / 100).cast("string").alias(f"{name} Detection_Pval")]
+    wide = _table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("ID"), *shown("c_nationkey", "A"), *shown("c_custkey", "B"))
+    pairs = delimited.pairs_by_position(wide.columns, "value", "detection")
+    return delimited.to_long(wide, "ID", list(pairs), pairs).where("value is not null")
+
+
+@query("SELECT 'CG' || p_partkey::VARCHAR AS probe FROM part")
+def platform_probes(spark, d):
+    table = _table(spark, d, "part").select("p_name", "p_size", F.concat(F.lit("CG"), "p_partkey").alias("ID"))
+    return table.select(F.col(delimited.platform_probe_column(table)).alias("probe"))
+
+
+# ---- rules, reviews and logs
+
+
+@query("SELECT n_name AS concept FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey % 3 = 0 AND n_nationkey BETWEEN 1 AND 23")
+def poorly_parsed(spark, d):
+    n = _table(spark, d, "nation")
+    status = n.select(F.col("n_name").alias("concept"), F.when(F.col("n_nationkey") % 2 == 0, "resolved").otherwise("missing").alias("status"))
+    failed = F.when(F.col("n_nationkey") % 3 == 0, F.array("n_name")).otherwise(F.array().cast("array<string>"))
+    coverage = n.select(F.col("n_name").alias("concept"), (F.col("n_nationkey") / 24).alias("parse_rate"), failed.alias("failures"))
+    return rules.poorly_parsed(status, coverage).select("concept")
+
+
+@query("SELECT DISTINCT lower(c_mktsegment) AS key FROM customer")
+def discovered_keys(spark, d):
+    values = F.array(F.concat(F.lower("c_mktsegment"), F.lit(": "), "c_name"), F.lit("no pair"))
+    return rules.keys(_table(spark, d, "customer").select(values.alias("values")), "values")
+
+
+@query("SELECT p_brand AS concept, string_agg(DISTINCT p_type, '|' ORDER BY p_type) AS examples FROM part WHERE p_size < 10 GROUP BY 1")
+def failure_examples(spark, d):
+    failed = F.when(F.col("p_size") < 10, F.struct(F.col("p_brand").alias("concept"), F.col("p_type").alias("raw")))
+    found = rules.failures(_table(spark, d, "part").select(F.array_compact(F.array(failed)).alias("failures")))
+    return found.select("concept", F.array_join("examples", "|").alias("examples"))
+
+
+@query("SELECT o_orderkey AS review_id, coalesce(arg_max(l_returnflag, (l_partkey, l_returnflag)), 'pending') AS decision FROM orders LEFT JOIN (SELECT * FROM lineitem WHERE l_returnflag <> 'N') ON l_orderkey = o_orderkey GROUP BY 1")
+def review_decisions(spark, d):
+    decisions = _table(spark, d, "lineitem").where("l_returnflag <> 'N'").select(F.col("l_orderkey").alias("review_id"), "l_partkey", F.col("l_returnflag").alias("decision"))
+    return control.reviewed(_table(spark, d, "orders").select(F.col("o_orderkey").alias("review_id")), decisions, "review_id", "l_partkey")
+
+
+@query("SELECT event_type AS thread_id, ts AS timestamp, event_id::VARCHAR AS run_id FROM events WHERE event_type IN ('click', 'error')")
+def thread_logs(spark, d):
+    path = shared.folder(spark, "threads")
+    event_log.write_by_thread(_table(spark, d, "events").select(F.col("event_type").alias("thread_id"), F.col("ts").alias("timestamp"), F.col("event_id").cast("string").alias("run_id")), path)
+    return event_log.in_order(event_log.read_threads(spark, path, "click", "error"), "run_id").select("thread_id", "timestamp", "run_id")

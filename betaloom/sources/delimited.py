@@ -49,6 +49,15 @@ def probe_column(df: DataFrame, share: float = 0.9, first: int = 5, prefix: str
     raise ValueError("no column holds probe ids")
 
 
+def platform_probe_column(df: DataFrame, share: float = 0.9, prefix: str = "cg") -> str:
+    """The first column of a platform table whose known values carry the prefix in either case, for at least ``share``."""
+    shares = df.agg(*[F.avg(F.lower(F.col(f"`{c}`").cast("string")).startswith(prefix).cast("int")).alias(f"s{k}") for k, c in enumerate(df.columns)]).first()
+    for k, c in enumerate(df.columns):
+        if shares[k] is not None and shares[k] >= share:
+            return c
+    raise ValueError("no column holds probe ids")
+
+
 def columns_like(columns: list[str], pattern: str) -> tuple[list[str], list[str]]:
     """(matching, missing), case not counted."""
     hit = [c for c in columns if re.search(pattern, c, re.IGNORECASE)]
@@ -73,6 +82,15 @@ def pair_columns(spark: SparkSession, values: list[str], detections: list[str])
     return {r["a"]: r["b"] for r in best(a, b, "c", "c").collect()}
 
 
+def pairs_by_position(columns: list[str], value_pattern: str, detection_pattern: str) -> dict[str, str]:
+    """The n-th value column with the n-th detection column; as many of one as of the other."""
+    detections = columns_like(columns, detection_pattern)[0]
+    values = [c for c in columns_like(columns, value_pattern)[0] if c not in detections]
+    if len(values) != len(detections):
+        raise ValueError(f"{len(values)} value columns, {len(detections)} detection columns")
+    return dict(zip(values, detections))
+
+
 def to_long(df: DataFrame, probe: str, values: list[str], detections: dict[str, str] | None = None, accession: str = "all", cutoff: float = 0.05) -> DataFrame:
     """Columns to ``accession, sample_id, probe, value``; with detections cells at or above the cutoff are null."""
     number = lambda c: clean(F.col(f"`{c}`").try_cast("double"))

@@ -15,8 +15,28 @@ EVENT_TYPES = (
 )
 
 
+#: Spark's own formats end at milliseconds, which would make events tie that don't.
+_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
 def append(events: DataFrame, path: str) -> None:
-    events.write.mode("append").json(path)
+    events.write.mode("append").options(**_MICROS).json(path)
+
+
+def write_by_thread(events: DataFrame, path: str) -> None:
+    """A folder of JSON lines for each thread, so that one thread's log is read alone."""
+    events.write.mode("append").partitionBy("thread_id").options(**_MICROS).json(path)
+
+
+def read_threads(spark: SparkSession, path: str, *threads: str) -> DataFrame:
+    """Logs of the named threads, or of all; folders of others aren't opened."""
+    log = spark.read.schema(SCHEMA).json(path)
+    return log.where(F.col("thread_id").isin(*threads)) if threads else log
+
+
+def in_order(events: DataFrame, *ties: str) -> DataFrame:
+    """By time, then by ``ties``; files have no order of their own in Spark."""
+    return events.orderBy("timestamp", *ties)
 
 
 def stream(spark: SparkSession, path: str) -> DataFrame:

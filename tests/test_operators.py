@@ -241,3 +241,37 @@ def test_align_and_shapes(spark):
     wide = matrix.to_wide(long)
     assert wide.columns == ["sample_id", "p1", "p2", "p9"] and matrix.from_wide(wide, "sample_id", ["p1", "p2"]).count() == 4
     assert matrix.detection_filter(long).count() == 3
+
+
+def test_event_log_keeps_microseconds(spark, tmp_path):
+    rows = spark.sql("SELECT 'ArtifactWritten' AS event, id AS thread_id, timestamp_ntz '2024-01-01 00:00:00.000001' AS timestamp, 'p' AS path FROM VALUES ('a'), ('b') AS t(id)")
+    late = spark.sql("SELECT 'ArtifactWritten' AS event, 'a' AS thread_id, timestamp '2024-01-01 00:00:00.000002' AS timestamp, 'q' AS path")
+    for write, name in ((events.append, "all"), (events.write_by_thread, "threads")):
+        write(rows, str(tmp_path / name))
+        write(late, str(tmp_path / name))
+        got = events.in_order(events.read_threads(spark, str(tmp_path / name), "a")).collect()
+        assert [(r.path, r.timestamp.microsecond) for r in got] == [("p", 1), ("q", 2)]
+    assert events.read_threads(spark, str(tmp_path / "threads")).count() == 3
+
+
+def test_pairs_by_position_need_partners():
+    assert delimited.pairs_by_position(["id", "A Value", "A Pval", "B Value", "B Pval"], "value", "pval") == {"A Value": "A Pval", "B Value": "B Pval"}
+    with pytest.raises(ValueError):
+        delimited.pairs_by_position(["A Value", "B Value", "A Pval"], "value", "pval")
+
+
+def test_platform_probe_column_takes_the_first_at_nine_tenths(spark):
+    table = spark.createDataFrame([(f"x{k}", f"CG{k}" if k else "ch1", f"cg{k}") for k in range(10)], "a string, b string, c string")
+    assert delimited.platform_probe_column(table) == "b"
+    with pytest.raises(ValueError):
+        delimited.platform_probe_column(table.select("a"))
+    with pytest.raises(ValueError):
+        delimited.platform_probe_column(table.limit(0))
+
+
+def test_reviewed_takes_the_last_decision_and_ties_by_its_name(spark):
+    requests = spark.createDataFrame([("r1",), ("r2",), (None,)], "id string")
+    decisions = spark.createDataFrame([("r1", 1, "reject"), ("r1", 2, "accept"), ("r1", 2, "edit"), (None, 1, "accept")], "id string, seq int, decision string")
+    from betaloom.operators import control
+
+    assert values(control.reviewed(requests, decisions, "id", "seq"), "id", "decision") == {("r1",): "edit", ("r2",): "pending", (None,): "pending"}
