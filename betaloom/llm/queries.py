@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, langid, licenses, piece_bpe, quality, secret_scan, simhash, substring_dedup, token_counts, warc
+from . import alignment, byte_bpe, decontamination, fill_in_middle, langid, licenses, piece_bpe, quality, secret_scan, simhash, substring_dedup, token_counts, warc
 from .common import new_folder, read_table
 
 
@@ -52,10 +52,22 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_in_middle.digests(read_table(spark, sf_dir, "documents"))
+
+
+def op12_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read_table(spark, sf_dir, "documents"))
+
+
+def op13_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return byte_bpe.digests(read_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = {k: f for k, f in globals().items() if k.startswith("op") and k[2].isdigit()}
     return dict(sorted(found.items(), key=lambda x: int(x[0][2:].split("_")[0])))
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_license_scan": licenses.oracle(), "op10_substring_dedup": substring_dedup.oracle()}
+    return {"op2_license_scan": licenses.oracle(), "op10_substring_dedup": substring_dedup.oracle(), "op11_fill_in_middle": fill_in_middle.oracle()}

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 import corpus_pipeline as pipeline
-from betaloom.llm import decontamination, langid, licenses, piece_bpe, quality, secret_scan, simhash, substring_dedup, token_counts, warc
+from betaloom.llm import alignment, byte_bpe, decontamination, fill_in_middle, langid, licenses, piece_bpe, quality, secret_scan, simhash, substring_dedup, token_counts, warc
 from betaloom.llm.common import new_folder
 
 PLAIN = "The permission is hereby granted free of charge to any person who reads this text with token = abcdef123456 in it."
@@ -30,6 +30,7 @@ ONE_ROW_EACH = {
     "op1": lambda spark, df: langid.identify(df), "op2": lambda spark, df: licenses.scan(df), "op3": lambda spark, df: token_counts.count_tokens(df),
     "op4": lambda spark, df: simhash.near_duplicates(df), "op5": lambda spark, df: secret_scan.digests(df), "op7": lambda spark, df: quality.quality(df),
     "op8": _warc, "op9": lambda spark, df: piece_bpe.digests(df), "op10": lambda spark, df: substring_dedup.dedup(df),
+    "op11": lambda spark, df: fill_in_middle.transform(df), "op12": lambda spark, df: alignment.align(df), "op13": lambda spark, df: byte_bpe.digests(df),
 }
 
 
