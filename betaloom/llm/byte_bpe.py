@@ -21,7 +21,8 @@ import functools
 import hashlib
 import json
 import re
-from collections.abc import Callable, Iterable, Sequence
+import struct
+from collections.abc import Iterable, Sequence
 
 import ahocorasick
 import numpy as np
@@ -34,7 +35,7 @@ from .token_counts import _byte_characters, _ranges
 
 VOCABULARY = "word_bpe_49k.json"
 #: Words and token pairs kept in a worker; a memo of words holds at most twice that (see Memo).
-MEMO_WORDS, MEMO_PAIRS = 120_000, 1_000_000
+MEMO_WORDS, MEMO_PAIRS = 200_000, 1_000_000
 _WIDE = 20  # bits of a token id in a pair's key
 _NEVER = 1 << 60
 
@@ -215,12 +216,13 @@ class WordBPE:
         self.offsets = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
         self.known = Memo(self._word, MEMO_WORDS)
 
-    def _word(self, word: str) -> tuple[int, bytes, str]:
+    def _word(self, word: str) -> bytes:
+        """Ids of a word as little-endian 32-bit numbers."""
         if word in self.added:  # words hold no added string: the text has been cut at them
             ids = [self.added[word]]
         else:
             ids = self.bpe.encode(self.bpe.word(word))
-        return len(ids), np.array(ids, "<u4").tobytes(), self.decode(ids)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def words(self, text: str) -> list[str]:
         """Words and added strings of the text, in order; each is encoded alone."""
@@ -237,17 +239,21 @@ class WordBPE:
         return self.pattern.findall(text.lower())
 
     def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join([self.known[w][1] for w in self.words(text)]), "<u4")
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.words(text))), "<u4")
 
     def decode(self, ids: Iterable[int]) -> str:
         """The strings of the tokens, joined by blanks, as the library does for a file without decoder."""
+        return self.decoded(ids).decode()
+
+    def decoded(self, ids: Iterable[int]) -> bytes:
+        """:meth:`decode` in UTF-8: one gather from the buffer of all strings."""
         ids = np.asarray(list(ids) if not isinstance(ids, np.ndarray) else ids, np.int64)
         if not len(ids):
-            return ""
+            return b""
         starts, lengths = self.offsets[ids], self.offsets[ids + 1] - self.offsets[ids]
         ends = np.cumsum(lengths)
         at = np.arange(ends[-1]) + np.repeat(starts - (ends - lengths), lengths)
-        return self.buffer[at[:-1]].tobytes().decode()
+        return self.buffer[at[:-1]].tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -286,13 +292,12 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
 
     def run(texts: list) -> list:
         bpe = load(path)
-        known: Callable = bpe.known.__getitem__
         counts, ids, decoded = [], [], []
         for t in texts:
-            got = list(map(known, bpe.words(t or "")))
-            counts.append(sum([x[0] for x in got]))
-            ids.append(hashlib.sha256(b"".join([x[1] for x in got])).hexdigest())
-            decoded.append(hashlib.sha256(" ".join([x[2] for x in got]).encode()).hexdigest())
+            got = bpe.encode(t or "")
+            counts.append(len(got))
+            ids.append(hashlib.sha256(got.tobytes()).hexdigest())
+            decoded.append(hashlib.sha256(bpe.decoded(got)).hexdigest())
         return [counts, ids, decoded]
 
     return map_texts(docs, [id_col], text_col, run, [field("n_tokens", "long"), field("ids_sha256", "string"), field("decoded_sha256", "string")])
