@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -44,10 +45,41 @@ def count_penalty(a: Column, b: Column, gamma: float = 2.0) -> Column:
     return F.when(F.greatest(a, b) == 0, F.lit(1.0)).otherwise(F.exp(-F.lit(gamma) * F.abs(a - b) / F.greatest(a, b)))
 
 
-def indel_similarity(a: str, b: str) -> float:
-    """2 LCS / (len a + len b), by bit-parallel rows."""
-    if not a and not b:
-        return 1.0
+def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
+    """Lengths of the longest common subsequences of many pairs, by bit-parallel rows of all pairs at once.
+
+    Pairs whose shorter string is over 64 characters take rows of any width, one by one.
+    """
+    out = np.zeros(len(a), np.int64)
+    short, long = zip(*((x, y) if len(x) <= len(y) else (y, x) for x, y in zip(a, b))) if len(a) else ((), ())
+    small = np.array([0 < len(x) <= 64 for x in short], bool)
+    for k in np.flatnonzero(~small):
+        out[k] = _lcs(short[k], long[k])
+    chosen = np.flatnonzero(small)
+    for lo in range(0, len(chosen), 4096):
+        at = chosen[lo : lo + 4096]
+        x, y = _codes([short[k] for k in at], 64), _codes([long[k] for k in at])
+        row = np.full(len(at), ~np.uint64(0))
+        for c in y.T:
+            hit = np.packbits((x == c[:, None]) & (c[:, None] > 0), axis=1, bitorder="little").view(np.uint64)[:, 0]
+            met = row & hit
+            row = (row + met) | (row & ~hit)
+        used = np.array([len(short[k]) for k in at], np.uint64)
+        mask = ~np.uint64(0) >> (np.uint64(64) - used)
+        out[at] = np.bitwise_count(~row & mask)
+    return out
+
+
+def _codes(texts: list[str], width: int | None = None) -> np.ndarray:
+    """Characters plus one, a row a text; what is beyond a text is 0."""
+    width = width or max(map(len, texts))
+    out = np.zeros((len(texts), width), np.uint32)
+    for k, t in enumerate(texts):
+        out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le"), np.uint32) + 1
+    return out
+
+
+def _lcs(a: str, b: str) -> int:
     masks: dict[str, int] = {}
     for i, c in enumerate(a):
         masks[c] = masks.get(c, 0) | 1 << i
@@ -56,14 +88,15 @@ def indel_similarity(a: str, b: str) -> float:
     for c in b:
         u = row & masks.get(c, 0)
         row = ((row + u) | (row - u)) & full
-    return 2 * (len(a) - row.bit_count()) / (len(a) + len(b))
+    return len(a) - row.bit_count()
 
 
 def token_sort_similarity(a: Column, b: Column) -> Column:
-    """Indel similarity of the sorted tokens joined by a blank, in Arrow batches."""
+    """2 LCS / (both lengths) of the sorted tokens joined by a blank, 1 if both are empty; in Arrow batches."""
     @F.pandas_udf("double")
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([indel_similarity(i, j) for i, j in zip(x, y)])
+        sizes = x.str.len().to_numpy() + y.str.len().to_numpy()
+        return pd.Series(np.where(sizes == 0, 1.0, 2 * lcs_lengths(x.tolist(), y.tolist()) / np.maximum(sizes, 1)))
 
     joined = lambda t: F.array_join(F.array_sort(t), " ")
     return run(joined(a), joined(b))

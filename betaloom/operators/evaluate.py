@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.student import upper_tail
+from ..sources.shared import written
 
 
 def metrics(rows: DataFrame, keys: Sequence[str], error_on: str = "accel", predicted: str = "predicted", accel: str = "accel", age: str = "age", least: int = 2) -> DataFrame:
@@ -83,36 +85,76 @@ def with_p(tested: DataFrame) -> DataFrame:
     return tested.withColumn("p", upper_tail(F.col("t"), F.col("df")))
 
 
-def permutation(rows: DataFrame, keys: Sequence[str], value: str, is_control: str, permutations: int = 1000, least: int = 10) -> DataFrame:
-    """Labels permuted without replacement: ``p = (count(t* >= t) + 1) / (valid + 1)`` per ``keys``.
+#: Parameters of the permutation test: different values in a chunk, permutations in a block.
+CHUNK, PERMUTATIONS_AT_ONCE = 1 << 14, 50
 
-    Groups under ``least`` a side drop out.  Values of a group (a study's samples) come
-    together, as the test needs them all; permutations run in blocks, seeded by a digest of
-    the group's sorted values.
+
+def permutation(rows: DataFrame, keys: Sequence[str], value: str, is_control: str, permutations: int = 1000, least: int = 10, chunk: int = CHUNK) -> DataFrame:
+    """Labels permuted without replacement: ``t, p, n_valid`` per ``keys``, ``p = (count(t* >= t) + 1) / (valid + 1)``.
+
+    Groups under ``least`` a side drop out.  No task holds a group: its values, counted when
+    equal, are dealt to chunks.  How many of the controls a permutation draws from each chunk
+    is a multivariate hypergeometric draw from the chunks' sizes, seeded by group and
+    permutation, so that every task draws the same; which ones, each chunk draws by itself.
+    Together that is a draw of all labels without replacement.  Chunks and blocks of
+    permutations are rows, and the sums of the chunks are added up.  Results don't depend on
+    partitions.  A t* within 1e-9 of t counts as equal.
     """
-    import pandas as pd
-
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", t double, p double, n_valid bigint"
-
-    def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.dropna(subset=[value]).sort_values([is_control, value])
-        x, c = pdf[value].to_numpy(float), pdf[is_control].to_numpy(bool)
-        if c.sum() < least or (~c).sum() < least:
-            return pd.DataFrame(columns=[*keys, "t", "p", "n_valid"])
-        rng, n_c = np.random.default_rng(list(hashlib.sha256(x.tobytes()).digest())), int(c.sum())
-        observed = _t(x[None, ~c], x[None, c])[0]
-        above = valid = 0
-        for lo in range(0, permutations, 50):
-            shuffled = rng.permuted(np.tile(x, (min(50, permutations - lo), 1)), axis=1)
-            t = _t(shuffled[:, n_c:], shuffled[:, :n_c])
-            t = t[~np.isnan(t)]
-            above, valid = above + int((t >= observed).sum()), valid + len(t)
-        return pd.DataFrame([[*key, observed, (above + 1) / (valid + 1), valid]], columns=[*keys, "t", "p", "n_valid"])
-
-    return rows.select(*keys, value, is_control).groupBy(*keys).applyInPandas(test, schema)
-
-
-def _t(other: np.ndarray, control: np.ndarray) -> np.ndarray:
-    with np.errstate(invalid="ignore", divide="ignore"):
-        return (other.mean(1) - control.mean(1)) / np.sqrt(other.var(1, ddof=1) / other.shape[1] + control.var(1, ddof=1) / control.shape[1])
+    known = rows.where(F.col(value).isNotNull() & F.col(is_control).isNotNull()).select(*[F.col(k).alias(f"_{n}") for n, k in enumerate(keys)], F.col(value).cast("double").alias("_v"), F.col(is_control).alias("_c"))
+    key = F.to_json(F.struct(*[F.col(f"_{n}") for n in range(len(keys))]), {"ignoreNullFields": "false"})
+    known = known.withColumn("_key", key)
+    counted = written(known.groupBy("_key", "_v").agg(F.count_if("_c").alias("_nc"), F.count("*").alias("_n")), "values")
+    groups = known.groupBy("_key").agg(*[F.first(f"_{n}").alias(f"_{n}") for n in range(len(keys))], F.avg("_v").alias("_mean"))
+    sizes = counted.groupBy("_key").agg(F.sum("_n").alias("n"), F.sum("_nc").alias("nc"), F.ceil(F.count("*") / F.lit(chunk)).cast("int").alias("chunks"))
+    sizes = written(sizes.where((F.col("nc") >= least) & (F.col("n") - F.col("nc") >= least)).join(groups, "_key"), "groups")
+    placed = counted.join(sizes.select("_key", "chunks", "_mean"), "_key").withColumn("_chunk", F.pmod(F.xxhash64("_v"), F.col("chunks")).cast("int")).withColumn("_x", F.col("_v") - F.col("_mean"))
+    lists = F.sort_array(F.collect_list(F.struct("_x", "_n")))
+    chunks = written(placed.groupBy("_key", "_chunk").agg(lists.alias("l"), F.sum("_n").alias("size")), "chunks")
+    shares = chunks.groupBy("_key").agg(F.sort_array(F.collect_list(F.struct("_chunk", "size"))).alias("s"))  # a number a chunk
+    starts = F.explode(F.sequence(F.lit(0), F.lit(permutations - 1), F.lit(PERMUTATIONS_AT_ONCE)))
+    work = chunks.join(shares, "_key").join(sizes.select("_key", "nc"), "_key").select("_key", "_chunk", starts.alias("start"), "nc", F.transform("s", lambda x: x["_chunk"]).alias("places"), F.transform("s", lambda x: x["size"]).alias("sizes"), F.transform("l", lambda x: x["_x"]).alias("x"), F.transform("l", lambda x: x["_n"]).alias("times"))
+    # a chunk and a block of permutations is a task's unit of work
+    dealt = work.repartition("_key", "_chunk", "start")
+    drawn = dealt.mapInPandas(_drawer(permutations), "_key string, permutation int, s double, q double").groupBy("_key", "permutation").agg(F.sum("s").alias("s"), F.sum("q").alias("q"))
+    x, nc = F.col("_x"), F.col("_nc")
+    totals = placed.groupBy("_key").agg(F.sum(x * F.col("_n")).alias("total"), F.sum(x * x * F.col("_n")).alias("squares"), F.sum(x * nc).alias("s"), F.sum(x * x * nc).alias("q"))
+    known_t = sizes.join(totals, "_key").withColumn("t", _t(F.col("s"), F.col("q"))).drop("s", "q")
+    each = known_t.select("_key", "n", "nc", "total", "squares", "t").join(drawn, "_key").withColumn("u", _t(F.col("s"), F.col("q")))
+    above = each.groupBy("_key").agg(F.count_if(F.col("u") >= F.col("t") - 1e-9).alias("above"), F.count("u").cast("bigint").alias("n_valid"))
+    out = known_t.join(above, "_key").select(*[F.col(f"_{n}").alias(k) for n, k in enumerate(keys)], "t", ((F.col("above") + 1) / (F.col("n_valid") + 1)).alias("p"), "n_valid")
+    return out
+
+
+def _t(s: Column, q: Column) -> Column:
+    """Welch's t of the others against the controls, from the controls' sums, those of all (``total, squares``) and the sizes; null without variance."""
+    n, nc = F.col("n"), F.col("nc")
+    no, so, qo = n - nc, F.col("total") - s, F.col("squares") - q
+    noise = 1e-12 * F.col("squares")
+    a, b = (F.when(x - y * y / k > noise, (x - y * y / k) / ((k - 1) * k)).otherwise(0.0) for x, y, k in ((qo, so, no), (q, s, nc)))
+    return F.try_divide(so / no - s / nc, F.sqrt(a + b))
+
+
+def _drawer(permutations: int):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for key, chunk, start, nc, places, sizes, x, times in batch.itertuples(index=False):
+                x, times, sizes = np.asarray(x, float), np.asarray(times, np.int64), np.asarray(sizes, np.int64)
+                mine = list(places).index(chunk)
+                numbers = range(start, min(start + PERMUTATIONS_AT_ONCE, permutations))
+                chosen = np.array([_seeded(key, k).multivariate_hypergeometric(sizes, nc, method="marginals")[mine] for k in numbers])
+                s, q = np.empty(len(numbers)), np.empty(len(numbers))
+                for k, (number, m) in enumerate(zip(numbers, chosen)):
+                    rng = _seeded(key, number, chunk)
+                    if times.max() == 1:
+                        taken = x[np.argpartition(rng.random(len(x)), m - 1)[:m]] if m else x[:0]
+                        s[k], q[k] = taken.sum(), (taken**2).sum()
+                    else:
+                        n = rng.multivariate_hypergeometric(times, m, method="marginals")
+                        s[k], q[k] = (x * n).sum(), (x * x * n).sum()
+                yield pd.DataFrame({"_key": pd.Series([key] * len(s), dtype=object), "permutation": np.array(numbers, np.int32), "s": s, "q": q})
+
+    return run
+
+
+def _seeded(*parts: object) -> np.random.Generator:
+    return np.random.default_rng(list(hashlib.sha256(repr(parts).encode()).digest()))

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, written
+
 #: Registry of simple imputers: value column to an aggregate.
 IMPUTERS: dict[str, Callable[[Column], Column]] = {
     "mean": F.avg,
@@ -51,36 +55,149 @@ def window_mean(long: DataFrame) -> DataFrame:
     return long.withColumn("value", F.coalesce("value", F.avg("value").over(Window.partitionBy("accession", "probe"))))
 
 
-def knn(dense: DataFrame, values: str = "values", neighbours: int = 5, weights: str = "uniform", group: str = "accession", sample: str = "sample_id") -> DataFrame:
+#: Parameters of the neighbours' imputer: samples in a block of distances, values in a task's
+#: piece of a matrix, neighbours that are listed for each sample.
+BLOCK, CELLS, NEAREST = 128, 1 << 22, 64
+
+
+def knn(dense: DataFrame, values: str = "values", neighbours: int = 5, weights: str = "uniform", group: str = "accession", sample: str = "sample_id", block: int = BLOCK, cells: int = CELLS, nearest: int = NEAREST) -> DataFrame:
     """k nearest samples over the features both know, distances scaled to all features.
 
-    ``dense`` has one array per sample; donors must know the feature; where none does the
-    feature's mean fills in.  One group (a study) is one task: its samples must fit there.
+    ``dense`` has one array per sample, all of one length in a group; (group, sample) is a
+    key.  Donors must know the feature; equally near ones come in order of sample; where there
+    is none the feature's mean fills in.
+
+    No task holds a group: samples are dealt to blocks and features to pieces.  A task adds up
+    the squares of two blocks over one piece, the sums of the pieces give distances, and each
+    sample keeps its ``nearest`` ones.  Cells are filled piece by piece from those; cells that
+    find fewer than k donors among them ask all samples that know the feature.
     """
-    import numpy as np
-    import pandas as pd
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(sample, ignore_index=True)
-        x = np.array([[np.nan if v is None else v for v in row] for row in pdf[values]], dtype=float)
-        known = ~np.isnan(x)
-        z = np.where(known, x, 0.0)
-        both = known.astype(float) @ known.T.astype(float)
-        squares = (z**2) @ known.T + known @ (z**2).T - 2 * z @ z.T
-        with np.errstate(invalid="ignore", divide="ignore"):
-            distance = np.sqrt(np.maximum(squares, 0) * x.shape[1] / both)
-        distance[both == 0] = np.nan
-        means = np.array([c[~np.isnan(c)].mean() if (~np.isnan(c)).any() else np.nan for c in x.T])
-        out = x.copy()
-        for i, j in np.argwhere(~known):
-            donors = np.flatnonzero(known[:, j] & ~np.isnan(distance[i]))
-            donors = donors[np.argsort(distance[i, donors], kind="stable")][:neighbours]
-            if not len(donors):
-                out[i, j] = means[j]
-                continue
-            d = distance[i, donors]
-            w = np.ones(len(d)) if weights == "uniform" else (d == 0).astype(float) if (d == 0).any() else 1 / d
-            out[i, j] = (w * x[donors, j]).sum() / w.sum()
-        return pdf.assign(**{values: [[None if np.isnan(v) else float(v) for v in row] for row in out]})
-
-    return dense.groupBy(group).applyInPandas(fill, dense.schema)
+    if weights not in ("uniform", "distance"):
+        raise ValueError("weights are uniform or distance")
+    spread = _tiles(dense, values, group, sample, block, cells)
+    tiles = written(spread, "tiles")
+    distances = written(_distances(tiles), "distances")
+    lists = _nearest(distances, nearest)
+    filled = written(_fill(tiles, lists, neighbours, weights, nearest), "filled-tiles")
+    late = _late(tiles, filled, distances, neighbours, weights)
+    parts = filled.groupBy("g", "i").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("piece", "part"))), lambda p: p["part"])).alias("_values"))
+    more = late.groupBy("g", "i").agg(F.map_from_entries(F.collect_list(F.struct("f", "value"))).alias("_late"))
+    whole = written(parts.join(more, ["g", "i"], "left").select("g", "i", F.transform("_values", lambda v, k: F.coalesce(v, F.try_element_at("_late", k + 1))).alias("_filled")), "imputed")
+    discard(tiles, distances, filled)
+    same = F.col(group).eqNullSafe(F.col("g")) & F.col(sample).eqNullSafe(F.col("i"))
+    return dense.join(whole, same).select(*[F.col("_filled").alias(c) if c == values else F.col(c) for c in dense.columns])
+
+
+def _tiles(dense: DataFrame, values: str, group: str, sample: str, block: int, cells: int) -> DataFrame:
+    """``g, i, n, features, block, blocks, piece, width, part``: a sample's values of one piece of the features, NaN as null."""
+    sizes = dense.groupBy(group).agg(F.count("*").alias("n"), F.max(F.size(values)).alias("features"))
+    named = sizes.select(F.col(group).alias("g"), "n", "features")
+    rows = dense.join(named, F.col(group).eqNullSafe(F.col("g")))
+    width = F.greatest(F.lit(1), F.least(F.col("features"), F.floor(F.lit(cells) / F.col("n")).cast("int")))
+    blocks = F.ceil(F.col("n") / F.lit(block)).cast("int")
+    rows = rows.select("g", F.col(sample).alias("i"), "n", "features", width.alias("width"), blocks.alias("blocks"), F.transform(values, lambda v: F.when(~F.isnan(v), v.cast("double"))).alias("x"))
+    pieces = rows.withColumn("block", F.pmod(F.xxhash64("i"), F.col("blocks")).cast("int")).withColumn("piece", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("features") / F.col("width")).cast("int") - 1))))
+    return pieces.withColumn("part", F.slice("x", F.col("piece") * F.col("width") + 1, F.col("width"))).drop("x")
+
+
+def _matrix(parts) -> np.ndarray:
+    return np.array([[np.nan if v is None else v for v in p] for p in parts], dtype=float).reshape(len(parts), -1)
+
+
+def _distances(tiles: DataFrame) -> DataFrame:
+    """``g, i, j, d`` for both orders of every pair of samples that know a feature in common."""
+    kind = tiles.schema["g"].dataType.simpleString(), tiles.schema["i"].dataType.simpleString()
+    # a block meets each block once; the pair's task has the rows of both
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    met = tiles.withColumn("o", other).select("g", "piece", F.least("block", "o").alias("p"), F.greatest("block", "o").alias("q"), "block", "i", "part")
+
+    def products(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        g, _, p, q = key
+        pdf = pdf.sort_values("i", ignore_index=True)
+        sides = [pdf[pdf["block"] == k] for k in (p, q)]
+        x, y = (_matrix(s["part"].tolist()) for s in sides)
+        known = [(~np.isnan(m)).astype(float) for m in (x, y)]
+        a, b = np.nan_to_num(x), np.nan_to_num(y)
+        squares_a, squares_b = (a**2) @ known[1].T, known[0] @ (b**2).T
+        squares = squares_a + squares_b - 2 * a @ b.T
+        squares[squares < 1e-13 * (squares_a + squares_b)] = 0  # what rounding leaves of equal samples
+        both = known[0] @ known[1].T
+        keep = np.argwhere((both > 0) & (np.triu(np.ones(both.shape, bool), 1) if p == q else True))
+        left, right = (side["i"].astype(object).to_numpy()[at] for side, at in zip(sides, keep.T))
+        at = tuple(keep.T)
+        return pd.DataFrame({"g": pd.Series([g] * len(keep), dtype=object), "i": left, "j": right, "squares": squares[at], "both": both[at].astype(np.int64)})
+
+    partial = met.groupBy("g", "piece", "p", "q").applyInPandas(products, f"g {kind[0]}, i {kind[1]}, j {kind[1]}, squares double, both bigint")
+    sums = partial.groupBy("g", "i", "j").agg(F.sum("squares").alias("squares"), F.sum("both").alias("both"))
+    features = tiles.groupBy(F.col("g").alias("h")).agg(F.max("features").alias("features"))
+    d = sums.join(features, F.col("g").eqNullSafe(F.col("h"))).withColumn("d", F.sqrt(F.col("squares") * F.col("features") / F.col("both")))
+    ends = F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"))))
+    return d.select("g", ends.alias("e"), "d").select("g", "e.i", "e.j", "d")
+
+
+def _nearest(distances: DataFrame, nearest: int) -> DataFrame:
+    """``g, i, donors array<struct<d, j>>``: the nearest samples of each, in order."""
+    rank = F.row_number().over(Window.partitionBy("g", "i").orderBy("d", "j"))
+    return distances.withColumn("_rank", rank).where(F.col("_rank") <= nearest).groupBy("g", "i").agg(F.sort_array(F.collect_list(F.struct("d", "j"))).alias("donors"))
+
+
+def _fill(tiles: DataFrame, lists: DataFrame, neighbours: int, weights: str, nearest: int) -> DataFrame:
+    """``g, i, piece, part, late array<struct<f, mean>>``: cells filled from the listed donors; what they don't settle is late."""
+    kind = tiles.schema["g"].dataType.simpleString(), tiles.schema["i"].dataType.simpleString()
+    pieces = tiles.select("g", "piece").distinct().select(F.col("g").alias("h"), F.col("piece").alias("q"))
+    wanted = lists.join(pieces, F.col("g").eqNullSafe(F.col("h"))).select("h", "q", "i", F.transform("donors", lambda x: x["j"]).alias("j"), F.transform("donors", lambda x: x["d"]).alias("d"))
+
+    def fill(rows: pd.DataFrame, donors: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(rows["part"].tolist())
+        known, out = ~np.isnan(x), x.copy()
+        place = {i: k for k, i in enumerate(rows["i"])}
+        near = {i: (j, d) for i, j, d in zip(donors["i"], donors["j"], donors["d"])}
+        count = known.sum(0)
+        means = np.where(count > 0, np.nansum(x, 0) / np.maximum(count, 1), np.nan)
+        late: list[list] = []
+        for k, (i, piece, width) in enumerate(zip(rows["i"], rows["piece"], rows["width"])):
+            missing = np.flatnonzero(~known[k])
+            j, d = near.get(i, ((), ()))
+            out[k, missing], open_ = _from_donors(x, known, missing, [place[v] for v in j], np.asarray(d, float), neighbours, weights, means)
+            late.append([{"f": int(piece * width + f + 1), "mean": None if np.isnan(means[f]) else float(means[f])} for f in missing[open_]] if len(j) >= nearest else [])
+            if late[-1]:
+                out[k, missing[open_]] = np.nan
+        return pd.DataFrame({"g": rows["g"].astype(object), "i": rows["i"].astype(object), "piece": rows["piece"], "part": [[None if np.isnan(v) else float(v) for v in r] for r in out], "late": late})
+
+    schema = f"g {kind[0]}, i {kind[1]}, piece int, part array<double>, late array<struct<f int, mean double>>"
+    return tiles.groupBy("g", "piece").cogroup(wanted.groupBy("h", "q")).applyInPandas(fill, schema)
+
+
+def _from_donors(x: np.ndarray, known: np.ndarray, missing: np.ndarray, rows: list[int], d: np.ndarray, neighbours: int, weights: str, means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Values of one sample's missing features, and which of them have fewer donors than wanted."""
+    if not rows or not len(missing):
+        return means[missing], np.full(len(missing), True)
+    has = known[np.ix_(rows, missing)]
+    used = has & (np.cumsum(has, 0) <= neighbours)
+    w = used.astype(float)
+    if weights == "distance":
+        exact = (used & (d == 0)[:, None]).any(0)
+        with np.errstate(divide="ignore"):
+            w = np.where(exact, used & (d == 0)[:, None], np.where(used, 1 / np.where(d == 0, np.inf, d)[:, None], 0.0))
+    total = w.sum(0)
+    value = (w * np.nan_to_num(x[np.ix_(rows, missing)])).sum(0) / np.where(total > 0, total, 1)
+    return np.where(total > 0, value, means[missing]), used.sum(0) < neighbours
+
+
+def _late(tiles: DataFrame, filled: DataFrame, distances: DataFrame, neighbours: int, weights: str) -> DataFrame:
+    """``g, i, f, value`` of the late cells, from all samples that know the feature; few do, or the near ones would."""
+    late = filled.select("g", "i", "piece", F.explode("late").alias("c")).select("g", "i", "piece", "c.f", "c.mean")
+    pieces = late.select(F.col("g").alias("h"), F.col("piece").alias("q")).distinct()
+    mine = tiles.join(pieces, F.col("g").eqNullSafe(F.col("h")) & (F.col("piece") == F.col("q")), "left_semi")
+    known = mine.select("g", "piece", "width", F.col("i").alias("j"), F.posexplode("part").alias("k", "v")).where("v is not null")
+    known = known.select(F.col("g").alias("h"), (F.col("piece") * F.col("width") + F.col("k") + 1).cast("int").alias("e"), "j", "v")
+    pairs = late.join(known, F.col("g").eqNullSafe(F.col("h")) & (F.col("f") == F.col("e"))).select("g", "i", "f", "mean", "j", "v")
+    far = distances.select(F.col("g").alias("h"), F.col("i").alias("a"), F.col("j").alias("b"), "d")
+    found = pairs.join(far, F.col("g").eqNullSafe(F.col("h")) & (F.col("i") == F.col("a")) & (F.col("j") == F.col("b")))
+    rank = F.row_number().over(Window.partitionBy("g", "i", "f").orderBy("d", "j"))
+    zero = F.min("d").over(Window.partitionBy("g", "i", "f")) == 0
+    w = F.lit(1.0) if weights == "uniform" else F.when(zero, (F.col("d") == 0).cast("double")).otherwise(1 / F.col("d"))
+    top = found.withColumn("_rank", rank).withColumn("w", w).where(F.col("_rank") <= neighbours)
+    given = top.groupBy("g", "i", "f").agg((F.sum(F.col("w") * F.col("v")) / F.sum("w")).alias("value"))
+    all_ = late.join(given.withColumnsRenamed({"g": "h", "i": "a", "f": "e"}), F.col("g").eqNullSafe(F.col("h")) & (F.col("i") == F.col("a")) & (F.col("f") == F.col("e")), "left")
+    return all_.select("g", "i", "f", F.coalesce("value", "mean").alias("value"))

@@ -137,10 +137,14 @@ def impute_reference(spark, d):
     return out.select("accession", "sample_id", "probe", F.round("value", 6).alias("value"))
 
 
-@query()
+@query(f"""WITH c AS ({_MASKED}), k AS (SELECT * FROM c WHERE value IS NOT NULL), p AS (SELECT accession, count(DISTINCT probe) AS p FROM c GROUP BY 1),
+d AS (SELECT a.accession, a.sample_id AS i, b.sample_id AS j, round(sqrt(sum(pow(a.value - b.value, 2)) * any_value(p) / count(*)), 12) AS d FROM k a JOIN k b ON a.accession = b.accession AND a.probe = b.probe AND a.sample_id <> b.sample_id JOIN p ON p.accession = a.accession GROUP BY 1, 2, 3),
+r AS (SELECT c.accession, c.sample_id, c.probe, k.value FROM c JOIN k USING (accession, probe) JOIN d ON d.accession = c.accession AND d.i = c.sample_id AND d.j = k.sample_id WHERE c.value IS NULL QUALIFY row_number() OVER (PARTITION BY c.accession, c.sample_id, c.probe ORDER BY d.d, d.j) <= 5),
+f AS (SELECT accession, sample_id, probe, avg(value) AS near FROM r GROUP BY 1, 2, 3), m AS (SELECT accession, probe, avg(value) AS mean FROM k GROUP BY 1, 2)
+SELECT c.accession, c.sample_id, c.probe, round(coalesce(value, near, mean), 6) AS value FROM c LEFT JOIN f USING (accession, sample_id, probe) LEFT JOIN m USING (accession, probe)""")
 def impute_knn(spark, d):
-    dense = matrix.to_arrays(_cells(spark, d, True).withColumn("accession", F.col("accession")))
-    return impute.knn(dense).select("accession", "sample_id", F.transform("values", lambda v: F.round(v, 6)).alias("values"))
+    filled = impute.knn(matrix.to_arrays(_cells(spark, d, True)))
+    return filled.select("accession", "sample_id", F.posexplode("values").alias("probe", "value")).select("accession", "sample_id", F.col("probe").cast("bigint").alias("probe"), F.round("value", 6).alias("value"))
 
 
 @query(f"""WITH c AS ({_CELLS}), p AS (SELECT a.accession, a.sample_id, corr(a.value, b.value) AS r FROM c a JOIN c b ON a.accession = b.accession AND a.probe = b.probe AND a.sample_id <> b.sample_id GROUP BY a.accession, a.sample_id, b.sample_id)
@@ -256,10 +260,14 @@ def one_sample_statistic(spark, d):
     return evaluate.one_sample(rows, ["dataset"], "x").withColumn("t", F.round("t", 6))
 
 
-@query()
+# the tail as 1/2 minus Simpson's rule over the density from 0 to |t|, in 2000 steps
+@query("""WITH g AS (SELECT l_returnflag AS dataset, count(*) FILTER (l_linestatus <> 'O') AS no, count(*) FILTER (l_linestatus = 'O') AS nc, avg(l_extendedprice) FILTER (l_linestatus <> 'O') AS mo, avg(l_extendedprice) FILTER (l_linestatus = 'O') AS mc, var_samp(l_extendedprice) FILTER (l_linestatus <> 'O') / count(*) FILTER (l_linestatus <> 'O') AS a, var_samp(l_extendedprice) FILTER (l_linestatus = 'O') / count(*) FILTER (l_linestatus = 'O') AS b FROM lineitem GROUP BY 1),
+t AS (SELECT dataset, no, nc, CASE WHEN no >= 2 AND nc >= 2 THEN (mo - mc) / sqrt(a + b) END AS t, CASE WHEN no >= 2 AND nc >= 2 THEN pow(a + b, 2) / (a * a / (no - 1) + b * b / (nc - 1)) END AS df FROM g),
+i AS (SELECT dataset, sum((CASE WHEN k = 0 OR k = 2000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * pow(1 + pow(t * k / 2000, 2) / df, -(df + 1) / 2)) * abs(t) / 6000 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df) AS area FROM t, range(2001) x(k) WHERE t IS NOT NULL GROUP BY dataset, t, df)
+SELECT t.dataset, no AS n_other, nc AS n_control, round(t, 6) AS t, round(df, 3) AS df, round(CASE WHEN t >= 0 THEN 0.5 - area ELSE 0.5 + area END, 6) AS p FROM t LEFT JOIN i ON i.dataset = t.dataset""")
 def welch_p_values(spark, d):
     rows = _table(spark, d, "lineitem").select(F.col("l_returnflag").alias("dataset"), "l_extendedprice", (F.col("l_linestatus") == "O").alias("control"))
-    return evaluate.with_p(evaluate.welch(rows, ["dataset"], "l_extendedprice", "control"))
+    return evaluate.with_p(evaluate.welch(rows, ["dataset"], "l_extendedprice", "control")).select("dataset", "n_other", "n_control", F.round("t", 6).alias("t"), F.round("df", 3).alias("df"), F.round("p", 6).alias("p"))
 
 
 @query()
@@ -432,17 +440,53 @@ def lexical_parts(spark, d):
     a, b = (F.array_distinct(F.split(F.lower(c), " ")) for c in ("p_name", "p_type"))
     return _table(spark, d, "part").select("p_partkey", F.round(T.jaccard(a, b), 6).alias("jaccard"), F.round(T.count_penalty(F.size(a), F.size(b), 1.0), 6).alias("penalty"))
 
-
-@query()
+# The lexical score in SQL: sorted tokens, their longest common subsequence row by row, words and numbers.
+def _match_sql(left: str, right: str, penalty: bool = True) -> str:
+    """``a, b, score`` for every pair; ``left`` and ``right`` are queries with a column ``v``."""
+    norm = "regexp_replace(regexp_replace(v, '([a-z])([A-Z])', '\\1 \\2', 'g'), '[_\\-/]+', ' ', 'g')"
+    norm = f"regexp_replace(regexp_replace({norm}, '([0-9])([^0-9])', '\\1 \\2', 'g'), '([^0-9])([0-9])', '\\1 \\2', 'g')"
+    norm = f"lower(trim(regexp_replace(regexp_replace({norm}, '[^a-zA-Z0-9\\s]+', ' ', 'g'), '\\s+', ' ', 'g')))"
+    side = lambda name, q: f"{name} AS (SELECT v, list_sort(list_filter(string_split({norm}, ' '), lambda t: t <> '')) AS t FROM (SELECT DISTINCT v FROM ({q}) WHERE v IS NOT NULL))"
+    part = lambda x, y: f"CASE WHEN len(list_distinct(list_concat({x}, {y}))) = 0 THEN 1.0 ELSE len(list_intersect({x}, {y})) / len(list_distinct(list_concat({x}, {y}))) END"
+    factor = "CASE WHEN greatest(len(ta), len(tb)) = 0 THEN 1.0 ELSE exp(-abs(len(ta) - len(tb)) / greatest(len(ta), len(tb))) END" if penalty else "1.0"
+    return f"""{side("l", left)}, {side("r", right)},
+p AS (SELECT l.v AS a, r.v AS b, l.t AS ta, r.t AS tb, array_to_string(l.t, ' ') AS sa, array_to_string(r.t, ' ') AS sb FROM l, r),
+n AS (SELECT DISTINCT sa, sb FROM p),
+w AS (SELECT sa, sb, 0 AS k, list_transform(range(0, length(sa) + 1), lambda i: 0::BIGINT) AS row FROM n
+  UNION ALL SELECT sa, sb, k + 1, list_transform(range(1, length(sa) + 2), lambda i: list_max(list_transform(range(1, i + 1), lambda j:
+    CASE WHEN j > 1 AND sa[j - 1] = sb[k + 1] THEN row[j - 1] + 1 ELSE row[j] END))) FROM w WHERE k < length(sb)),
+c AS (SELECT sa, sb, row[-1] AS lcs FROM w WHERE k = length(sb)),
+f AS (SELECT *, list_filter(ta, lambda t: regexp_matches(t, '^[0-9]+$')) AS na, list_filter(tb, lambda t: regexp_matches(t, '^[0-9]+$')) AS nb,
+  list_filter(ta, lambda t: NOT regexp_matches(t, '^[0-9]+$')) AS wa, list_filter(tb, lambda t: NOT regexp_matches(t, '^[0-9]+$')) AS wb FROM p JOIN c USING (sa, sb)),
+s AS (SELECT a, b, round((0.45 * CASE WHEN length(sa) + length(sb) = 0 THEN 1.0 ELSE 2 * lcs / (length(sa) + length(sb)) END + 0.10 * ({part("wa", "wb")})
+  + 0.45 * CASE WHEN len(na) = 0 AND len(nb) = 0 THEN 1.0 WHEN len(na) = 0 OR len(nb) = 0 THEN 0.6 ELSE {part("na", "nb")} END) * {factor}, 9) AS score FROM f)"""
+
+
+def _best_sql(left: str, right: str, names: str = "a, b, score") -> str:
+    return f"WITH RECURSIVE {_match_sql(left, right)} SELECT {names} FROM (SELECT a, b, round(score, 6) AS score FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1)"
+
+
+@query(_best_sql("SELECT s_name AS v FROM supplier", "SELECT n_name AS v FROM nation"))
 def best_match(spark, d):
     return lexical.best(_table(spark, d, "supplier"), _table(spark, d, "nation"), "s_name", "n_name").withColumn("score", F.round("score", 6))
 
 
-@query()
+# the candidate with the highest score, the last in order among equals, and then the subject nearest to it
+@query(f"""WITH RECURSIVE {_match_sql("SELECT n_name AS v FROM nation UNION ALL SELECT 'sample_' || n_nationkey FROM nation", "SELECT lower(n_name) AS v FROM nation", penalty=False)},
+one AS (SELECT a, b, score FROM s QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) = 1),
+m AS (SELECT n_nationkey AS sample, unnest([n_name, 'sample_' || n_nationkey]) AS a FROM nation),
+top AS (SELECT sample, a AS subject, score FROM m JOIN one USING (a) QUALIFY row_number() OVER (PARTITION BY sample ORDER BY score DESC, a DESC) = 1)
+SELECT sample, subject, lower(n_name) AS matched, round(score, 6) AS score FROM top JOIN nation ON n_nationkey = sample""")
 def subject_map(spark, d):
     n = _table(spark, d, "nation").select("n_nationkey", "n_name", F.concat(F.lit("sample_"), F.col("n_nationkey").cast("string")).alias("alt"))
     samples = n.select("n_nationkey", F.explode(F.array("n_name", "alt")).alias("candidate"))
-    return lexical.subject_map(samples, n.select(F.lower("n_name").alias("subject")), "n_nationkey", "candidate", "subject")
+    return lexical.subject_map(samples, n.select(F.lower("n_name").alias("subject")), "n_nationkey", "candidate", "subject").withColumn("score", F.round("score", 6))
+
+
+# labels with numbers on both sides
+@query(_best_sql("SELECT c_name AS v FROM customer", "SELECT s_name AS v FROM supplier"))
+def best_partner(spark, d):
+    return lexical.best(_table(spark, d, "customer"), _table(spark, d, "supplier"), "c_name", "s_name").withColumn("score", F.round("score", 6))
 
 
 @query(r"SELECT doc_id, sha256(regexp_replace(regexp_replace(regexp_replace(text, 'sk-ant-[a-zA-Z0-9_-]{10,}', 'sk-ant-<REDACTED>', 'g'), '\bsk-[a-zA-Z0-9_-]{10,}', 'sk-<REDACTED>', 'g'), '[\p{L}\p{N}_.-]+@[\p{L}\p{N}_.-]+\.[\p{L}\p{N}_]+', '<EMAIL_REDACTED>', 'g')) AS digest FROM documents")
@@ -696,11 +740,13 @@ def left_predictions(spark, d):
     return joins.with_predictions(_table(spark, d, "documents").select("doc_id", "lang"), _table(spark, d, "labels").select("doc_id", "quality"), ["doc_id"])
 
 
-@query()
+@query(f"""WITH RECURSIVE {_match_sql("SELECT n_name AS v FROM nation UNION ALL SELECT n_nationkey::VARCHAR FROM nation", "SELECT lower(n_name) AS v FROM nation")},
+o AS (SELECT CASE WHEN regexp_matches(a, '^[0-9]+$') THEN 'number' ELSE 'name' END AS field, score FROM s)
+SELECT field, round(max(score), 6) AS score FROM o GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1""")
 def best_subject_field(spark, d):
     n = _table(spark, d, "nation")
     candidates = n.select(F.lit("name").alias("field"), F.col("n_name").alias("v")).unionByName(n.select(F.lit("relation").alias("field"), F.lower("n_name").alias("v"))).unionByName(n.select(F.lit("number").alias("field"), F.col("n_nationkey").cast("string").alias("v")))
-    return lexical.best_field(candidates, n.select(F.lower("n_name").alias("t")), "field", "v", "t")
+    return lexical.best_field(candidates, n.select(F.lower("n_name").alias("t")), "field", "v", "t").withColumn("score", F.round("score", 6))
 
 
 @query()

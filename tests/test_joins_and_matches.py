@@ -28,8 +28,56 @@ def test_best_is_the_best_of_all_pairs(spark):
                 want[r.a] = (-r.score, r.b)
         got = {r.a: (-r.score, r.b) for r in lexical.best(left, right, "n", "n", penalty).collect()}
         assert got == want and len(got) == len(set(a))
-    in_cells = lexical.pairs(left, right, "n", "n", cell=7).select("a", "b")
-    assert sorted(map(tuple, in_cells.collect())) == sorted((r.a, r.b) for r in every)
+
+
+@pytest.mark.parametrize("seed", [0, 1])
+def test_best_is_exact_where_labels_share_little(spark, seed):
+    """Labels without numbers, with one side's numbers only, with none in common, and empty ones."""
+    rng = random.Random(seed)
+    words = ["control", "kontrol", "controls", "x", "signal", "signals", "GSM", "beta", "pval", "7", "77", "8b", "é", ""]
+    label = lambda: rng.choice(["_", " ", ""]).join(rng.choice(words) for _ in range(rng.randint(0, 5)))
+    a, b = [label() for _ in range(80)], [label() for _ in range(60)]
+    if seed:
+        b = [x for x in b if not any(c.isdigit() for c in x)]
+    left, right = (spark.createDataFrame([(x,) for x in v], "n string") for v in (a, b))
+    for penalty in (True, False):
+        want: dict = {}
+        for r in lexical.scores(left, right, "n", "n", penalty).collect():
+            if r.a not in want or (-r.score, r.b) < want[r.a]:
+                want[r.a] = (-r.score, r.b)
+        assert {r.a: (-r.score, r.b) for r in lexical.best(left, right, "n", "n", penalty).collect()} == want
+    assert lexical.best(left, right.limit(0), "n", "n").count() == 0
+
+
+def test_few_pairs_meet(spark):
+    """2,000 labels a side that are told apart by a number: 4 million pairs, of which a small part is scored."""
+    rng = random.Random(4)
+    names = [f"{rng.choice(['lung', 'liver', 'blood', 'skin'])}_{k * 7919 % 100_003}" for k in range(2000)]
+    left, right = (spark.createDataFrame([(f"{x}_{end}",) for x in names], "n string") for end in ("beta", "detection"))
+    (_, x), (_, y) = lexical.classes(left, "n"), lexical.classes(right, "n")
+    x, y = (shared.written(df, "t") for df in (x, y))
+    first = lexical._first_round(x, y).distinct().count()
+    top = lexical.best(left, right, "n", "n").select("a", "b").collect()
+    assert all(r.a.rsplit("_", 1)[0] == r.b.rsplit("_", 1)[0] for r in top) and len(top) == len(set(names))
+    floor = lexical.best(left, right, "n", "n").select(F.col("a").alias("n"), "score")
+    floored = x.join(lexical.classes(floor, "n")[0].join(floor, F.col("label") == F.col("n")).groupBy("s").agg(F.min("score").alias("floor")), "s")
+    second = lexical._second_round(floored, y, True, 1.0).distinct().count()
+    assert first < 400_000 and second < 400_000
+
+
+def test_common_subsequences_of_many_pairs():
+    rng = random.Random(6)
+    a, b = (["".join(rng.choice("abcé 😀") for _ in range(rng.randint(0, 90))) for _ in range(400)] for _ in range(2))
+
+    def plain(x: str, y: str) -> int:
+        row = [0] * (len(y) + 1)
+        for c in x:
+            before = 0
+            for k, d in enumerate(y, 1):
+                before, row[k] = row[k], before + 1 if c == d else max(row[k], row[k - 1])
+        return row[-1]
+
+    assert T.lcs_lengths(a, b).tolist() == [plain(x, y) for x, y in zip(a, b)] and T.lcs_lengths([], []).tolist() == []
 
 
 def test_medians_are_exact(spark):
