@@ -1,22 +1,72 @@
-"""SOFT family files: sections per sample, metadata lines and a probe table each."""
+"""SOFT family files: sections per sample, metadata lines and a probe table each.
+
+A SOFT file is ordered: a line belongs to the last section header above it.  Files are split
+like any text, and no task reads a whole one: each split scans its own lines and leaves open
+what lies above its first header; one row per split says what it hands on (its last header,
+the tables it leaves open), those are summed up over the splits of a file, and joined back.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds to ``file, block, line`` the place of a line in its split, the header above it and the tables open, both counted from the split's start."""
+    at, header, depth, n = None, None, 0, 0
+    for batch in batches:
+        # a task may hold several splits, one after the other
+        blocks = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        cuts = [k for k in range(len(blocks)) if k == 0 or blocks[k] != blocks[k - 1]]
+        for lo, hi in zip(cuts, [*cuts[1:], len(blocks)]):
+            if blocks[lo] != at:
+                at, header, depth, n = blocks[lo], None, 0, 0
+            part = batch.slice(lo, hi - lo)
+            line = part.column(2)
+            head = pc.starts_with(line, "^").to_numpy(zero_copy_only=False)
+            begin, end = (pc.match_substring_regex(line, f"(?i)^!\\w+_table_{w}").to_numpy(zero_copy_only=False).astype(int) for w in ("begin", "end"))
+            above = np.maximum.accumulate(np.where(head, np.arange(len(head)), -1))
+            lines = line.to_pylist()
+            headers = [header if k < 0 else lines[k] for k in above.tolist()]
+            open_ = depth + np.cumsum(begin - end)
+            yield pa.RecordBatch.from_arrays([*part.columns[:2], pa.array(np.arange(n, n + len(lines), dtype=np.int64)), line, pa.array(headers, pa.string()), pa.array(open_.astype(np.int64))], names=_SCANNED)
+            header, depth, n = headers[-1], int(open_[-1]), n + len(lines)
+
+
+_SCANNED = ["file", "block", "n", "line", "header", "open"]
+
+
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """``file, block, n, line, header, open`` of every line, as far as its own split tells; ``block`` is where the split begins."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    return raw.mapInArrow(_scan, "file string, block bigint, n bigint, line string, header string, open bigint")
+
+
+def carries(scanned: DataFrame) -> DataFrame:
+    """``file, block, above, before``: per split the last header and the open tables of all splits before it; one row a split."""
+    order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    last = scanned.groupBy("file", "block").agg(F.max_by("header", "n").alias("header"), F.max_by("open", "n").alias("open"))
+    return last.select("file", "block", F.last("header", ignorenulls=True).over(order).alias("above"), F.coalesce(F.sum("open").over(order), F.lit(0)).alias("before"))
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """``kind, name, line_no, line``: every line with the section it stands in.
+    """``file, kind, name, line_no, line, in_table``: every line with the section it stands in.
 
-    A SOFT file is ordered, so its sections are found by a running maximum within the
-    file; one file is one study, and files run side by side.
+    ``line_no`` rises through a file: the bytes before its split, then its place in the split.
+    Lines above the first header have an empty kind and name.  A compressed file is one split.
     """
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.input_file_name().alias("file"), F.monotonically_increasing_id().alias("line_no"))
-    head = F.when(F.col("line").startswith("^"), F.col("line"))
-    order = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = raw.withColumn("section", F.last(head, ignorenulls=True).over(order)).withColumn("table", F.sum(F.when(F.col("line").rlike("(?i)^!\\w+_table_begin"), 1).when(F.col("line").rlike("(?i)^!\\w+_table_end"), -1).otherwise(0)).over(order))
-    return out.select("file", F.regexp_extract("section", r"^\^(\w+)", 1).alias("kind"), F.trim(F.regexp_extract("section", r"=\s*(.*)$", 1)).alias("name"), "line_no", "line", (F.col("table") > 0).alias("in_table"))
+    scanned = scan(spark, path)
+    handed = carries(scanned).select(F.col("file").alias("_f"), F.col("block").alias("_b"), "above", "before")
+    # a split has at least as many bytes as lines, so numbers of splits don't meet
+    out = scanned.join(handed, (F.col("file") == F.col("_f")) & (F.col("block") == F.col("_b")))
+    section = F.coalesce("header", "above")
+    return out.select("file", F.coalesce(F.regexp_extract(section, r"^\^(\w+)", 1), F.lit("")).alias("kind"), F.coalesce(F.trim(F.regexp_extract(section, r"=\s*(.*)$", 1)), F.lit("")).alias("name"), (F.col("block") + F.col("n")).alias("line_no"), "line", (F.col("open") + F.col("before") > 0).alias("in_table"))
 
 
 def sample_metadata(read: DataFrame) -> DataFrame:

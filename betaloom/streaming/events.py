@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -53,22 +56,97 @@ def token_usage(message, *paths: str):
     return F.coalesce(*[F.get_json_object(message, p) for p in paths]).try_cast("bigint")
 
 
-def fold_latest(events: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Latest event per (path, kind), kept as a table that each batch replaces.
+#: Deltas that are read beside a base before they are folded into a new one.
+COMPACT_AFTER = 8
+
 
-    A batch that is repeated gives the same table, since the fold is over (time, all
-    fields) and the table it reads is the one committed before.
+class LatestState:
+    """Latest event per (path, kind) as a folder of deltas over a base.
+
+    A batch writes the latest events of its own keys only, so its cost doesn't grow with the
+    state.  After ``compact_after`` batches the deltas are folded into a new base and older
+    files go.  What counts is named by a small file ``CURRENT``, written last: a batch or a
+    compaction that was cut short left nothing that counts, and a batch that is repeated finds
+    its number there and changes nothing.  A named file that is gone is an error.
     """
 
+    def __init__(self, spark: SparkSession, path: str, compact_after: int = COMPACT_AFTER) -> None:
+        self.spark, self.path, self.compact_after = spark, path.rstrip("/"), compact_after
+        self._path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        self._fs = self._path(self.path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def current(self) -> dict:
+        """``base`` (name or None), ``deltas`` (names in order) and ``batch``, the last one that counts."""
+        versions = sorted(self._versions())
+        if not versions:
+            return {"base": None, "deltas": [], "batch": -1}
+        text = self.spark.read.text(f"{self.path}/CURRENT/{versions[-1]:020d}").first()[0]  # one line
+        return json.loads(text)
+
+    def _versions(self) -> list[int]:
+        folder = self._path(f"{self.path}/CURRENT")
+        if not self._fs.exists(folder):
+            return []
+        names = [f.getPath().getName() for f in self._fs.listStatus(folder)]
+        return [int(n) for n in names if n.isdigit()]
+
+    def _commit(self, state: dict) -> None:
+        """Written under another name and renamed, so that it is there wholly or not at all."""
+        versions = self._versions()
+        number = max(versions, default=-1) + 1
+        temp = self._path(f"{self.path}/CURRENT/.{number}-{uuid.uuid4().hex}")
+        out = self._fs.create(temp, True)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not self._fs.rename(temp, self._path(f"{self.path}/CURRENT/{number:020d}")):
+            raise OSError("another writer has committed this state")
+        for old in versions:
+            self._fs.delete(self._path(f"{self.path}/CURRENT/{old:020d}"), False)
+
+    def _read(self, names: list[str]) -> DataFrame:
+        for n in names:
+            if not self._fs.exists(self._path(f"{self.path}/{n}/_SUCCESS")):
+                raise FileNotFoundError(f"{self.path}/{n} is named by the state and is gone")
+        return self.spark.read.schema(SCHEMA).parquet(*[f"{self.path}/{n}" for n in names]) if names else self.spark.createDataFrame([], SCHEMA)
+
+    def read(self) -> DataFrame:
+        """The latest event of every key."""
+        now = self.current()
+        return latest(self._read(([now["base"]] if now["base"] else []) + now["deltas"]))
+
+    def add(self, batch: DataFrame, batch_id: int) -> None:
+        now = self.current()
+        if batch_id <= now["batch"]:
+            return
+        name = f"delta-{batch_id:012d}-{uuid.uuid4().hex}"
+        latest(batch).write.parquet(f"{self.path}/{name}")
+        now = now | {"deltas": [*now["deltas"], name], "batch": batch_id}
+        self._commit(now)
+        if len(now["deltas"]) >= self.compact_after:
+            self.compact()
+
+    def compact(self) -> None:
+        """Fold the deltas into a new base; files that no longer count go."""
+        now = self.current()
+        name = f"base-{max(now['batch'], 0):012d}-{uuid.uuid4().hex}"
+        self.read().write.parquet(f"{self.path}/{name}")
+        self._commit({"base": name, "deltas": [], "batch": now["batch"]})
+        for f in self._fs.listStatus(self._path(self.path)):
+            if f.getPath().getName() not in (name, "CURRENT"):
+                self._fs.delete(f.getPath(), True)
+
+
+def latest(events: DataFrame) -> DataFrame:
+    """The latest event per (path, kind), the largest of all fields among equals; events without a path drop out."""
+    rest = [c for c in events.columns if c not in ("path", "kind")]
+    top = events.where("path is not null").groupBy("path", "kind").agg(F.max(F.struct("timestamp", *[c for c in rest if c != "timestamp"])).alias("s"))
+    return top.select(*[F.col(c) if c in ("path", "kind") else F.col("s")[c].alias(c) for c in events.columns])
+
+
+def fold_latest(events: DataFrame, path: str, checkpoint: str, compact_after: int = COMPACT_AFTER) -> StreamingQuery:
+    """Keep :class:`LatestState` at ``path`` up to date with a stream."""
+
     def fold(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        at, before = f"{path}/batch={batch_id}", f"{path}/batch={batch_id - 1}"
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(before)
-        all_ = batch.where("path is not null")
-        if batch_id and hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-            all_ = all_.unionByName(spark.read.schema(SCHEMA).parquet(before))
-        rest = [c for c in all_.columns if c not in ("path", "kind")]
-        latest = all_.groupBy("path", "kind").agg(F.max(F.struct("timestamp", *[c for c in rest if c != "timestamp"])).alias("s"))
-        latest.select(*[F.col(c) if c in ("path", "kind") else F.col("s")[c].alias(c) for c in all_.columns]).write.mode("overwrite").parquet(at)
+        LatestState(batch.sparkSession, path, compact_after).add(batch, batch_id)
 
     return events.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

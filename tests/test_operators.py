@@ -197,7 +197,7 @@ def test_events_stream(spark, tmp_path):
     for _ in range(2):
         events.fold_latest(events.stream(spark, str(tmp_path / "log")), str(tmp_path / "latest"), str(tmp_path / "check")).awaitTermination()
         events.append(spark.createDataFrame([("ArtifactWritten", "2024-02-01T00:00:00", "r", "p2", "k")], df.schema), str(tmp_path / "log"))
-    latest = spark.read.parquet(str(tmp_path / "latest" / "batch=1"))
+    latest = events.LatestState(spark, str(tmp_path / "latest")).read()
     assert {(r.path, r.timestamp.isoformat()) for r in latest.collect()} == {("p1", "2024-01-02T00:00:00"), ("p2", "2024-02-01T00:00:00")}
     assert {r.event: r.n for r in events.profile(df).collect()} == {"ArtifactWritten": 2, "RunCompleted": 1}
 
