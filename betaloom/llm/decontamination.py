@@ -25,14 +25,15 @@ import functools
 import json
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import pick, row_key, written
 
 #: Parameters: words of a shingle, least similarity, bits of the radius, blocks of the
-#: fingerprint, most rows of the shingle index that are broadcast (about 64 MB).
-SHINGLE, SIMILARITY, RADIUS, BLOCKS, BROADCAST_ROWS = 5, 0.8, 23, 8, 2_000_000
+#: fingerprint, most rows of the shingle index that are broadcast (about 64 MB), starts of
+#: windows and hashes of cut windows that a row holds at most (about).
+SHINGLE, SIMILARITY, RADIUS, BLOCKS, BROADCAST_ROWS, STARTS_AT_ONCE, VALUES_AT_ONCE = 5, 0.8, 23, 8, 2_000_000, 1 << 16, 1 << 18
 
 
 def words(text: Column) -> Column:
@@ -97,6 +98,13 @@ def _hopeful_starts(places: str, length: str, total: str) -> Column:
     return F.when(F.size(places) >= needed, F.flatten(F.transform(inside, lambda i: F.sequence(F.greatest(first(i), F.lit(0)), last(i)))))
 
 
+def _in_batches(rows: DataFrame, value: Column, order: list, weight: Column, most: int) -> DataFrame:
+    """``doc_id, row_key, batch``: a document's values in arrays of about ``most`` in weight each, so that no row grows with a text's windows."""
+    running = F.sum("_w").over(Window.partitionBy("doc_id", "row_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = rows.withColumn("_w", weight.cast("bigint")).withColumn("_b", F.floor((running - F.col("_w")) / F.lit(most)))
+    return placed.select("doc_id", "row_key", "_b", value.alias("_v")).groupBy("doc_id", "row_key", "_b").agg(F.collect_list("_v").alias("batch")).drop("_b")
+
+
 def _short_items(keyed: DataFrame, short: DataFrame) -> DataFrame:
     """``doc_id, row_key, item_id, similarity, start`` for items of fewer than five words: where their words stand."""
     found = []
@@ -129,17 +137,26 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     hits = every.join(_small(places, n_places), F.col("h") == F.col("ih"))
     # the places that hold a shingle of any item of a length; a set, so that repeated rows change nothing
     shared = hits.groupBy("doc_id", "row_key", "length", "total").agg(F.array_sort(F.collect_set("at")).alias("places"))
-    starts = shared.withColumn("starts", _hopeful_starts("places", "length", "total")).where(F.size("starts") > 0)
-    hopeful = written(starts.groupBy("doc_id", "row_key").agg(F.collect_list(F.struct("length", "starts")).alias("lengths")), "hopeful").withColumnsRenamed({"doc_id": "d", "row_key": "k"})
-
-    read = keyed.join(hopeful, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("doc_id", "row_key", "text", "lengths")
-    read = read.select("doc_id", "row_key", "lengths", words(F.col("text")).alias("w")).select("doc_id", "row_key", "lengths", shingle_hashes("w").alias("hashes"))
-    # slices are cut inside the row, so that no row of a window carries all of its text
-    cut = F.flatten(F.transform("lengths", lambda x: F.transform(x["starts"], lambda s: F.struct(x["length"].alias("length"), s.alias("start"), F.slice("hashes", s + 1, x["length"]).alias("window_hashes")))))
-    windows = read.select("doc_id", "row_key", F.inline(cut)).withColumn("window", F.xxhash64("length", "window_hashes"))
-    firsts = windows.groupBy("doc_id", "row_key", "window").agg(F.min("start").alias("start"), F.first("window_hashes").alias("window_hashes"), F.first("length").alias("length"))
-    firsts = written(firsts, "windows")
-    different = written(firsts.dropDuplicates(["window"]).select("window", "length", "window_hashes"), "different-windows")
+    starts = shared.withColumn("starts", _hopeful_starts("places", "length", "total")).where(F.size("starts") > 0).select("doc_id", "row_key", "length", "starts")
+    pieces = F.transform(F.sequence(F.lit(0), F.size("starts") - 1, F.lit(STARTS_AT_ONCE)), lambda k: F.slice("starts", k + 1, F.lit(STARTS_AT_ONCE)))
+    pieces = starts.select("doc_id", "row_key", "length", F.explode(pieces).alias("starts"))
+    hopeful = written(_in_batches(pieces, F.struct("length", "starts"), ["length", F.element_at("starts", 1)], F.size("starts"), STARTS_AT_ONCE), "hopeful")
+
+    def hashed_with(batches: DataFrame) -> DataFrame:
+        """``doc_id, row_key, batch, hashes``: the texts of the batches, split anew."""
+        named = batches.withColumnsRenamed({"doc_id": "d", "row_key": "k"})
+        read = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("doc_id", "row_key", "batch", words(F.col("text")).alias("w"))
+        return read.select("doc_id", "row_key", "batch", shingle_hashes("w").alias("hashes"))
+
+    # windows are named first, and only the different ones are cut out, a bounded number of values in a row
+    name = lambda length, start: F.xxhash64(length, F.slice("hashes", start + 1, length))
+    named = F.flatten(F.transform("batch", lambda x: F.transform(x["starts"], lambda s: F.struct(x["length"].alias("length"), s.alias("start"), name(x["length"], s).alias("window")))))
+    windows = hashed_with(hopeful).select("doc_id", "row_key", F.inline(named))
+    firsts = written(windows.groupBy("doc_id", "row_key", "window").agg(F.min("start").alias("start"), F.first("length").alias("length")), "windows")
+    one = firsts.groupBy("window").agg(F.min(F.struct("doc_id", "row_key", "start", "length")).alias("s")).select("window", "s.*")
+    cuts = written(_in_batches(one, F.struct("window", "length", "start"), ["start", "window"], F.col("length"), VALUES_AT_ONCE), "cuts")
+    cut = F.transform("batch", lambda x: F.struct(x["window"].alias("window"), x["length"].alias("length"), F.slice("hashes", x["start"] + 1, x["length"]).alias("window_hashes")))
+    different = written(hashed_with(cuts).select(F.inline(cut)).dropDuplicates(["window"]), "different-windows")
 
     prints = fingerprint(different, ["window", "length"], "window_hashes")
     item_prints = written(fingerprint(wanted, ["item", "length"], "item_hashes"), "item-prints")
