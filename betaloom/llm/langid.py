@@ -26,11 +26,10 @@ from pyspark.sql import functions as F
 
 from .common import enter, field, map_texts, pick, steps, written
 
-#: Parameters of the fit, which looks at a bounded sample: most texts per language, most
-#: characters of all languages together, share of the sample held back for calibration,
-#: most languages (those with most rows), most bytes of the tables sent to workers (beyond
-#: it the rarest four-grams go).
-TRAIN_TEXTS, TRAIN_CHARACTERS, CALIBRATE, MOST_LANGUAGES, MOST_BYTES = 2000, 1 << 25, 0.1, 128, 1 << 28
+#: Parameters of the fit, which looks at a bounded sample of labelled rows: most texts per
+#: language, most characters of all languages together (two texts of each stay in any case),
+#: share of the sample held back for calibration, languages that share a table.
+TRAIN_TEXTS, TRAIN_CHARACTERS, CALIBRATE, LANGUAGES_TOGETHER = 2000, 1 << 25, 0.1, 8
 #: Parameters of the verdict: robust deviations above the median that are still accepted,
 #: least deviation in nats, sharpness of the score.
 DEVIATIONS, LEAST_DEVIATION, SHARPNESS = 8.0, 0.05, 8.0
@@ -40,7 +39,7 @@ SHORT = 4.0
 UNDETERMINED = "und"
 _BLANK = 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_AT_ONCE = 1 << 20
+_AT_ONCE = 1 << 18  # four-grams looked up at once, times the languages of one table
 
 
 @functools.cache
@@ -69,8 +68,40 @@ def grams_of(codes: np.ndarray) -> np.ndarray:
     return a[:-3] << np.uint64(48) | a[1:-2] << np.uint64(32) | a[2:-1] << np.uint64(16) | a[3:]
 
 
+class Predicting:
+    """What a model of one table and one of many have in common: ``languages``, ``limits`` and cross-entropies."""
+
+    languages: list[str]
+    limits: np.ndarray
+
+    def cross_entropies(self, codes: np.ndarray) -> np.ndarray:
+        raise NotImplementedError
+
+    def predict(self, text: str | None) -> tuple[str, float, float | None, bool]:
+        """Language, score from 0 to 1, cross-entropy, whether it is rejected."""
+        codes = letters_of(text or "")
+        if not len(codes) or not self.languages:
+            return UNDETERMINED, 0.0, None, True
+        h = self.cross_entropies(codes)
+        best = int(h.argmin())
+        score = 1.0 / float(np.exp(np.minimum(SHARPNESS * (h[best] - h), 0.0)).sum())
+        return self.languages[best], score, float(h[best]), bool(h[best] > self.limits[best] + SHORT / math.sqrt(len(codes)))
+
+
+class Models(Predicting):
+    """Any number of languages, a table for every few of them; a text meets one table at a time."""
+
+    def __init__(self, tables: list[Model]) -> None:
+        self.tables = tables
+        self.languages = [k for t in tables for k in t.languages]
+        self.limits = np.full(len(self.languages), np.inf)
+
+    def cross_entropies(self, codes: np.ndarray) -> np.ndarray:
+        return np.concatenate([t.cross_entropies(codes) for t in self.tables])
+
+
 @dataclass
-class Model:
+class Model(Predicting):
     """``keys[k]``/``logs[k]`` per order: sorted hashes and rows of log-probabilities per language; contexts alike."""
 
     languages: list[str]
@@ -104,16 +135,6 @@ class Model:
         total = sum((self._total(ORDER, grams[lo : lo + _AT_ONCE]) for lo in range(0, len(grams), _AT_ONCE)), np.zeros(len(self.languages)))
         return -total / len(grams)
 
-    def predict(self, text: str | None) -> tuple[str, float, float | None, bool]:
-        """Language, score from 0 to 1, cross-entropy, whether it is rejected."""
-        codes = letters_of(text or "")
-        if not len(codes) or not self.languages:
-            return UNDETERMINED, 0.0, None, True
-        h = self.cross_entropies(codes)
-        best = int(h.argmin())
-        score = 1.0 / float(np.exp(np.minimum(SHARPNESS * (h[best] - h), 0.0)).sum())
-        return self.languages[best], score, float(h[best]), bool(h[best] > self.limits[best] + SHORT / math.sqrt(len(codes)))
-
 
 def _mixed(grams: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
@@ -131,8 +152,16 @@ def _discount(counts: np.ndarray) -> float:
     return one / (one + 2 * two) if one else 0.5
 
 
-def build(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
-    """Model of languages, each given as distinct four-grams and their counts."""
+def build_all(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Models:
+    """Models of all languages, as :func:`build` makes them together, in tables of a few."""
+    languages = sorted(counted)
+    letters = len(np.unique(np.concatenate([np.unique(counted[k][0] & np.uint64(0xFFFF)) for k in languages] or [np.empty(0, np.uint64)])))
+    groups = [languages[lo : lo + LANGUAGES_TOGETHER] for lo in range(0, len(languages), LANGUAGES_TOGETHER)]
+    return Models([build({k: counted[k] for k in group}, letters) for group in groups])
+
+
+def build(counted: dict[str, tuple[np.ndarray, np.ndarray]], letters: int | None = None) -> Model:
+    """Model of languages, each given as distinct four-grams and their counts; ``letters``: how many all languages have together."""
     languages = sorted(counted)
     levels: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []  # per language and order: grams and (continuation) counts
     for language in languages:
@@ -143,7 +172,7 @@ def build(counted: dict[str, tuple[np.ndarray, np.ndarray]]) -> Model:
         levels.append(own)
     none = np.empty(0, np.uint64)
     union = {k: np.unique(np.concatenate([own[k][0] for own in levels] or [none])) for k in range(1, ORDER + 1)}
-    size, n = len(union[1]) + 1, len(languages)
+    size, n = (letters or len(union[1])) + 1, len(languages)
     below, unknown = None, np.zeros(n)
     keys, logs, contexts, weights = [none], [np.empty((0, n), np.float32)], [none], [np.empty((0, n), np.float32)]
     for order in range(1, ORDER + 1):
@@ -200,7 +229,7 @@ def sampled(rows: DataFrame, texts: int = TRAIN_TEXTS, characters: int = TRAIN_C
     """
     spark = rows.sparkSession
     keyed = rows.withColumn("key", F.xxhash64("id", "text"))
-    sizes = keyed.groupBy("language").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("kinds")).orderBy(F.desc("n"), "language").limit(MOST_LANGUAGES).collect()
+    sizes = keyed.groupBy("language").agg(F.count("*").alias("n"), F.approx_count_distinct("key").alias("kinds")).collect()  # a row a language
     if not sizes:
         return spark.createDataFrame([], "language string, text string, place int, held boolean")
     shares = spark.createDataFrame([(r["language"], min(1.0, 2 * texts / r["kinds"])) for r in sizes], "language string, share double")
@@ -214,28 +243,17 @@ def sampled(rows: DataFrame, texts: int = TRAIN_TEXTS, characters: int = TRAIN_C
     of = Window.partitionBy("language")
     size = F.count("*").over(of)
     chosen = chosen.withColumn("held", (F.col("place") > size - F.floor(size * CALIBRATE)) & (size * CALIBRATE >= 2)).select(F.col("language").alias("l"), F.col("key").alias("k"), "place", "held")
-    chosen = F.broadcast(written(chosen, "sample"))  # at most MOST_LANGUAGES * texts rows
+    chosen = written(chosen, "sample")  # at most ``texts`` rows a language
     return drawn.join(chosen, (F.col("language") == F.col("l")) & (F.col("key") == F.col("k"))).select("language", "key", "text", "place", "held").dropDuplicates(["language", "key"]).drop("key")
 
 
-def _fitting(found: dict[str, tuple[np.ndarray, np.ndarray]], most: int) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Without the rarest four-grams, as far as the tables would take more than ``most`` bytes."""
-    least = 1
-    while True:
-        union = np.unique(np.concatenate([g for g, _ in found.values()]))
-        # all orders together have under twice as many rows as the highest
-        if len(union) * 2 * (8 + 4 * len(found)) <= most or len(union) <= 1000:
-            return found
-        least *= 2
-        found = {k: (g[n >= least], n[n >= least]) if (n >= least).any() else (g[n == n.max()], n[n == n.max()]) for k, (g, n) in found.items()}
-
-
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = TRAIN_TEXTS) -> Model:
+def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", texts: int = TRAIN_TEXTS) -> Models:
     """Learn from rows with text and language.
 
     Of each language at most ``texts`` different rows are learned from, whole (see
     :func:`sampled`; null and repeated ids are no matter).  Their four-grams and counts
-    come to the driver, at most TRAIN_CHARACTERS of them.  A language with fewer than 20
+    come to the driver, at most about TRAIN_CHARACTERS of them.  Every language is learned,
+    however many there are; LANGUAGES_TOGETHER of them share a table.  A language with fewer than 20
     texts holds none back; its limit is the largest of the others', or none.  Without any
     labelled row nothing is learned.
     """
@@ -245,7 +263,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counted = sample.where("not held").select("language", "text").mapInArrow(_counts, "language string, gram bigint, n bigint").groupBy("language", "gram").agg(F.sum("n").alias("n")).toArrow()
     grams, n = counted.column("gram").to_numpy().view(np.uint64), counted.column("n").to_numpy()
     if not len(grams):
-        return build({})
+        return build_all({})
     of = counted.column("language").combine_chunks().dictionary_encode()
     codes, names = of.indices.to_numpy(), of.dictionary.to_pylist()
     found = {}
@@ -253,7 +271,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         mine = codes == j
         by = np.argsort(grams[mine])
         found[name] = (grams[mine][by], n[mine][by])
-    model = build(_fitting(found, MOST_BYTES))
+    model = build_all(found)
     shipped, langid_name = spark.sparkContext.broadcast(model), __name__
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -277,7 +295,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return model
 
 
-def classify(docs: DataFrame, model: Model, ids: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
+def classify(docs: DataFrame, model: Predicting, ids: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
     """``ids, lang_pred, score, cross_entropy, rejected`` per row; no shuffle.
 
     Only the text is looked at.  ``und`` (score 0, rejected) is for a null text, one
