@@ -21,7 +21,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import field, map_texts, on_leave, written
@@ -132,8 +132,7 @@ def bands(measured: DataFrame, fence: float = FENCE) -> DataFrame:
 
     A row per script that occurs, so at most as many as SCRIPTS and one.
     """
-    parts = [F.percentile_approx(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000).alias(c) for c in _MEASURES]
-    found = measured.where("not base_failed").groupBy(F.col("script").alias("band_script")).agg(*parts)
+    found = _quartiles(measured.where("not base_failed")).withColumnRenamed("script", "band_script")
     low, middle, high = ({c: F.col(c)[k] for c in _MEASURES} for k in range(3))
     per_token, bytes_, entropy = _MEASURES
     width = {c: fence * F.greatest(high[c] - low[c], F.lit(least) * (middle[c] if c == per_token else F.lit(1.0))) for c, least in zip(_MEASURES, LEAST_SPREAD)}
@@ -143,6 +142,29 @@ def bands(measured: DataFrame, fence: float = FENCE) -> DataFrame:
     )
 
 
+def _quartiles(rows: DataFrame) -> DataFrame:
+    """``script`` and, per measure, the array of its exact quartiles: the values at rank ceil(n q), whatever the partitions.
+
+    Approximate ones, a thousandth of the ranks to either side, bound each quartile.  Only
+    values between two bounds are sorted, counted by value before they are shuffled; those
+    below are counted.
+    """
+    each = rows.select("script", F.posexplode(F.array(*_MEASURES)).alias("measure", "v"))
+    shares = F.array(*map(F.lit, _QUARTILES))
+    around = F.percentile_approx("v", F.array(*[F.lit(q + e) for q in _QUARTILES for e in (-0.001, 0.001)]), 10_000)
+    bounds = each.groupBy("script", "measure").agg(F.count("*").alias("n"), around.alias("around"))
+    bounds = bounds.select(F.col("script").alias("s"), F.col("measure").alias("m"), "n", F.posexplode(F.transform(shares, lambda q, k: F.struct(F.element_at("around", 2 * k + 1).alias("low"), F.element_at("around", 2 * k + 2).alias("high"), F.greatest(F.lit(1.0), F.ceil(F.col("n") * q)).alias("rank")))).alias("k", "b")).select("s", "m", "k", "b.*")
+    bounds = F.broadcast(written(bounds, "bounds"))  # nine rows a script
+    near = each.join(bounds, (F.col("script") == F.col("s")) & (F.col("measure") == F.col("m")) & (F.col("v") <= F.col("high")))
+    counted = near.groupBy("script", "measure", "k", "rank", F.when(F.col("v") >= F.col("low"), F.col("v")).alias("v")).agg(F.count("*").alias("c"))
+    # a null stands for all smaller values and comes first
+    upto = F.sum("c").over(Window.partitionBy("script", "measure", "k").orderBy(F.col("v").asc_nulls_first()))
+    at = counted.withColumn("upto", upto).where((F.col("upto") - F.col("c") < F.col("rank")) & (F.col("rank") <= F.col("upto")))
+    value = lambda m: F.array(*[F.max(F.when((F.col("measure") == m) & (F.col("k") == k), F.col("v"))) for k in range(len(_QUARTILES))])
+    return at.groupBy("script").agg(*[value(m).alias(c) for m, c in enumerate(_MEASURES)])
+
+
+_QUARTILES = (0.25, 0.5, 0.75)
 _MEASURES = ("chars_per_token", "byte_share", "token_entropy")
 
 
