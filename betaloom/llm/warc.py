@@ -3,7 +3,7 @@
 Rows are dealt to shards by ranges of the page id.  The ranges come from an exact
 histogram of bytes over id buckets; buckets that hold more than a shard are split again,
 down to a single id, so that no outlier or cluster of ids swells a shard, and rows of one
-id beyond a shard's bytes are dealt by a hash of their content.  The same table always
+id beyond a shard's bytes are dealt by a hash of their content, equal ones by a number too.  The same table always
 gives the same shards, and no sampling or attempt number shows in a file.  Within a shard
 records are sorted by id, each is its own gzip member, and a file ends when its compressed
 size reaches a bound.  Headers, record ids and digests are regenerated from the rows.
@@ -35,8 +35,9 @@ from .simhash import shuffles_dropped
 #: Parameters: bytes of payload in a shard, compressed bytes that end a file, bytes of
 #: files a reading task takes at most (one file at least), payloads from how many bytes on
 #: may be revisits, bits by which an id bucket is split, most groups of buckets that are
-#: dealt to shards apart, most rows of the bucket table that are broadcast, the records' date.
-SHARD_BYTES, FILE_BYTES, READ_BYTES, REVISIT_BYTES, SPLIT_BITS, GROUPS, BROADCAST_ROWS, DATE = 32 << 20, 8 << 20, 16 << 20, 0, 8, 256, 1_000_000, "2000-01-01T00:00:00Z"
+#: dealt to shards apart, most rows of the bucket table that are broadcast, equal rows of one
+#: id that a task numbers at once, the records' date.
+SHARD_BYTES, FILE_BYTES, READ_BYTES, REVISIT_BYTES, SPLIT_BITS, GROUPS, BROADCAST_ROWS, EQUAL_AT_ONCE, DATE = 32 << 20, 8 << 20, 16 << 20, 0, 8, 256, 1_000_000, 1024, "2000-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _MANIFEST = "shard int, seq bigint, temp string, name string, bytes bigint, records bigint, sha256 string"
 _REPORT = pa.schema([("shard", pa.int32()), ("seq", pa.int64()), ("temp", pa.string()), ("name", pa.string()), ("bytes", pa.int64()), ("records", pa.int64()), ("sha256", pa.string())])
@@ -213,12 +214,29 @@ def _shards(rows: DataFrame, sizes: DataFrame, shard_bytes: int) -> tuple[DataFr
     small = dealt.count() <= BROADCAST_ROWS
     placed = rows.withColumn("_offset", offset)
     shard = F.lit(None).cast("int")
-    content = F.pmod(F.xxhash64("url", "html"), F.col("_parts")).cast("int")
+    parts = F.lit(None).cast("int")
     for k in sorted(levels):
-        mine = dealt.where(F.col("_level") == k).drop("_level")
-        placed = placed.join(F.broadcast(mine) if small else mine, _bucket(k, bits) == F.col("_bucket"), "left").withColumn(f"_shard{k}", F.col("_start") + content).drop("_bucket", "_start", "_parts")
-        shard = F.coalesce(shard, F.col(f"_shard{k}"))
-    return placed.withColumn("shard", shard).drop("_offset", *[f"_shard{k}" for k in levels]), n
+        mine = dealt.where(F.col("_level") == k).drop("_level").withColumnsRenamed({"_start": f"_start{k}", "_parts": f"_parts{k}"})
+        placed = placed.join(F.broadcast(mine) if small else mine, _bucket(k, bits) == F.col("_bucket"), "left").drop("_bucket")
+        shard, parts = F.coalesce(shard, F.col(f"_start{k}")), F.coalesce(parts, F.col(f"_parts{k}"))
+    placed = placed.withColumn("shard", shard).withColumn("_parts", parts).drop("_offset", *[f"_{x}{k}" for k in levels for x in ("start", "parts")])
+    if not dealt.where("_parts > 1").limit(1).count():
+        return placed.drop("_parts"), n
+    heavy = _apart(placed.where("_parts > 1"), rows.columns)
+    return placed.where("_parts = 1").drop("_parts").unionByName(heavy), n
+
+
+def _apart(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of ids with more than a shard's bytes, dealt by a hash of their content; rows that repeat are counted, numbered and dealt by their number too.
+
+    They are the same whatever their number, so the files don't depend on who got which.
+    The numbers of one row are made by many tasks.
+    """
+    counted = rows.groupBy(*columns, "shard", "_parts").agg(F.count("*").alias("_n"))
+    blocks = counted.withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1, F.lit(EQUAL_AT_ONCE).cast("bigint")))).repartition("page_id", "_block", F.xxhash64("url", "html"))
+    numbered = blocks.withColumn("_k", F.explode(F.sequence("_block", F.least(F.col("_n"), F.col("_block") + EQUAL_AT_ONCE) - 1)))
+    content = F.pmod(F.xxhash64("url", "html") + F.col("_k"), F.col("_parts")).cast("int")
+    return numbered.withColumn("shard", F.col("shard") + content).select(*columns, "shard")
 
 
 def write(pages: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, least: int = REVISIT_BYTES, date: str = DATE) -> DataFrame:

@@ -285,6 +285,23 @@ def test_decontamination_finds_the_best_of_all_windows(spark):
     assert got == {k: (round(v, 6), s) for k, (v, s) in want.items()} and {(0, 0), (1, 0), (2, 1)} <= set(got)
 
 
+def test_decontamination_of_long_texts_that_repeat_an_item(spark, monkeypatch):
+    """A text of 2 MB that holds one item of 1,000 words 300 times, in a heap of 3 GB; and small bounds of a row."""
+    rng = random.Random(3)
+    item = [f"word{rng.randrange(10**4)}" for _ in range(1000)]
+    for times in (40, 300):
+        docs = spark.createDataFrame([(1, " ".join(item * times)), (2, "nothing of it " * 50)], DOCS)
+        got = [tuple(r) for r in decontamination.leaks(docs, spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")).drop("row_key").collect()]
+        assert got == [(1, 7, 1.0, 0)]
+    monkeypatch.setattr(decontamination, "STARTS_AT_ONCE", 7)
+    monkeypatch.setattr(decontamination, "VALUES_AT_ONCE", 30)
+    short = [(k, " ".join(rng.choice(["a b c d e", "f g h i j k", "x"]) for _ in range(60))) for k in range(8)] + [(3, "a b c d e f g h i j k " * 9)]
+    items = [(0, "a b c d e f g h i j k a b c d e"), (1, "f g h i j k x x a b c d e"), (2, "x x x x x x x x")]
+    want = brute_leaks(short, items)
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start_word) for r in decontamination.leaks(spark.createDataFrame(short, DOCS), spark.createDataFrame(items, "item_id bigint, text string")).groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", -F.col("start_word"))).alias("b")).select("doc_id", "item_id", "b.similarity", (-F.col("b.col2")).alias("start_word")).collect()}
+    assert {k: v[0] for k, v in got.items()} == {k: round(v[0], 6) for k, v in want.items()} and len(want) > 5
+
+
 # ---- WARC
 
 
@@ -412,3 +429,44 @@ def test_pick_survives_clashing_names(spark):
     assert pick(df, "doc_id", ("TEXT", "t")).first() == (1, "b")
     with pytest.raises(ValueError):
         pick(df, "none")
+
+
+def test_every_language_is_learned(spark):
+    """200 languages of their own syllables, more than a table holds; all are told apart."""
+    rng = random.Random(9)
+    consonants, vowels = "bcdfghjklmnpqrstvwxz", "aeiouyäöüàéèñç"
+    rows, asked = [], []
+    for k in range(200):
+        syllables = [rng.choice(consonants) + rng.choice(vowels) + rng.choice(consonants) for _ in range(12)]
+        text = lambda n, syllables=syllables: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(n))
+        rows += [(1000 * k + j, text(60), f"l{k:03d}") for j in range(3)]
+        asked.append((k, text(40)))
+    model = langid.train(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    assert len(model.languages) == 200 and len(model.tables) == 25
+    got = {r.doc_id: r.lang_pred for r in langid.classify(spark.createDataFrame(asked, DOCS), model).collect()}
+    assert got == {k: f"l{k:03d}" for k in range(200)}
+
+
+def test_tables_of_a_few_languages_equal_one_of_all():
+    rng = random.Random(2)
+    counted = {}
+    for k in range(19):
+        letters = rng.sample("abcdefghijklmnopqrstuvwxyzäöüß", 15)
+        counted[f"l{k:02d}"] = tuple(langid.np.unique(langid.grams_of(langid.letters_of("".join(rng.choice([*letters, " "]) for _ in range(400)))), return_counts=True))
+    one, many = langid.build(counted), langid.build_all(counted)
+    assert many.languages == one.languages and len(many.tables) == 3
+    for t in ("abc def", "zz", "qwertz uiop", "é"):
+        codes = langid.letters_of(t)
+        assert many.cross_entropies(codes) == pytest.approx(one.cross_entropies(codes), rel=1e-6)
+
+
+def test_equal_rows_of_one_id_are_spread(spark):
+    rows = [(5, "u", "x" * 1000)] * 3000 + [(5, "u", "y" * 1000), (6, "v", "z"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(6)
+    folder = [new_folder(spark, "warc") for _ in range(2)]
+    first = warc.write(df, folder[0], shard_bytes=100_000)
+    per_shard = first.groupBy("shard").agg(F.sum("records").alias("n"))
+    assert per_shard.agg(F.sum("n")).first()[0] == len(rows) and per_shard.agg(F.max("n")).first()[0] < 400
+    again = warc.write(df.repartition(3), folder[1], shard_bytes=100_000)
+    assert sorted(map(tuple, first.select("name", "bytes", "sha256").collect())) == sorted(map(tuple, again.select("name", "bytes", "sha256").collect()))
+    assert Counter(r.page_id for r in warc.read(spark, folder[0]).collect()) == Counter(r[0] for r in rows)

@@ -154,6 +154,23 @@ def test_quality_equals_the_plain_version(spark):
     assert sum(r[7] for r in want) > 0.8 * sum(not r[6] for r in want)
 
 
+def test_quartiles_are_exact_whatever_the_partitions(spark):
+    import math
+
+    rng = random.Random(8)
+    rows = [("LATIN", False, rng.gauss(3, 1), rng.choice([0.0, 0.0, rng.random()]), float(k % 7)) for k in range(50_000)] + [("GREEK", False, 1.0, 2.0, 3.0), ("GREEK", False, 2.0, 2.0, 4.0), ("THAI", True, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "script string, base_failed boolean, chars_per_token double, byte_share double, token_entropy double")
+    found = []
+    for parts in (1, 13):
+        got = {r.script: tuple(tuple(r[c]) for c in quality._MEASURES) for r in quality._quartiles(df.where("not base_failed").repartition(parts, "chars_per_token")).collect()}
+        found.append(got)
+    assert found[0] == found[1] and set(found[0]) == {"LATIN", "GREEK"}
+    for script, measures in found[0].items():
+        for k, quartiles in enumerate(measures):
+            v = sorted(r[2 + k] for r in rows if r[0] == script)
+            assert quartiles == tuple(v[max(1, math.ceil(len(v) * q)) - 1] for q in (0.25, 0.5, 0.75))
+
+
 def test_main_script_counts_every_letter():
     table = list("١٢٣٤ " * 12_000)
     table[12_345] = table[45_678] = "a"
