@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UNKNOWN = "Unknown/Other"
@@ -91,10 +91,8 @@ def unmapped(labels: DataFrame, mapping: DataFrame, label: str = "label") -> Dat
     return labels.join(mapping, F.col(label) == F.col("source_label"), "left_anti")
 
 
-def ontology_top(labels: DataFrame, terms: DataFrame, k: int = 5) -> DataFrame:
-    """The k best terms per label, by lexical score; the first in order among equals."""
-    from .lexical import scores
+def ontology_top(labels: DataFrame, terms: DataFrame, k: int = 5, label: str = "label", term: str = "term", text: str = "text") -> DataFrame:
+    """``label, rank, term, score``: the k best terms per label among terms with one or more texts each (label, synonyms), by their words."""
+    from .search import index, search
 
-    scored = scores(labels, terms, "label", "term")
-    ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("score"), "b"))).where(F.col("rank") <= k)
-    return ranked.select(F.col("a").alias("label"), "rank", F.col("b").alias("term"), "score")
+    return search(labels, label, index(terms, term, text), k)

@@ -35,11 +35,20 @@ def with_predictions(rows: DataFrame, predictions: DataFrame, on: Sequence[str])
 
 
 def merged(parts: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
-    """Results of several models beside each other, for samples that all of them have."""
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.join(part, list(on))
-    return out
+    """Results of several models beside each other, for samples that all of them have.
+
+    ``on`` is a key of each part and its columns are known; parts have no other column in
+    common.  One shuffle for any number of parts.
+    """
+    stacked = None
+    for k, part in enumerate(parts):
+        marked = part.where(F.col(on[0]).isNotNull()).withColumn("_part", F.lit(k))
+        stacked = marked if stacked is None else stacked.unionByName(marked, allowMissingColumns=True)
+    columns = [c for part in parts for c in part.columns if c not in on]
+    if len(columns) != len(set(columns)):
+        raise ValueError("two parts have a column in common")
+    out = stacked.groupBy(*on).agg(F.count_distinct("_part").alias("_parts"), *[F.first(c, ignorenulls=True).alias(c) for c in columns])
+    return out.where(F.col("_parts") == len(parts)).drop("_parts")
 
 
 def done(rows: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:

@@ -4,23 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def coverage(df: DataFrame, fields: Sequence[str], order: str, examples: int = 10) -> DataFrame:
     """Per field: present, missing, parse_rate (0 if empty), unique_values and the first examples by ``order``.
 
-    One aggregation counts all fields; the examples are a bounded sort per field, so no
-    list of all values is made.
+    One aggregation counts all fields; the examples are the first of each field, so no list
+    of all values is made.
     """
     stacked = df.select(order, F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("v")) for f in fields])).alias("s")).select(order, "s.field", "s.v")
     counts = stacked.groupBy("field").agg(F.count("v").alias("present"), F.count_if(F.col("v").isNull()).alias("missing"), F.count_distinct("v").alias("unique_values"))
     out = counts.withColumn("parse_rate", F.coalesce(F.try_divide("present", F.col("present") + F.col("missing")), F.lit(0.0)))
-    firsts = [df.where(F.col(f).isNotNull()).orderBy(order).limit(examples).select(F.lit(f).alias("field"), F.col(order).alias("o"), F.col(f).cast("string").alias("v")) for f in fields]
-    shown = firsts[0]
-    for part in firsts[1:]:
-        shown = shown.unionByName(part)
+    # Spark keeps ``examples`` rows a field before it shuffles
+    rank = F.row_number().over(Window.partitionBy("field").orderBy("o", "v"))
+    shown = stacked.where(F.col("v").isNotNull()).select(F.col(order).alias("o"), "field", "v").withColumn("rank", rank).where(F.col("rank") <= examples)
     lists = shown.groupBy("field").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "v"))), lambda s: s["v"]).alias("examples"))
     return out.join(lists, "field", "left").select("field", "present", "missing", "parse_rate", "unique_values", F.coalesce("examples", F.array().cast("array<string>")).alias("examples"))
 
@@ -64,7 +63,7 @@ def dataset_summary(df: DataFrame, dataset: str, age: str, condition: str, sex:
         if not shares:
             return counts.groupBy(dataset).agg(F.array_join(F.transform(pairs, lambda p: p["v"]), ", ").alias(name))
         whole = counts.groupBy(dataset).agg(pairs.alias("p"), F.sum("n").alias("t"))
-        return whole.select(dataset, F.array_join(F.transform("p", lambda p: F.concat(p["v"], F.lit(" ("), F.format_string("%.1f", -p["k"] * 100 / F.col("t")), F.lit("%)"))), ", ").alias(name))
+        return whole.select(dataset, F.array_join(F.transform("p", lambda p: F.concat(p["v"], F.lit(" ("), F.format_string("%.1f", F.bround(-p["k"] * 100 / F.col("t"), 1)), F.lit("%)"))), ", ").alias(name))
 
     out = base.join(listed(condition, "conditions", False), dataset, "left").join(listed(sex, "sexes", True), dataset, "left")
     ages = F.when(F.col("lo").isNull(), F.lit("N/A")).otherwise(F.format_string("%.2f-%.2f", F.col("lo").cast("double"), F.col("hi").cast("double")))
@@ -80,3 +79,15 @@ def labels(df: DataFrame, column: str, control: str | None = None) -> DataFrame:
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 0) -> DataFrame:
     """``n`` rows by a digest of seed and key: the same rows each time."""
     return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), key).limit(n)
+
+
+def examples(df: DataFrame, keys: Sequence[str], value: str, n: int = 5, seed: int = 0) -> DataFrame:
+    """``keys, place, value``: ``n`` different known values per ``keys``, drawn by a digest of seed, keys and value.
+
+    The same values each time, on any partitions.  Tasks keep the ``n`` smallest digests of
+    each key and these are merged, so a key with most rows costs no more than the others.
+    """
+    different = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("string").alias("value")).distinct()
+    dice = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.coalesce(F.col(k).cast("string"), F.lit("")) for k in keys], "value"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_dice", "value"))
+    return different.withColumn("_dice", dice).withColumn("place", place).where(F.col("place") <= n).select(*keys, "place", "value")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import catalog, control, convert, evaluate, harmonize, impute, joins, lexical, matrix, models, profile, qc, rules, threads
+from ..operators import catalog, control, convert, evaluate, harmonize, impute, joins, layers, lexical, matrix, models, profile, qc, rules, threads
 from ..sources import delimited, files, shared, soft
 from ..streaming import events as event_log
 from . import pipelines
@@ -409,12 +409,11 @@ def value_shares(spark, d):
 c AS (SELECT c_nationkey, c_mktsegment AS v, count(*) AS n FROM customer GROUP BY 1, 2),
 l AS (SELECT c_nationkey, string_agg(v, ', ' ORDER BY n DESC, v) AS conditions FROM c GROUP BY 1),
 x AS (SELECT c_nationkey, (c_custkey % 2)::VARCHAR AS v, count(*) AS n FROM customer GROUP BY 1, 2),
-s AS (SELECT c_nationkey, string_agg(v, ', ' ORDER BY n DESC, v) AS sexes FROM x GROUP BY 1)
+s AS (SELECT c_nationkey, string_agg(v || printf(' (%.1f%%)', n * 100.0 / t), ', ' ORDER BY n DESC, v) AS sexes FROM (SELECT *, sum(n) OVER (PARTITION BY c_nationkey) AS t FROM x) GROUP BY 1)
 SELECT c_nationkey, n_samples, ages, conditions, sexes, platform FROM b JOIN l USING (c_nationkey) JOIN s USING (c_nationkey)""")
 def dataset_summary(spark, d):
     c = _table(spark, d, "customer").withColumn("sex", F.col("c_custkey") % 2)
-    out = profile.dataset_summary(c, "c_nationkey", "c_acctbal", "c_mktsegment", "sex", "c_name")
-    return out.withColumn("sexes", F.regexp_replace("sexes", r" \([0-9.]+%\)", ""))
+    return profile.dataset_summary(c, "c_nationkey", "c_acctbal", "c_mktsegment", "sex", "c_name")
 
 
 @query("SELECT accession, bool_and(status IN ('resolved', 'missing') AND confidence > 0.6) AS accepted FROM (SELECT user_id AS accession, CASE WHEN event_type = 'error' THEN 'error' ELSE 'resolved' END AS status, CASE WHEN value < 3 THEN 0.5 ELSE 0.9 END AS confidence FROM events) GROUP BY 1")
@@ -749,11 +748,33 @@ def best_subject_field(spark, d):
     return lexical.best_field(candidates, n.select(F.lower("n_name").alias("t")), "field", "v", "t").withColumn("score", F.round("score", 6))
 
 
-@query()
+# what a user asked first as the label, items with their texts as the terms
+_BM25 = r"""WITH t AS (SELECT DISTINCT {term} AS term, {text} AS text FROM {terms}),
+w AS (SELECT term, text, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM t),
+g AS (SELECT term, text, list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 0),
+n AS (SELECT count(*) AS texts, avg(len(g)) AS mean FROM g), u AS (SELECT term, text, len(g) AS length, unnest(g) AS gram FROM g),
+c AS (SELECT term, text, length, gram, count(*) AS tf FROM u GROUP BY 1, 2, 3, 4), f AS (SELECT gram, count(*) AS df FROM c GROUP BY 1),
+p AS (SELECT term, text, gram, ln(1 + (texts - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean)) AS weight FROM c JOIN f USING (gram), n),
+l AS (SELECT DISTINCT {label} AS label FROM {labels}), lw AS (SELECT label, list_filter(regexp_split_to_array(lower(label), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l),
+q AS (SELECT label, unnest(list_distinct(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])))) AS gram FROM lw),
+s AS (SELECT label, term, text, sum(weight) AS score FROM q JOIN p USING (gram) GROUP BY 1, 2, 3), b AS (SELECT label, term, round(max(score), 9) AS score FROM s GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY score DESC, term) AS rank FROM b)
+SELECT label, rank, term, round(score, 6) AS score FROM r WHERE rank <= 5"""
+
+
+@query(_BM25.format(term="item_id", text="text", terms="benchmark", label="text", labels="conversations WHERE turn = 0"))
 def ontology_candidates(spark, d):
-    terms = harmonize.tissue_groups(spark).select(F.col("term_label").alias("term"))
-    labels = spark.createDataFrame([("Skeletal muscle",), ("whole blood",), ("lung tissue",)], "label string")
-    return harmonize.ontology_top(labels, terms, 5).withColumn("score", F.round("score", 6))
+    labels = _table(spark, d, "conversations").where("turn = 0").select(F.col("text").alias("label"))
+    terms = _table(spark, d, "benchmark").select(F.col("item_id").alias("term"), "text")
+    return harmonize.ontology_top(labels, terms).withColumn("score", F.round("score", 6))
+
+
+@query(_BM25.format(term="p_brand", text="p_name || ' ' || p_type", terms="part", label="lower(p_type) || ' ' || p_size || ' ' || p_name", labels="part"))
+def terms_with_synonyms(spark, d):
+    p = _table(spark, d, "part")
+    terms = p.select(F.col("p_brand").alias("term"), F.concat_ws(" ", "p_name", "p_type").alias("text"))
+    labels = p.select(F.concat_ws(" ", F.lower("p_type"), F.col("p_size").cast("string"), "p_name").alias("label"))
+    return harmonize.ontology_top(labels, terms).withColumn("score", F.round("score", 6))
 
 
 @query(r"SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^\w\s-]', '', 'g'), '[-\s]+', '-', 'g'), '-_') AS slug FROM part")
@@ -918,3 +939,65 @@ def thread_logs(spark, d):
     path = shared.folder(spark, "threads")
     event_log.write_by_thread(_table(spark, d, "events").select(F.col("event_type").alias("thread_id"), F.col("ts").alias("timestamp"), F.col("event_id").cast("string").alias("run_id")), path)
     return event_log.in_order(event_log.read_threads(spark, path, "click", "error"), "run_id").select("thread_id", "timestamp", "run_id")
+
+
+# ---- samples, layers and lookups
+
+
+@query("""WITH v AS (SELECT DISTINCT user_id, event_type, event_id::VARCHAR AS value FROM events), m AS (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY md5('0:' || user_id || ':' || event_type || ':' || value), value) AS place FROM v)
+SELECT user_id, event_type, place, value FROM m WHERE place <= 3""")
+def examples_per_key(spark, d):
+    return profile.examples(_table(spark, d, "events"), ["user_id", "event_type"], "event_id", 3)
+
+
+_LAYER = "SELECT 'net' AS model, 0 AS layer, p::VARCHAR AS source, u::VARCHAR AS target, ((p * 7 + u * 13) % 11 - 5) / 10.0 AS weight FROM range(64) a(p), range(5) b(u)"
+
+
+@query(f"""WITH c AS ({_CELLS}), w AS ({_LAYER}),
+h AS (SELECT accession, sample_id, target, sum(value * weight) + (target::INT - 2) / 10.0 AS x FROM c JOIN w ON probe::VARCHAR = source GROUP BY 1, 2, 3),
+a AS (SELECT accession, sample_id, target::INT AS u, greatest(x, 0.0) AS y FROM h)
+SELECT accession, sample_id, 'net' AS model, o::VARCHAR AS unit, round(tanh(sum(y * ((u * 3 + o) % 4 - 1.5)) + 0.1), 6) AS predicted FROM a, range(2) r(o) GROUP BY accession, sample_id, o""")
+def layered_model(spark, d):
+    one = lambda n, name: spark.range(n).select(F.col("id").alias(name))
+    first = one(64, "p").join(one(5, "u"), F.lit(True)).select(F.lit(0).alias("layer"), F.col("p").cast("string").alias("source"), F.col("u").cast("string").alias("target"), (((F.col("p") * 7 + F.col("u") * 13) % 11 - 5) / 10.0).alias("weight"))
+    second = one(5, "u").join(one(2, "o"), F.lit(True)).select(F.lit(1).alias("layer"), F.col("u").cast("string").alias("source"), F.col("o").cast("string").alias("target"), ((F.col("u") * 3 + F.col("o")) % 4 - 1.5).alias("weight"))
+    biases = one(5, "u").select(F.lit(0).alias("layer"), F.col("u").cast("string").alias("target"), ((F.col("u") - 2) / 10.0).alias("bias"), F.lit("relu").alias("activation"))
+    biases = biases.unionByName(one(2, "o").select(F.lit(1).alias("layer"), F.col("o").cast("string").alias("target"), F.lit(0.1).alias("bias"), F.lit("tanh").alias("activation")))
+    named = lambda df: df.withColumn("model", F.lit("net"))
+    return layers.predict(_cells(spark, d), named(first.unionByName(second)), named(biases), 4, 4).withColumn("predicted", F.round("predicted", 6))
+
+
+@query(f"""WITH c AS ({_CELLS}), s AS (SELECT DISTINCT accession, sample_id FROM c), w AS (SELECT unnest(range(58, 70)) AS probe)
+SELECT s.accession, s.sample_id, w.probe, round(value, 6) AS value FROM s CROSS JOIN w LEFT JOIN c ON c.accession = s.accession AND c.sample_id = s.sample_id AND c.probe = w.probe""")
+def aligned_to_model(spark, d):
+    long = _cells(spark, d)
+    return matrix.align(long, long, spark.range(58, 70).select(F.col("id").alias("probe"))).select("accession", "sample_id", "probe", F.round("value", 6).alias("value"))
+
+
+@query("SELECT * FROM nation")
+def first_readable(spark, d):
+    return files.read_first(spark, [f"{d}/no-such-table.parquet", f"{d}/nation.parquet", f"{d}/region.parquet"])
+
+
+@query("""SELECT 'quality' AS field, round(count(quality) / count(*), 9) AS parse_rate FROM documents LEFT JOIN labels USING (doc_id)
+UNION ALL SELECT 'lang', round(count(lang) / count(*), 9) FROM documents UNION ALL SELECT 'absent', 0.0""")
+def parse_rates(spark, d):
+    j = _table(spark, d, "documents").select("doc_id", "lang").join(_table(spark, d, "labels"), "doc_id", "left")
+    return profile.parse_rates(profile.coverage(j, ["lang", "quality", "toxic"], "doc_id"), ["quality", "lang", "absent"]).withColumn("parse_rate", F.round("parse_rate", 9))
+
+
+@query("""WITH t AS (SELECT c_custkey, CASE c_mktsegment WHEN 'BUILDING' THEN 'building' WHEN 'MACHINERY' THEN 'machines' ELSE c_mktsegment END AS segment, CASE c_nationkey % 3 WHEN 0 THEN 'zero' WHEN 1 THEN 'BUILDING' ELSE '2' END AS third FROM customer)
+SELECT c_custkey, segment, third FROM t""")
+def combined_maps(spark, d):
+    maps = {
+        "segment": spark.createDataFrame(_LABELS, _MAP),
+        "third": spark.createDataFrame([("0", "zero", 1), ("1", "BUILDING", 2)], _MAP),  # a target that is a source of the other concept
+    }
+    c = _table(spark, d, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), (F.col("c_nationkey") % 3).cast("string").alias("third"))
+    return harmonize.rewrite(c, harmonize.combine(maps), [("segment", "segment"), ("third", "third")])
+
+
+@query("""WITH g AS (SELECT * FROM (VALUES ('BUILDING', 'Brain'), ('MACHINERY', 'Heart')) v(source_label, target)) SELECT DISTINCT c_mktsegment AS label FROM customer WHERE c_mktsegment NOT IN (SELECT source_label FROM g)""")
+def unmapped_labels(spark, d):
+    labels = profile.labels(_table(spark, d, "customer"), "c_mktsegment")
+    return harmonize.unmapped(labels, spark.createDataFrame([("BUILDING", "Brain"), ("MACHINERY", "Heart")], "source_label string, target string"))

@@ -84,13 +84,35 @@ def read_first(spark: SparkSession, paths: Iterable[str]) -> DataFrame:
     raise FileNotFoundError(f"none of {tried} exists")
 
 
-def write_matrix(long: DataFrame, path: str) -> None:
-    """Parquet with zstd, dealt by accession so that one study is read alone."""
-    long.write.mode("overwrite").option("compression", "zstd").partitionBy("accession").parquet(path)
+#: Parameters: rows of a page and bytes of a row group, the units that a reader skips.
+PAGE_ROWS, GROUP_BYTES = 4096, 16 << 20
 
 
-def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+def write_matrix(long: DataFrame, path: str, page_rows: int = PAGE_ROWS, group_bytes: int = GROUP_BYTES) -> None:
+    """Parquet with zstd, dealt by accession so that one study is read alone, and in order of probes within it.
+
+    A model needs some hundred probes of hundreds of thousands.  In order, a probe's cells lie
+    in few pages, whose least and largest probe the file's index holds, and ranges of probes
+    lie in different files; so :func:`read_matrix` reads a small part.
+    """
+    placed = long.repartitionByRange("accession", "probe").sortWithinPartitions("accession", "probe")
+    writer = placed.write.mode("overwrite").option("compression", "zstd").option("parquet.page.row.count.limit", str(page_rows)).option("parquet.block.size", str(group_bytes))
+    writer.partitionBy("accession").parquet(path)
+
+
+def read_matrix(spark: SparkSession, path: str, probes: Iterable | None = None, accessions: Iterable[str] | None = None) -> DataFrame:
+    """The matrix, or its cells of some probes and accessions; a probe list is pushed into the files whatever its length."""
+    out = spark.read.parquet(path)
+    if accessions is not None:
+        out = out.where(F.col("accession").isin(*accessions))
+    if probes is not None:
+        # Spark pushes lists of up to ten values as they are, and of longer ones the bounds alone
+        wanted = sorted(set(probes))
+        parts = [F.col("probe").isin(*wanted[k : k + 10]) for k in range(0, len(wanted), 10)]
+        while len(parts) > 1:  # in pairs, so that the condition is not deep
+            parts = [a | b for a, b in zip(parts[::2], parts[1::2])] + parts[len(parts) // 2 * 2 :]
+        out = out.where(parts[0] if parts else F.lit(False))
+    return out
 
 
 def https(url):
