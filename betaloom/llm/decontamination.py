@@ -142,21 +142,20 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     pieces = starts.select("doc_id", "row_key", "length", F.explode(pieces).alias("starts"))
     hopeful = written(_in_batches(pieces, F.struct("length", "starts"), ["length", F.element_at("starts", 1)], F.size("starts"), STARTS_AT_ONCE), "hopeful")
 
-    def hashed_with(batches: DataFrame) -> DataFrame:
-        """``doc_id, row_key, batch, hashes``: the texts of the batches, split anew."""
-        named = batches.withColumnsRenamed({"doc_id": "d", "row_key": "k"})
-        read = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("doc_id", "row_key", "batch", words(F.col("text")).alias("w"))
-        return read.select("doc_id", "row_key", "batch", shingle_hashes("w").alias("hashes"))
-
-    # windows are named first, and only the different ones are cut out, a bounded number of values in a row
-    name = lambda length, start: F.xxhash64(length, F.slice("hashes", start + 1, length))
-    named = F.flatten(F.transform("batch", lambda x: F.transform(x["starts"], lambda s: F.struct(x["length"].alias("length"), s.alias("start"), name(x["length"], s).alias("window")))))
-    windows = hashed_with(hopeful).select("doc_id", "row_key", F.inline(named))
-    firsts = written(windows.groupBy("doc_id", "row_key", "window").agg(F.min("start").alias("start"), F.first("length").alias("length")), "windows")
-    one = firsts.groupBy("window").agg(F.min(F.struct("doc_id", "row_key", "start", "length")).alias("s")).select("window", "s.*")
-    cuts = written(_in_batches(one, F.struct("window", "length", "start"), ["start", "window"], F.col("length"), VALUES_AT_ONCE), "cuts")
-    cut = F.transform("batch", lambda x: F.struct(x["window"].alias("window"), x["length"].alias("length"), F.slice("hashes", x["start"] + 1, x["length"]).alias("window_hashes")))
-    different = written(hashed_with(cuts).select(F.inline(cut)).dropDuplicates(["window"]), "different-windows")
+    named = hopeful.withColumnsRenamed({"doc_id": "d", "row_key": "k"})
+    read = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("row_key") == F.col("k"))).select("doc_id", "row_key", "batch", words(F.col("text")).alias("w"))
+    read = read.select("doc_id", "row_key", "batch", shingle_hashes("w").alias("hashes"))
+    # windows are named first, and of a batch only the different ones are cut out, a bounded number of values in a row
+    each = F.flatten(F.transform("batch", lambda x: F.transform(x["starts"], lambda s: F.struct(F.xxhash64(x["length"], F.slice("hashes", s + 1, x["length"])).alias("window"), s.alias("start"), x["length"].alias("length")))))
+    read = read.select("doc_id", "row_key", "hashes", F.array_sort(each).alias("each"))
+    different_ones = F.filter("each", lambda x, n: (n == 0) | (x["window"] != F.get(F.col("each"), n - 1)["window"]))
+    read = read.select("doc_id", "row_key", "hashes", different_ones.alias("each"))
+    step = F.greatest(F.lit(1), F.floor(F.lit(VALUES_AT_ONCE) / F.array_max(F.transform("each", lambda x: x["length"]))).cast("int"))
+    parts = read.select("doc_id", "row_key", "hashes", F.explode(F.transform(F.sequence(F.lit(0), F.size("each") - 1, step), lambda n: F.slice("each", n + 1, step))).alias("part"))
+    windows = parts.select("doc_id", "row_key", F.inline(F.transform("part", lambda x: F.struct(x["window"].alias("window"), x["start"].alias("start"), x["length"].alias("length"), F.slice("hashes", x["start"] + 1, x["length"]).alias("window_hashes")))))
+    firsts = windows.groupBy("doc_id", "row_key", "window").agg(F.min("start").alias("start"), F.first("window_hashes").alias("window_hashes"), F.first("length").alias("length"))
+    firsts = written(firsts, "windows")
+    different = written(firsts.dropDuplicates(["window"]).select("window", "length", "window_hashes"), "different-windows")
 
     prints = fingerprint(different, ["window", "length"], "window_hashes")
     item_prints = written(fingerprint(wanted, ["item", "length"], "item_hashes"), "item-prints")
