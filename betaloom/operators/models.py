@@ -38,9 +38,18 @@ def predict(long: DataFrame, coefficients: DataFrame, models: DataFrame) -> Data
     """``accession, sample_id, model, predicted`` of complete inputs.
 
     coefficients: ``model, probe, weight``; models: ``model, intercept, link`` with link
-    ``adult_age`` or ``identity``.  All models are scored in one join and one aggregation.
+    ``adult_age`` or ``identity``.  All models are scored in one join and one
+    aggregation; a model with two weights for a probe counts their sum.
     """
-    sums = long.join(coefficients, "probe").groupBy("accession", "sample_id", "model").agg(F.sum(F.col("value") * F.col("weight")).alias("x"))
+    names = sorted({r["model"] for r in models.select("model").distinct().collect()})  # a name a model
+    if not names:
+        return long.sparkSession.createDataFrame([], f"accession {long.schema['accession'].dataType.simpleString()}, sample_id {long.schema['sample_id'].dataType.simpleString()}, model string, predicted double")
+    # a column of weights a model, so that a cell stays one row however many models there are
+    weights = [F.sum(F.when(F.col("model") == m, F.col("weight"))).alias(f"_w{k}") for k, m in enumerate(names)]
+    met = long.join(coefficients.groupBy("probe").agg(*weights), "probe").groupBy("accession", "sample_id")
+    totals = met.agg(*[F.sum(F.col("value") * F.col(f"_w{k}")).alias(f"_x{k}") for k in range(len(names))], *[F.count(f"_w{k}").alias(f"_n{k}") for k in range(len(names))])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"_x{k}").alias("x"), F.col(f"_n{k}").alias("n")) for k, m in enumerate(names)]))
+    sums = totals.select("accession", "sample_id", each.alias("s")).select("accession", "sample_id", "s.model", "s.x", "s.n").where("n > 0").drop("n")
     scored = sums.join(models, "model").withColumn("x", F.col("x") + F.col("intercept"))
     return scored.select("accession", "sample_id", "model", F.when(F.col("link") == "adult_age", adult_link(F.col("x"))).otherwise(F.col("x")).alias("predicted"))
 

@@ -124,3 +124,17 @@ def test_a_run_goes_on_where_it_stopped(spark, tmp_path):
     assert run(config)[0].found == []
     with pytest.raises(ValueError, match="digests"):
         pipelines.quality_control(spark.read.parquet(data), config, None, first)
+
+
+def test_small_predicates(spark):
+    """Detection columns, unchanged patterns, empty data, order of events, progress, whole values."""
+    from betaloom.operators import control, rules
+    from betaloom.sources import delimited
+
+    assert delimited.has_detection(10, 1000) and not delimited.has_detection(1000, 10)
+    columns = ["ID", "a.beta", "a.pval", "b.beta", "b.pval"]
+    assert delimited.unchanged(columns, ("beta", "pval"), ("BETA$", "p.al")) and not delimited.unchanged(columns, ("beta", "pval"), ("a.beta", "pval"))
+    df = spark.createDataFrame([event(3, "p", "x"), event(1, "q", "y"), event(3, "o", "z")], events.SCHEMA)
+    assert [r.path for r in events.in_order(df, "path").collect()] == ["q", "o", "p"]
+    assert control.is_empty(df.limit(0)) and not control.is_empty(df)
+    assert spark.range(1).select(control.progress(F.lit(2), F.lit(5)).alias("t")).first().t == "2 of 5 datasets"
