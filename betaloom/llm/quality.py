@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import field, map_texts, on_leave, written
-from .piece_bpe import MODEL, Memo, load
+from .piece_bpe import MODEL
 
 #: Scripts with bands of their own; all others share OTHER.
 SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "CJK", "HIRAGANA", "KATAKANA", "HANGUL", "ARABIC", "HEBREW", "DEVANAGARI", "BENGALI", "TAMIL", "THAI", "ARMENIAN", "GEORGIAN", "ETHIOPIC")
@@ -33,8 +33,6 @@ SCRIPTS = ("LATIN", "CYRILLIC", "GREEK", "CJK", "HIRAGANA", "KATAKANA", "HANGUL"
 #: distance of characters per token as a share of the median, of byte share and of entropy
 #: share; tokens of a block.
 FENCE, LEAST_SPREAD, TOKENS = 2.0, (0.05, 0.02, 0.02), 128
-#: Chunks kept in a worker's memo; it holds at most twice that, about 270 MB.
-MEMO_CHUNKS = 400_000
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
 
@@ -44,9 +42,16 @@ _WORDS = re.compile("[^\\x20\\x09-\\x0D]+")
 
 def repeated_words(words: list[str]) -> int:
     """Words that lie in a window of five words which the text holds twice or more, the first included."""
-    windows = list(zip(*(words[k:] for k in range(WINDOW))))
-    if len(set(windows)) == len(windows):
+    n = len(words) - WINDOW + 1
+    if n < 2:
+        return 0
+    # equal windows have equal sums; where all sums differ, as in most texts, so do all windows
+    codes = np.fromiter(map(hash, words), np.int64, len(words)).view(np.uint64)
+    with np.errstate(over="ignore"):
+        sums = np.sort(sum(codes[k : k + n] * np.uint64(2 * k + 3) ** np.uint64(9) for k in range(WINDOW)))
+    if (sums[1:] != sums[:-1]).all():
         return 0
+    windows = list(zip(*(words[k:] for k in range(WINDOW))))
     counts = Counter(windows)
     covered, upto = 0, 0
     for k, w in enumerate(windows):
@@ -81,19 +86,16 @@ def main_script(text: str) -> str:
     return min((-n, k) for n, k in zip(counts.tolist(), (*SCRIPTS, "OTHER")))[1] if counts.any() else "OTHER"
 
 
-def _tokens(path: str) -> Memo:
-    """Per chunk its ids and how many of them are bytes."""
-    bpe = load(path)
-
-    def look(chunk: str) -> tuple[tuple[int, ...], int]:
-        ids = bpe.chunk_ids(chunk)
-        return ids, sum(i in bpe.byte_of for i in ids)
+@functools.lru_cache(maxsize=2)
+def _library(path: str) -> tuple:
+    """The encoder of a model file, and per id whether it stands for a byte; one per worker process."""
+    import sentencepiece
 
-    return Memo(look, MEMO_CHUNKS)
+    encoder = sentencepiece.SentencePieceProcessor(model_file=path)
+    return encoder, np.array([encoder.is_byte(i) for i in range(encoder.get_piece_size())])
 
 
-_tokens = functools.lru_cache(maxsize=2)(_tokens)
-on_leave(__name__, lambda: _tokens.cache_clear())
+on_leave(__name__, lambda: _library.cache_clear())
 
 
 def fertility(text: str, path: str) -> tuple[float, float, float]:
@@ -101,14 +103,13 @@ def fertility(text: str, path: str) -> tuple[float, float, float]:
 
     A text without tokens measures 0 in all three.
     """
-    bpe, memo = load(path), _tokens(path)
-    found = [memo[c] for c in bpe.split(text)]
-    ids = [i for chunk, _ in found for i in chunk]
+    encoder, byte = _library(path)
+    ids = encoder.encode(text)
     n = len(ids)
     if not n:
         return 0.0, 0.0, 0.0
     # line feeds are bytes in this vocabulary and say nothing about the language
-    fallback = max(0, sum([b for _, b in found]) - text.count("\n"))
+    fallback = max(0, int(byte[np.array(ids)].sum()) - text.count("\n"))
     blocks = max(1, round(n / TOKENS))
     size = -(-n // blocks)
     share = sum(_evenness(ids[lo : lo + size]) for lo in range(0, n, size)) / -(-n // size)
