@@ -64,6 +64,23 @@ def test_neighbours_equal_the_dense_version(spark, weights, block, cells, neares
         assert [v for v in found[key] if v is not None] == pytest.approx([v for v in values if v is not None], abs=1e-9), key
 
 
+def test_neighbours_make_no_table_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    rows = [("one", k, None, [None if v < -1 else float(v) for v in rng.normal(size=6)]) for k in range(300)]
+    keep, counts = impute.written, {}
+
+    def counted(df, name):
+        out = keep(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(impute, "written", counted)
+    got = {r.sample_id: r["values"] for r in impute.knn(spark.createDataFrame(rows, DENSE), neighbours=3, block=20, cells=600, nearest=8).collect()}
+    assert max(counts.values()) <= 300 * 6, counts  # pairs would be 90,000
+    want = plain_knn([(*r[:3], r[3]) for r in rows], 3, "uniform")
+    assert all(got[k] == pytest.approx(want["one", k], abs=1e-9) for k in got) and len(got) == 300
+
+
 def test_one_study_is_spread_over_tasks(spark):
     rng = np.random.default_rng(1)
     rows = [("one", k, None, [None if v < -1 else float(v) for v in rng.normal(size=40)]) for k in range(60)]
