@@ -841,7 +841,7 @@ def delimited_ingest(spark, d):
     rows = cells.groupBy("probe").agg(row.alias("r")).select(F.concat(F.format_string("cg%04d", "probe"), F.lit("\t"), "r").alias("value"), F.col("probe").alias("o"))
     comment = spark.createDataFrame([("# processed values", -2)], "value string, o int")
     path = shared.folder(spark, "delimited")
-    comment.unionByName(head).unionByName(rows).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    comment.unionByName(head).unionByName(rows).repartitionByRange("o").sortWithinPartitions("o").select("value").write.text(path)
     return delimited.format_matrix(spark, path, accession="study", detection_pattern=None)
 
 

@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.matrix import clean, detection_mask
+from .shared import written
 
+DELIMITERS = ("\t", ",", " ")
 HEADER_LINES, LIGHT_ROWS, LIGHT_ROWS_WIDE, WIDE = 20, 2000, 20, 5000
 
 
 def delimiter(line: str) -> str:
     """Tab, then comma, then blank."""
-    for d in ("\t", ",", " "):
+    for d in DELIMITERS:
         if d in line:
             return d
     raise ValueError("no delimiter in the header")
@@ -101,13 +103,71 @@ def to_long(df: DataFrame, probe: str, values: list[str], detections: dict[str,
     return long.select("accession", "sample_id", "probe", "value")
 
 
+def _fields(line: Column, d: str) -> Column:
+    """A line's fields; quoted ones may hold the delimiter, a doubled quote stands for one."""
+    e = re.escape(d)
+    quoted = F.regexp_extract_all(F.concat(F.lit(d), line), F.lit(f'{e}("(?:[^"]++|"")*+"|[^{e}]*)'), 1)
+    bare = F.transform(quoted, lambda v: F.when(v.rlike(r'(?s)^".*"$'), F.replace(F.substr(v, F.lit(2), F.length(v) - 2), F.lit('""'), F.lit('"'))).otherwise(v))
+    return F.when(line.contains('"'), bare).otherwise(F.split(line, e, -1))
+
+
+def lines(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, str]:
+    """(lines of data as ``value``, one row with the header as ``line``, delimiter); the header may be of any width.
+
+    The header is the first line of the first file that is neither blank nor a comment; files
+    may repeat it.
+    """
+    text = spark.read.text(path)
+    first = text.where("_metadata.file_block_start = 0").select(F.col("_metadata.file_path").alias("file"), "value").withColumn("n", F.monotonically_increasing_id())
+    counts = (F.trim("value") != "") & ~F.ltrim("value").startswith("#")
+    heads = first.groupBy("file").agg(F.min("n").alias("least"), F.min(F.when(counts, F.col("n"))).alias("n"), F.min_by(F.when(counts, F.col("value")), F.when(counts, F.col("n"))).alias("line"))
+    head = written(heads.orderBy("file").limit(1), "header")
+    found = head.select((F.col("n") - F.col("least")).alias("at"), *[F.contains("line", F.lit(d)).alias(f"d{k}") for k, d in enumerate(DELIMITERS)]).first()
+    if found is None or found["at"] is None or found["at"] >= HEADER_LINES:
+        raise ValueError(f"no header within {HEADER_LINES} lines of {path}")
+    d = delimiter("".join(d for k, d in enumerate(DELIMITERS) if found[f"d{k}"]))
+    head = head.select("line")
+    data = text.where((F.trim("value") != "") & ~F.col("value").startswith("#"))
+    return data.join(F.broadcast(head), F.col("value") != F.col("line")).select("value"), head, d
+
+
+def _columns(head: DataFrame, d: str, probe: int, value_pattern: str, detection_pattern: str | None) -> DataFrame:
+    """One row, ``columns array<struct<sample_id, v, d>>``: names of value columns, their places and those of their detections."""
+    from ..operators.lexical import best
+
+    clean_name = lambda c: F.lower(F.btrim(F.regexp_replace(c, r"^\s+|\s+$", ""), F.lit('"')))
+    named = F.transform(_fields(F.col("line"), d), lambda c, k: F.struct(clean_name(c).alias("name"), k.alias("k")))
+    others = head.select(F.filter(named, lambda c: c["k"] != probe).alias("c"))
+    like = lambda c, pattern: c["name"].rlike("(?iu)" + pattern)
+    is_detection = (lambda c: like(c, detection_pattern)) if detection_pattern else (lambda c: F.lit(False))
+    split = others.select(F.filter("c", is_detection).alias("detections"), F.filter("c", lambda c: ~is_detection(c)).alias("rest"))
+    split = split.withColumn("chosen", F.filter("rest", lambda c: like(c, value_pattern)))
+    split = split.select("detections", F.when(F.size("chosen") > 0, F.col("chosen")).otherwise(F.col("rest")).alias("chosen"))
+    if not detection_pattern or not split.where(F.size("detections") > 0).count():
+        return split.select(F.transform("chosen", lambda c: F.struct(c["name"].alias("sample_id"), c["k"].alias("v"), F.lit(None).cast("int").alias("d"))).alias("columns"))
+    values, detections = (split.select(F.inline(c)) for c in ("chosen", "detections"))
+    pairs = best(values, detections, "name", "name").select("a", "b")
+    places = detections.groupBy(F.col("name").alias("b")).agg(F.min("k").alias("d"))
+    paired = values.join(pairs, F.col("name") == F.col("a")).join(places, "b")
+    return paired.agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "name", "d"))), lambda c: F.struct(c["name"].alias("sample_id"), c["k"].alias("v"), c["d"].alias("d"))).alias("columns"))
+
+
 def format_matrix(spark: SparkSession, path: str, value_pattern: str = "beta", detection_pattern: str | None = "detection|pval", accession: str = "all") -> DataFrame:
-    """The whole way from a file to the long matrix; the probe column is judged by all rows."""
-    df = read(spark, path)
-    probe = probe_column(df)
-    others = [c for c in df.columns if c != probe]
-    values, _ = columns_like(others, value_pattern)
-    detections = columns_like(others, detection_pattern)[0] if detection_pattern else []
-    values = [c for c in values if c not in detections] or [c for c in others if c not in detections]
-    pairs = pair_columns(spark, values, detections) if detections else None
-    return to_long(df, probe, values, pairs, accession)
+    """The whole way from a file to the long matrix; the probe column is judged by all rows.
+
+    A file has a column or two per sample, which may be too many for a table's columns: lines
+    are cut into arrays, and the header is an array beside them.
+    """
+    data, head, d = lines(spark, path)
+    n = head.select(F.least(F.lit(5), F.size(_fields(F.col("line"), d)))).first()[0]
+    fields = data.select(_fields(F.col("value"), d).alias("f"))
+    leading = fields.select(*[F.nullif(F.get("f", F.lit(k)), F.lit("")).alias(f"c{k}") for k in range(n)])
+    probe = int(probe_column(leading)[1:])
+    columns = written(_columns(head, d, probe, value_pattern, detection_pattern), "columns")
+    number = lambda k: clean(F.get("f", k).try_cast("double"))
+    cells = F.transform("columns", lambda c: F.struct(c["sample_id"].alias("sample_id"), number(c["v"]).alias("value"), number(c["d"]).alias("detection")))
+    keyed = fields.select(F.nullif(F.get("f", F.lit(probe)), F.lit("")).alias("probe"), "f").where("probe is not null")
+    long = keyed.join(F.broadcast(columns)).select(F.lit(accession).alias("accession"), "probe", F.inline(cells))
+    if columns.where(F.exists("columns", lambda c: c["d"].isNotNull())).count():
+        long = detection_mask(long, ["accession", "sample_id"])
+    return long.select("accession", "sample_id", "probe", "value")

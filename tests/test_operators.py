@@ -169,6 +169,22 @@ def test_uploads():
     assert got == ["GSE1", "gse2", "GSE3"]
 
 
+def test_delimited_matrix_of_more_columns_than_a_table_has(spark, tmp_path):
+    folder = tmp_path / "wide"
+    folder.mkdir()
+    n = 21_000  # the CSV reader ends at 20,480
+    head = "ID_REF," + ",".join(f'"S{k}, Beta"' if k == 7 else f"S{k}_Beta" for k in range(n))
+    line = lambda p: f'"cg{p}",' + ",".join('"0.5"' if k == 3 else "" if k == 5 else str((k + p) % 10 / 10) for k in range(n))
+    (folder / "part-0.csv").write_text("# note\n" + head + "\n" + line(1) + "\n")
+    (folder / "part-1.csv").write_text(head + "\n" + line(2) + "\n\n" + "cg3,0.25\n")
+    got = values(delimited.format_matrix(spark, str(folder)), "probe", "sample_id", "value")
+    assert len(got) == 3 * n and got["cg1", "s3_beta"] == 0.5 and got["cg1", "s5_beta"] is None and got["cg2", "s20999_beta"] == 0.1 and got["cg2", "s7, beta"] == 0.9
+    assert got["cg3", "s0_beta"] == 0.25 and got["cg3", "s1_beta"] is None
+    (tmp_path / "empty.csv").write_text("# a\n" * 20 + head)
+    with pytest.raises(ValueError, match="no header"):
+        delimited.format_matrix(spark, str(tmp_path / "empty.csv"))
+
+
 def test_delimited_matrix(spark, tmp_path):
     path = tmp_path / "m.txt.gz"
     rows = "\n".join(f"cg{k:03d}\t0.{k % 9 + 1}\t{0.01 if k % 2 else 0.2}\t0.5\t0.5" for k in range(20))
