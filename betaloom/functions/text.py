@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
@@ -137,13 +138,32 @@ def append_list(text: Column, values: Column, title: str = "Datasets of Interest
     return F.when(F.size(values) > 0, F.concat(text, F.lit(f"\n{title}: "), F.array_join(values, ", "))).otherwise(text)
 
 
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _pairs(values: Column) -> Column:
+    """``key: value`` strings as structs; the part after a second colon is lost."""
+    parts = F.transform(F.filter(values, lambda v: v.contains(":")), lambda v: F.split(v, ":"))
+    return F.transform(parts, lambda p: F.struct(F.trim(p[0]).alias("key"), F.trim(p[1]).alias("value")))
+
+
+def _last(pairs: Column) -> Column:
+    """Of equal keys the last."""
+    return named(pairs, lambda x: F.filter(x, lambda p, i: ~F.exists(F.slice(x, i + 2, F.size(x)), lambda q: q["key"] == p["key"])))
+
+
 def key_values(values: Column) -> Column:
     """``key: value`` strings to a map: the part after a second colon is lost, the last of equal keys wins."""
-    parts = F.transform(F.filter(values, lambda v: v.contains(":")), lambda v: F.split(v, ":"))
-    pairs = F.transform(parts, lambda p: F.struct(F.trim(p[0]).alias("key"), F.trim(p[1]).alias("value")))
     # keep the last of equal keys by hand: duplicate keys are an error by Spark's default
-    last = F.filter(pairs, lambda p, i: ~F.exists(F.slice(pairs, i + 2, F.size(pairs)), lambda q: q["key"] == p["key"]))
-    return F.map_from_entries(last)
+    return F.map_from_entries(_last(_pairs(values)))
+
+
+def value_of_key(values: Column, key: str) -> Column:
+    """The value of the first key of :func:`key_values` that equals ``key`` but for case."""
+    alike = F.filter(_pairs(values), lambda e: F.lower(e["key"]) == key.lower())
+    return F.get(_last(alike), F.lit(0))["value"]
 
 
 def json_object(text: Column, path: str) -> Column:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import key_values
+from ..functions.text import key_values, named, value_of_key
 
 CONCEPTS = ("subject_id", "age", "tissue", "cell_type", "condition", "sex", "disease_status", "platform")
 
@@ -39,6 +39,16 @@ def whole_value(rule: Rule) -> Rule:
     return Rule(**{**rule.__dict__, "pattern": r"([\s\S]*)", "group": 1})
 
 
+def _read(values: Column, rule: Rule) -> Column:
+    """``struct<got, raw>`` of :func:`apply`; each part is computed once."""
+    pattern = "(?i)" + (rule.pattern or "")
+    take = lambda v: F.when(v.rlike(pattern), F.regexp_extract(v, pattern, rule.group))
+    if rule.key is not None:
+        return named(value_of_key(values, rule.key), lambda v: F.struct(take(v).alias("got"), v.alias("raw")))
+    last = lambda v: F.get(v, F.size(v) - 1)
+    return named(values, lambda x: F.struct(take(last(F.filter(x, lambda v: v.rlike(pattern)))).alias("got"), last(x).alias("raw")))
+
+
 def apply(values: Column, rule: Rule) -> tuple[Column, Column]:
     """(extracted, raw) from an array of strings.
 
@@ -46,27 +56,18 @@ def apply(values: Column, rule: Rule) -> tuple[Column, Column]:
     Without: the last value that matches, and the last value as raw.  Null, not empty,
     where nothing matches.
     """
-    pattern = "(?i)" + (rule.pattern or "")
-    take = lambda v: F.when(v.rlike(pattern), F.regexp_extract(v, pattern, rule.group))
-    if rule.key is not None:
-        entries = F.map_entries(key_values(values))
-        raw = F.element_at(F.filter(entries, lambda e: F.lower(e["key"]) == rule.key.lower()), 1)["value"]
-        raw = F.when(F.exists(entries, lambda e: F.lower(e["key"]) == rule.key.lower()), raw)
-        return take(raw), raw
-    matching = F.filter(values, lambda v: v.rlike(pattern))
-    found = F.when(F.size(matching) > 0, take(F.element_at(matching, -1)))
-    return found, F.when(F.size(values) > 0, F.element_at(values, -1))
+    read = _read(values, rule)
+    return read["got"], read["raw"]
 
 
-def value(fields: Column, rule: Rule) -> tuple[Column, Column, Column]:
-    """(value, raw, failed): nulls for missing or failed rules, the constant of a constant rule."""
+def value(fields: Column, rule: Rule) -> Column:
+    """``struct<got, raw>``: nulls for missing or failed rules, the constant of a constant rule."""
     none = F.lit(None).cast("string")
     if rule.status != "resolved":
-        return none, none, F.lit(False)
+        return F.struct(none.alias("got"), none.alias("raw"))
     if rule.constant is not None:
-        return F.lit(rule.constant), none, F.lit(False)
-    got, raw = apply(F.element_at(fields, rule.field), rule)
-    return got, raw, raw.isNotNull() & got.isNull()
+        return F.struct(F.lit(rule.constant).alias("got"), none.alias("raw"))
+    return _read(F.element_at(fields, rule.field), rule)
 
 
 def extract(samples: DataFrame, rules: Mapping[str, Rule], fields: str = "fields", sample: str = "gsm") -> DataFrame:
@@ -74,16 +75,18 @@ def extract(samples: DataFrame, rules: Mapping[str, Rule], fields: str = "fields
 
     Age fails only where the raw value has a digit.
     """
+    read = samples.select(F.col(sample), *[value(F.col(fields), rule).alias(f"_{k}") for k, rule in enumerate(rules.values())])
     columns, failures = [F.col(sample)], []
-    for concept, rule in rules.items():
-        got, raw, failed = value(F.col(fields), rule)
+    for k, concept in enumerate(rules):
+        got, raw = F.col(f"_{k}.got"), F.col(f"_{k}.raw")
+        failed = raw.isNotNull() & got.isNull()
         if concept == "age":
             number = got.try_cast("double")
             got = F.when(~F.isnan(number), number)
             failed = raw.isNotNull() & got.isNull() & raw.rlike("[0-9]")
         columns.append(got.alias(concept))
         failures.append(F.when(failed, F.struct(F.lit(concept).alias("concept"), raw.alias("raw"))))
-    return samples.select(*columns, F.array_compact(F.array(*failures)).alias("failures"))
+    return read.select(*columns, F.array_compact(F.array(*failures)).alias("failures"))
 
 
 def failures(extracted: DataFrame) -> DataFrame:

@@ -101,6 +101,14 @@ def test_extraction_rules(spark):
         rules.Rule("x", confidence=2)
 
 
+def test_rules_read_a_value_once(spark):
+    df = spark.createDataFrame([(1, {"ch": ["a: 1", "A: 2", None, "a: 3", "b: x"]}), (2, {"ch": []}), (3, None), (4, {"ch": ["a: ?"]})], "gsm int, fields map<string,array<string>>")
+    found = rules.extract(df, {"age": rules.Rule("age", field="ch", key="a", pattern="([0-9]+)"), "sex": rules.Rule("sex", field="ch", pattern="b: (.)"), "tissue": rules.Rule("tissue", constant="c")})
+    got = {r.gsm: (r.age, r.sex, r.tissue, [tuple(f) for f in r.failures]) for r in found.collect()}
+    assert got == {1: (2.0, "x", "c", []), 2: (None, None, "c", []), 3: (None, None, "c", []), 4: (None, None, "c", [("sex", "a: ?")])}
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1  # each use cut the texts anew before
+
+
 def test_label_maps(spark):
     guesses = spark.createDataFrame([("unknown_label", "unmatched"), ("missing_label", "nothing")], "source_label string, target_label string")
     selections = spark.createDataFrame([("some_other", "DOID:1234", "mondo", 1)], "source_label string, target_label string, ontology string, seq int")
