@@ -71,6 +71,37 @@ def lcs_lengths(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
+def lcs_with(texts: list[str]) -> Callable[[str], np.ndarray]:
+    """Of texts of one length: gives their longest common subsequences with a text; common ends are gone through once."""
+    order = sorted(range(len(texts)), key=lambda k: texts[k][::-1])
+    x = _codes([texts[k][::-1] for k in order]) if texts and texts[0] else np.zeros((len(texts), 0), np.uint32)
+    letters, x = np.unique(x, return_inverse=True)
+    x = x.reshape(len(texts), -1)
+    steps, new, before = [], np.arange(len(texts)) == 0, np.zeros(len(texts), np.int64)
+    for c in x.T:
+        new = new | np.r_[False, c[1:] != c[:-1]]
+        steps.append((before[new] if new.sum() != before[-1] + 1 else None, c[new]))
+        before = np.cumsum(new) - 1
+    back = np.empty(len(texts), np.int64)
+    back[order] = before
+
+    def run(text: str) -> np.ndarray:
+        if len(text) > 64:
+            return lcs_lengths([text] * len(texts), texts)
+        masks = np.array([sum(1 << k for k, t in enumerate(reversed(text)) if ord(t) + 1 == v) for v in letters.tolist()], np.uint64)
+        row = np.full(1, ~np.uint64(0))
+        for parent, c in steps:
+            if parent is not None:
+                row = row[parent]
+            hit = masks[c]
+            met = row & hit
+            row = (row + met) | (row & ~hit)
+        mask = (1 << len(text)) - 1
+        return np.bitwise_count(~row & np.uint64(mask)).astype(np.int64)[back]
+
+    return run
+
+
 def _codes(texts: list[str], width: int | None = None) -> np.ndarray:
     """Characters plus one, a row a text; what is beyond a text is 0."""
     width = width or max(map(len, texts))

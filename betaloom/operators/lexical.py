@@ -8,13 +8,16 @@ numbers, words and pairs of neighbouring characters.  First each class asks for
 of its own; the best score found is its floor.  A better partner must then reach the floor,
 which says how many numbers or pairs of characters it shares, so that asking for as many of
 the rarest as leave no way around finds it (a prefix filter), or how far its length may be.
-What no list can tell, such as labels that share nothing, meets by length alone.  Built-in
+What no list can tell, such as labels that share nothing, meets by length alone: a task then
+holds a part of one side and hands on the best of it, so that no such pair is shuffled.  Built-in
 functions bound each candidate; the similarity of characters is computed where the bound
 reaches the floor.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,8 +27,9 @@ from ..sources.shared import discard, written
 #: Parameters of the score: weights of token similarity, words and numbers.
 TOKENS, WORDS, NUMBERS = 0.45, 0.10, 0.45
 #: Parameters: rarest tokens and pairs of characters that are asked for first, similarity from
-#: which pairs of characters are asked for, at most so many right labels meet all left ones.
-FIRST_TOKENS, FIRST_GRAMS, GRAMS_FROM, CELL = 2, 2, 0.88, 20_000
+#: which pairs of characters are asked for, at most so many right labels meet all left ones,
+#: left labels of a task.
+FIRST_TOKENS, FIRST_GRAMS, GRAMS_FROM, CELL, LEFTS = 2, 2, 0.88, 20_000, 10_000
 _EPS = 1e-9
 
 
@@ -119,14 +123,55 @@ def _second_round(x: DataFrame, y: DataFrame, penalty: bool, gamma: float) -> Da
         n = F.size(F.col("f.tokens"))
         numbers = F.when(F.col("numbered"), 0.0 if numbered else 0.6).otherwise(0.6 if numbered else 1.0)
         mine = x.where((theta <= 1) & ~by_grams & (low <= high)).select(F.col("s").alias("a"), size.alias("_size"), n.alias("_n"), floor.alias("_floor"), (WORDS + NUMBERS * numbers).alias("_rest"), F.explode(F.sequence(low, high)).alias("size"))
-        others = theirs.select(F.col("s").alias("b"), "size", n.alias("_m"))
-        # lengths and numbers of tokens alone leave out most of those that meet
-        ceiling = F.coalesce(F.try_divide(2 * F.least("_size", "size"), F.col("_size") + F.col("size")), F.lit(1.0))
-        factor = T.count_penalty(F.col("_n"), F.col("_m"), gamma) if penalty else F.lit(1.0)
-        found = found.unionByName(mine.join(others, "size").where((TOKENS * ceiling + F.col("_rest")) * factor >= F.col("_floor")).select("a", "b"))
+        found = found.unionByName(_nearest(mine, theirs.withColumn("_m", n), x, numbered, penalty, gamma))
     return found
 
 
+def _nearest(mine: DataFrame, theirs: DataFrame, x: DataFrame, numbered: bool, penalty: bool, gamma: float) -> DataFrame:
+    """``a, b``: of those that meet by length, per left class and part of the right the best one, numbers taken as not shared.
+
+    Pairs that share numbers score more than that, and the lists of numbers find them.  A task
+    meets LEFTS left classes with one part of at most CELL right ones of one length.
+    """
+    part = F.pmod(F.xxhash64("s"), F.greatest(F.lit(1), F.ceil(F.col("_all") / CELL)).cast("int")).alias("part")
+    sizes = theirs.groupBy("size", "_m").agg(F.count("*").alias("_all"))
+    # lengths and numbers of tokens alone leave out most of those that meet
+    ceiling = F.coalesce(F.try_divide(2 * F.least("_size", "size"), F.col("_size") + F.col("size")), F.lit(1.0))
+    factor = T.count_penalty(F.col("_n"), F.col("_m"), gamma) if penalty else F.lit(1.0)
+    asks = mine.join(F.broadcast(sizes), "size").where((TOKENS * ceiling + F.col("_rest")) * factor >= F.col("_floor"))
+    counts = asks.groupBy("size", "_m").agg(F.max("_all").alias("_all"), F.greatest(F.lit(1), F.ceil(F.count("*") / LEFTS)).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("a"), F.col("blocks"))
+    asks = asks.drop("_all").join(F.broadcast(counts), ["size", "_m"]).withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.col("_all") / CELL)).cast("int") - 1)))
+    asks = asks.join(x.select(F.col("s").alias("a"), F.col("f.words").alias("words"), (F.col("numbered")).alias("numbered")), "a").select("size", "_m", "block", "part", "a", "words", "numbered", "_n", "_floor")
+    met = theirs.join(F.broadcast(counts), ["size", "_m"]).select("size", "_m", F.explode(F.sequence(F.lit(0).cast("long"), (F.col("blocks") - 1).cast("long"))).alias("block"), part, F.col("s").alias("b"), "first", F.col("f.words").alias("words"))
+    keys = ["size", "_m", "block", "part"]
+    asks, met = (df.select(*[F.col(c).alias(f"{side}_{c}") for c in keys], *[c for c in df.columns if c not in keys]) for df, side in ((asks, "left"), (met, "right")))
+
+    def best_of(lefts: pd.DataFrame, rights: pd.DataFrame) -> pd.DataFrame:
+        if not len(lefts) or not len(rights):
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
+        rights = rights.sort_values("first", ignore_index=True)
+        names, size, m = rights["b"].tolist(), int(rights["right_size"].iloc[0]), int(rights["right__m"].iloc[0])
+        sets: dict[frozenset, int] = {}
+        kind = np.array([sets.setdefault(frozenset(w), len(sets)) for w in rights["words"]])
+        lcs = T.lcs_with(names)
+        out: list[tuple[str, str]] = []
+        for a, words, has, n, floor in zip(lefts["a"], lefts["words"], lefts["numbered"], lefts["_n"], lefts["_floor"]):
+            w = frozenset(words)
+            shared = np.array([len(w & v) / len(w | v) if w or v else 1.0 for v in sets])
+            similar = 2 * lcs(a) / (len(a) + size) if len(a) + size else np.ones(len(names))
+            numbers = 0.6 if has != numbered else 0.0 if numbered else 1.0
+            value = TOKENS * similar + WORDS * shared[kind] + NUMBERS * numbers
+            if penalty and max(n, m):
+                value = value * np.exp(-gamma * abs(n - m) / max(n, m))
+            at = int(np.argmax(value >= value.max() - 1e-12))  # the first label among equals
+            if value[at] >= floor - _EPS:
+                out.append((a, names[at]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+    return asks.groupBy(*[f"left_{c}" for c in keys]).cogroup(met.groupBy(*[f"right_{c}" for c in keys])).applyInPandas(best_of, "a string, b string")
+
+
 def scores(left: DataFrame, right: DataFrame, a: str, b: str, penalty: bool = True) -> DataFrame:
     """``a, b, score`` for every pair of distinct labels, for a right side of at most CELL labels, which every left label meets.
 

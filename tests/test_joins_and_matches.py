@@ -117,3 +117,20 @@ def test_files_are_registered_and_the_first_is_read(spark):
     assert r.bytes == 4 and r.sha256 == hashlib.sha256(b"abc\n").hexdigest() and r.recorded_at is not None
     with pytest.raises(FileNotFoundError):
         files.read_first(spark, [path + "-no", path + "-none"])
+
+
+def test_labels_that_meet_by_length_alone_are_not_shuffled_in_pairs(spark, monkeypatch):
+    left = spark.range(400).select(F.format_string("Customer#%09d", F.col("id") + 1000).alias("v"))
+    right = spark.range(300).select(F.format_string("Supplier#%09d", "id").alias("v"))
+    monkeypatch.setattr(lexical, "CELL", 100)
+    seen, bounded = [], lexical._bounded
+    monkeypatch.setattr(lexical, "_bounded", lambda pairs, *rest: (seen.append(pairs.count()), bounded(pairs, *rest))[1])
+    got = {r.a: (r.b, round(r.score, 9)) for r in lexical.best(left, right, "v", "v").collect()}
+    assert max(seen) < 400 * 20, seen  # of 120,000 pairs
+    monkeypatch.setattr(lexical, "CELL", 20_000)
+    every = lexical.scores(left, right, "v", "v").withColumn("score", F.round("score", 9))
+    want = {r.a: (r.m["b"], -r.m["s"]) for r in every.groupBy("a").agg(F.min(F.struct((-F.col("score")).alias("s"), "b")).alias("m")).collect()}
+    assert got == want
+    rng = random.Random(2)
+    texts = list({"".join(rng.choices("ab 0é", k=7)) for _ in range(60)})
+    assert all(T.lcs_with(texts)(a).tolist() == T.lcs_lengths([a] * len(texts), texts).tolist() for a in ["", "ab0", "0é a" * 16, "ab 0" * 20])
