@@ -32,52 +32,74 @@ def grams(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """``postings``: gram, text number, term, weight; ``known``: per gram its number of texts and best weight."""
+    """``postings``: gram, text number, weight; ``known``: per gram its number of texts and best weight; ``terms``: of each text number in order.
+
+    Terms with one text share its number and postings, but count as so many texts.
+    """
 
     postings: DataFrame
     known: DataFrame
+    terms: DataFrame
 
 
 def index(terms: DataFrame, term: str, text: str, k1: float = K1, b: float = B) -> Index:
     """Of a table with a row per term and text; a null term or a text without words is left out, repeated rows count once."""
-    rows = terms.select(F.col(term).alias("term"), F.col(text).alias("text")).where("term is not null").distinct().withColumn("g", grams(F.col("text"))).where(F.size("g") > 0)
-    rows = written(rows.select(F.xxhash64("term", "text").alias("doc"), "term", F.size("g").alias("length"), "g"), "texts")
-    totals = rows.agg(F.count("*").alias("texts"), F.avg("length").alias("mean"))  # one row
-    counts = rows.select("doc", "term", "length", F.explode("g").alias("gram")).groupBy("doc", "term", "length", "gram").agg(F.count("*").alias("tf"))
-    frequency = counts.groupBy("gram").agg(F.count("*").alias("df"))
+    pairs = terms.select(F.col(term).alias("term"), F.col(text).alias("text")).where("term is not null and text is not null").distinct()
+    pairs = written(pairs.select(F.xxhash64("text").alias("doc"), "term", "text"), "terms")
+    rows = pairs.groupBy("doc", "text").agg(F.count("*").alias("n")).withColumn("g", grams(F.col("text"))).where(F.size("g") > 0)
+    rows = written(rows.select("doc", "n", F.size("g").alias("length"), "g"), "texts")
+    totals = rows.agg(F.sum("n").alias("texts"), (F.sum(F.col("n") * F.col("length")) / F.sum("n")).alias("mean"))  # one row
+    counts = rows.select("doc", "n", "length", F.explode("g").alias("gram")).groupBy("doc", "n", "length", "gram").agg(F.count("*").alias("tf"))
+    frequency = counts.groupBy("gram").agg(F.sum("n").alias("df"))
     weighed = counts.join(frequency, "gram").join(F.broadcast(totals), F.lit(True))
     rare = F.log(1 + (F.col("texts") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weight = rare * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    postings = written(weighed.select("gram", "doc", "term", weight.alias("weight")), "postings")
-    return Index(postings, written(postings.groupBy("gram").agg(F.count("*").alias("df"), F.max("weight").alias("most")), "grams"))
+    postings = written(weighed.select("gram", "doc", weight.alias("weight"), "df"), "postings")
+    known = written(postings.groupBy("gram").agg(F.max("df").alias("df"), F.count("*").alias("different"), F.max("weight").alias("most")), "grams")
+    return Index(postings.drop("df"), known, pairs.select("doc", "term"))
 
 
 def search(labels: DataFrame, label: str, over: Index, k: int = 5, frequent: int = FREQUENT) -> DataFrame:
     """``label, rank, term, score``: the k best terms of each distinct label, the first in order among equals (to nine digits).
 
-    Labels that share no gram with any term have no rows.
+    Labels that share no gram with any term have no rows.  Labels with the same known grams
+    are searched once.
     """
-    asked = labels.select(F.col(label).alias("label")).where("label is not null").distinct().select("label", F.explode(F.array_distinct(grams(F.col("label")))).alias("gram")).join(over.known, "gram")
-    asked = written(asked.withColumn("common", F.col("df") > frequent), "asked")
-    if not over.known.where(F.col("df") > frequent).limit(1).count():
-        return _best(_summed(asked, over.postings), k)
-    often = over.postings.join(over.known.where(F.col("df") > frequent).select("gram"), "gram", "left_semi")
+    asked = labels.select(F.col(label).alias("name")).where("name is not null").distinct().select("name", F.explode(F.array_distinct(grams(F.col("name")))).alias("gram")).join(over.known.select("gram"), "gram")
+    named = written(asked.groupBy("name").agg(F.array_join(F.sort_array(F.collect_list("gram")), ",").alias("label")), "labels")
+    asked = named.select("label").distinct().select("label", F.explode(F.split("label", ",")).alias("gram")).join(over.known, "gram")
+    asked = written(asked.withColumn("common", F.col("different") > frequent), "asked")
+    found = written(_searched(asked, over, k, frequent), "found")
+    return named.join(found, "label").select(F.col("name").alias("label"), "rank", "term", "score")
+
+
+def _searched(asked: DataFrame, over: Index, k: int, frequent: int) -> DataFrame:
+    listed = _first_terms(over.terms, k)
+    if not over.known.where(F.col("different") > frequent).limit(1).count():
+        return _best(_summed(asked, over.postings), listed, k)
+    often = over.postings.join(over.known.where(F.col("different") > frequent).select("gram"), "gram", "left_semi")
     first = _summed(asked.where(~F.col("common")), over.postings)
     more = first.select("label", "doc").join(asked.where("common").select("label", "gram"), "label").join(often.select("gram", "doc", "weight"), ["gram", "doc"]).groupBy("label", "doc").agg(F.sum("weight").alias("more"))
-    found = _best(first.join(more, ["label", "doc"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))), k)
+    found = _best(first.join(more, ["label", "doc"], "left").withColumn("score", F.col("score") + F.coalesce("more", F.lit(0.0))), listed, k)
     reach = asked.where("common").groupBy("label").agg(F.sum("most").alias("reach"))
     last = found.where(F.col("rank") == k).select("label", F.col("score").alias("last"))
     open_ = written(reach.join(last, "label", "left").where(F.col("last").isNull() | (F.col("reach") >= F.col("last") - 1e-9)).select("label"), "open")
-    again = _best(_summed(asked.join(open_, "label", "left_semi"), over.postings), k)
+    again = _best(_summed(asked.join(open_, "label", "left_semi"), over.postings), listed, k)
     return found.join(open_, "label", "left_anti").unionByName(again)
 
 
 def _summed(asked: DataFrame, postings: DataFrame) -> DataFrame:
-    return asked.select("label", "gram").join(postings, "gram").groupBy("label", "doc", "term").agg(F.sum("weight").alias("score"))
+    return asked.select("label", "gram").join(postings, "gram").groupBy("label", "doc").agg(F.sum("weight").alias("score"))
+
+
+def _first_terms(terms: DataFrame, k: int) -> DataFrame:
+    """The first k terms of each text: later ones have k before them wherever this text is their best."""
+    rank = F.row_number().over(Window.partitionBy("doc").orderBy("term"))
+    return written(terms.withColumn("rank", rank).where(F.col("rank") <= k).select("doc", "term"), "first-terms")
 
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
+def _best(scored: DataFrame, listed: DataFrame, k: int) -> DataFrame:
     """The k best terms; Spark keeps k rows a label before it shuffles."""
-    terms = scored.groupBy("label", "term").agg(F.round(F.max("score"), 9).alias("score"))
+    terms = scored.join(listed, "doc").groupBy("label", "term").agg(F.round(F.max("score"), 9).alias("score"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("score"), "term"))
     return terms.withColumn("rank", rank).where(F.col("rank") <= k).select("label", "rank", "term", "score")

@@ -52,6 +52,19 @@ def test_search_equals_the_plain_version(spark, frequent):
     assert got == plain_search(terms, labels, 4)
 
 
+def test_equal_texts_and_labels_are_searched_once(spark, monkeypatch):
+    terms = [(f"t{k:03d}", ["large blue ring", "small blue ring", "small bolt"][k % 3]) for k in range(90)]
+    labels = [f"{size} large ring" for size in range(100, 160)] + ["bolt"]
+    seen, summed = [], search._summed
+    monkeypatch.setattr(search, "_summed", lambda *a: (seen.append(summed(*a).count()), summed(*a))[1])
+    over = search.index(spark.createDataFrame(terms, "id string, text string"), "id", "text")
+    got: dict = defaultdict(list)
+    for r in search.search(spark.createDataFrame([(x,) for x in labels], "label string"), "label", over, 4).orderBy("label", "rank").collect():
+        got[r.label].append((r.term, round(r.score, 6)))
+    assert got == plain_search(terms, labels, 4)
+    assert sum(seen) == 3, seen  # pairs of a class of labels and a text; 3,630 of labels and terms
+
+
 def test_layers_equal_numpy(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(9, 30))
