@@ -37,18 +37,21 @@ def with_predictions(rows: DataFrame, predictions: DataFrame, on: Sequence[str])
 def merged(parts: Sequence[DataFrame], on: Sequence[str]) -> DataFrame:
     """Results of several models beside each other, for samples that all of them have.
 
-    ``on`` is a key of each part and its columns are known; parts have no other column in
-    common.  One shuffle for any number of parts.
+    ``on`` is a key of each part, its first column known and null others equal; parts have no
+    other column in common.  Parts are joined one after the other, sorted by key: no task keeps
+    a table of keys, and parts that are dealt by the key already aren't shuffled again.
     """
-    stacked = None
-    for k, part in enumerate(parts):
-        marked = part.where(F.col(on[0]).isNotNull()).withColumn("_part", F.lit(k))
-        stacked = marked if stacked is None else stacked.unionByName(marked, allowMissingColumns=True)
     columns = [c for part in parts for c in part.columns if c not in on]
     if len(columns) != len(set(columns)):
         raise ValueError("two parts have a column in common")
-    out = stacked.groupBy(*on).agg(F.count_distinct("_part").alias("_parts"), *[F.first(c, ignorenulls=True).alias(c) for c in columns])
-    return out.where(F.col("_parts") == len(parts)).drop("_parts")
+    out = parts[0].where(F.col(on[0]).isNotNull())
+    for part in parts[1:]:
+        other = part.withColumnsRenamed({c: f"_{c}" for c in on}).hint("merge")
+        same = F.col(on[0]) == F.col(f"_{on[0]}")
+        for c in on[1:]:
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+        out = out.join(other, same).drop(*[f"_{c}" for c in on])
+    return out.select(*on, *columns)
 
 
 def done(rows: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:

@@ -800,7 +800,7 @@ def rekeyed_by_subject(spark, d):
 @query("WITH p AS (SELECT l_orderkey, sum(l_quantity) AS a FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1), q AS (SELECT l_orderkey, sum(l_quantity) AS b FROM lineitem WHERE l_returnflag = 'R' GROUP BY 1) SELECT l_orderkey, a, b FROM p JOIN q USING (l_orderkey)")
 def merged_predictions(spark, d):
     li = _table(spark, d, "lineitem")
-    parts = [li.where(F.col("l_returnflag") == flag).groupBy("l_orderkey").agg(F.sum("l_quantity").alias(name)) for flag, name in (("A", "a"), ("R", "b"))]
+    parts = [li.where(F.col("l_returnflag") == flag).select("l_orderkey", "l_quantity").repartition("l_orderkey").groupBy("l_orderkey").agg(F.sum("l_quantity").alias(name)) for flag, name in (("A", "a"), ("R", "b"))]
     return joins.merged(parts, ["l_orderkey"])
 
 

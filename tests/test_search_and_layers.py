@@ -103,6 +103,13 @@ def test_merged_keeps_samples_of_all_models(spark):
         joins.merged([parts[0], parts[0]], ["s"])
 
 
+def test_merged_keeps_no_table_of_keys(spark):
+    parts = [spark.createDataFrame([("a", None, k + 1), ("a", 2, k + 2), (None, 1, k), *([("b", 1, k)] if k else [])], f"s string, t int, m{k} int") for k in range(2)]
+    out = joins.merged(parts, ["s", "t"])
+    assert {tuple(r) for r in out.collect()} == {("a", None, 1, 2), ("a", 2, 2, 3)}
+    assert "Aggregate" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_a_models_probes_read_a_small_part(spark):
     long = spark.range(200_000).select(F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("accession"), (F.col("id") % 50).alias("sample_id"), F.format_string("cg%06d", F.floor(F.col("id") / 50)).alias("probe"), F.rand(1).alias("value"))
     path = shared.folder(spark, "matrix")
