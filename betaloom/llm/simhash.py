@@ -10,15 +10,16 @@ components.
 
 Equal fingerprints are one node from the start, so a group of exact copies emits once.
 The variants are dealt in passes, by three bits of the variant, and each pass's shuffle
-files go before the next begins: the disk holds an eighth of the variants at a time.
+files go before the next begins: the disk holds an eighth of the variants at a time.  They
+travel packed, a row per bucket of variants, as variant and place of its mask in the ball.
 """
 
 from __future__ import annotations
 
 import contextlib
 import gc
-import json
 from collections.abc import Iterator, Sequence
+from functools import partial
 from itertools import combinations
 
 import numpy as np
@@ -27,11 +28,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import done_with, field, map_texts, new_folder, written
+from .common import done_with, field, map_texts, new_folder, steps, written
 from .components import components
 
 #: Parameters: words in a shingle, bits within which fingerprints link, passes as bits of the variant.
 SHINGLE, RADIUS, PASS_BITS = 4, 4, 3
+#: Parameters: fingerprints whose variants are packed at once, variants that a group holds about.
+FINGERPRINTS_PER_STEP, VARIANTS_PER_BUCKET = 4096, 1 << 19
 _AT_ONCE = 1 << 16
 _HASH = xxhash.xxh64_intdigest
 
@@ -80,20 +83,40 @@ def ball(radius: int, bits: int = 64) -> list[int]:
     return [v - (1 << 64) if v >> 63 else v for v in out]
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (variant, fp) in order, without repeats: a link from each row to the one before of the same variant."""
-    before_v = before_f = None
-    for batch in batches:
-        v, f = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-        if not len(v):
-            continue
-        if before_v is not None and v[0] == before_v:
-            v, f = np.concatenate([[before_v], v]), np.concatenate([[before_f], f])
-        before_v, before_f = v[-1], f[-1]
-        at = np.flatnonzero(v[1:] == v[:-1])
-        if len(at):
-            links = np.unique(np.stack([f[at], f[at + 1]], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], names=["a", "b"])
+def _emit(batches: Iterator[pa.RecordBatch], every: np.ndarray, k: int, pass_bits: int, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Variants of fingerprints, packed: a row per bucket and step with the variants and the places of their masks."""
+    masks, low, shift = every.view(np.uint64), np.uint64((1 << pass_bits) - 1), np.uint64(33)
+    for batch in steps(batches, FINGERPRINTS_PER_STEP):
+        fp = batch.column(0).to_numpy().view(np.uint64)
+        parts, places = [], []
+        for b in range(1 << pass_bits):  # the masks that bring these low bits to the pass's
+            of, at = fp[fp & low == b], np.flatnonzero(masks & low == b ^ k).astype(np.uint16)
+            parts.append((of[:, None] ^ masks[at]).ravel())
+            places.append(np.tile(at, len(of)))
+        v, mask = np.concatenate(parts), np.concatenate(places)
+        mixed = (v ^ v >> shift) * np.uint64(0xFF51AFD7ED558CCD)
+        bucket = ((mixed >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)
+        order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+        v, mask, bucket = v[order], mask[order], bucket[order]
+        cuts = np.r_[0, np.flatnonzero(np.diff(bucket)) + 1, len(v)] if len(v) else np.zeros(1, np.int64)
+        ends = cuts.astype(np.int32)
+        packed = [pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer(ends * w.itemsize), pa.py_buffer(w)]) for w in (v, mask)]
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]]), *packed], names=["bucket", "v", "m"])
+
+
+def _meet(table: pa.Table, every: np.ndarray) -> pa.Table:
+    """Links from each fingerprint of a bucket's variants to the next of the same variant."""
+    v, m = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table.column(c)]) for c, t in (("v", np.uint64), ("m", np.uint16)))
+    order = np.argsort(v)
+    v = v[order]
+    same = v[1:] == v[:-1]
+    kept = np.r_[False, same] | np.r_[same, False]  # most variants are met by one fingerprint alone
+    v, f = v[kept], (v ^ every.view(np.uint64)[m[order]])[kept]
+    order = np.lexsort((f, v))
+    v, f = v[order], f[order].view(np.int64)
+    at = np.flatnonzero(v[1:] == v[:-1])
+    links = np.unique(np.stack([f[at], f[at + 1]], axis=1), axis=0)
+    return pa.table({"a": pa.array(links[:, 0], pa.int64()), "b": pa.array(links[:, 1], pa.int64())})
 
 
 @contextlib.contextmanager
@@ -117,17 +140,15 @@ def ball_links(nodes: DataFrame, radius: int = RADIUS, pass_bits: int = PASS_BIT
     spark = nodes.sparkSession
     if radius % 2:
         raise ValueError("an even radius is needed: both ends go half the way")
-    masks: list[list[int]] = [[] for _ in range(1 << pass_bits)]
-    for e in ball(radius // 2):
-        masks[e & (1 << pass_bits) - 1].append(e)
-    low = F.lit((1 << pass_bits) - 1)
+    every = np.array(ball(radius // 2), np.int64)
+    n = nodes.count()
+    buckets = max(1, n * len(every) // (VARIANTS_PER_BUCKET << pass_bits))
+    spread = max(spark.sparkContext.defaultParallelism, n // (1 << 16))
     folder = new_folder(spark, "ball")
-    table = F.from_json(F.lit(json.dumps(masks)), "array<array<bigint>>")
     with shuffles_dropped(spark):
         for k in range(1 << pass_bits):
-            emitted = nodes.select("fp", F.explode(F.element_at(table, (F.col("fp").bitwiseAND(low).bitwiseXOR(F.lit(k)) + 1).cast("int"))).alias("e"))
-            dealt = emitted.select(F.col("fp").bitwiseXOR(F.col("e")).alias("v"), "fp").repartition("v").sortWithinPartitions("v", "fp")
-            dealt.mapInArrow(_neighbours, "a bigint, b bigint").write.mode("append").parquet(folder)
+            emitted = nodes.select("fp").repartition(spread).mapInArrow(partial(_emit, every=every, k=k, pass_bits=pass_bits, buckets=buckets), "bucket int, v binary, m binary")
+            emitted.groupBy("bucket").applyInArrow(lambda table: _meet(table, every), "a bigint, b bigint").write.mode("append").parquet(folder)
     links = spark.read.schema("a bigint, b bigint").parquet(folder).distinct()
     return links.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
 

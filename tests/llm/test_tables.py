@@ -83,6 +83,25 @@ def test_ball_links_connect_all_within_the_radius(spark):
     assert [roots.get(f, f) for (f,) in rows] == want
 
 
+def test_variants_travel_packed():
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute
+
+    every = np.array(simhash.ball(2), np.int64)
+    fps = np.array([5, 6, -9], np.int64)
+    links = set()
+    for k in range(8):
+        rows = list(simhash._emit(iter([pa.record_batch({"fp": fps})]), every, k, 3, 4))
+        assert sum(r.num_rows for r in rows) <= 4  # a row per bucket, not per variant
+        assert sum(len(x.as_buffer()) for r in rows for x in r.column(1)) % 8 == 0
+        table = pa.Table.from_batches(rows)
+        for bucket in set(table["bucket"].to_pylist()):
+            got = simhash._meet(table.filter(pa.compute.equal(table["bucket"], bucket)), every)
+            links |= set(zip(got["a"].to_pylist(), got["b"].to_pylist()))
+    assert links == {(5, 6)}  # -9 is far from both
+
+
 def test_components_of_chains_and_hubs(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 160)] + [(200, 200), (None, 1), (3, 2), (2, 3)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(links, "a bigint, b bigint")).collect()}
